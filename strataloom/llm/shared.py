@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom import importable
+
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a Java regular expression.
@@ -36,11 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, whichever executor is lost."""
     at = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return materialize_at(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -51,6 +57,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
