@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, fingerprints, near_dedup, packing, token_counts, token_files
+from strataloom.llm import byte_bpe, fingerprints, near_dedup, packing, quality_rules, token_counts, token_files, url_filter
 from strataloom.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -35,16 +39,23 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.listed_of(pages), url_filter.QUERY_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_quality_rules": op2_quality_rules,
         "op5_fingerprints": op5_fingerprints,
         "op6_token_counts": op6_token_counts,
         "op7_near_dedup": op7_near_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_token_files": op9_token_files,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}
