@@ -7,7 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import packing, shared
+from strataloom.llm import near_dedup, packing, quality_fm, shared, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from all labelled documents of its training fold, doesn't reject."""
+    model = toxicity.train(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+    return toxicity.keep(docs, model)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, learned likewise, accepts."""
+    machine = quality_fm.train(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+    return quality_fm.keep(docs, machine)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, five-word shingles at a similarity of 0.8, the document of the least doc_id."""
+    return near_dedup.keep_one(docs, percent=80, width=5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +32,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near-duplicates", drop_near_duplicates),
+    ("packing", pack),
+]
 
 #: SQL can express neither the classifiers nor the tokenizer; the tests hold the stages against plain code.
 ORACLE_SQL = None

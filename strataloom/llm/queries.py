@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, fingerprints, near_dedup, packing, quality_rules, token_counts, token_files, url_filter
+from strataloom.llm import byte_bpe, fingerprints, near_dedup, packing, quality_fm, quality_rules, token_counts, token_files, toxicity, url_filter
 from strataloom.llm.shared import table
 
 
@@ -19,6 +19,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels"), modulus=4, remainder=2), modulus=4, remainder=2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), modulus=3, remainder=1), modulus=3, remainder=1)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -48,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_quality_rules": op2_quality_rules,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_toxicity": op4_toxicity,
         "op5_fingerprints": op5_fingerprints,
         "op6_token_counts": op6_token_counts,
         "op7_near_dedup": op7_near_dedup,

@@ -63,6 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(df: DataFrame, *keep: str) -> DataFrame:
     """The named columns and ``text`` with null as empty; any other column, whatever its name, is left behind."""
+    importable(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -161,3 +162,20 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, dtype=_U64))
     return out
+
+
+def keep_scored(docs: DataFrame, score, model, passes) -> DataFrame:
+    """Rows of docs whose text's score passes, in one pass without a shuffle; columns and their types stay."""
+    import pyarrow as pa
+
+    importable(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+
+        for batch in batches:
+            for piece in slices(batch):
+                texts = [t or "" for t in piece.column("text").to_pylist()]
+                yield piece.filter(pa.array(passes(score(texts, sent.value))))
+
+    return docs.mapInArrow(run, docs.schema)
