@@ -2,12 +2,15 @@
 
 1. Every document gets the sorted set of its word shingles' hashes, a hash of that set, and 160 MinHash values.
    Documents with the same set form a class; only its smallest doc_id goes on.
-2. Bands of these values give buckets. A bucket with two members or more makes its pairs candidates. Buckets
-   are taken apart in blocks of bounded size, so no task holds a whole group, and pairs never become rows.
-3. In a block, candidates are compared by a second signature of 1024 values of 8 bits, batch after batch. After
-   each batch a pair goes when the posterior probability that its similarity reaches the threshold has fallen
-   below the chosen miss probability. A pair is looked at in the first band that it shares only.
-4. What survives is verified on the full sets of shingle hashes (64 bits). Links give components.
+2. Bands of these values give buckets; a pair that shares a bucket is a candidate. Buckets that share members form
+   a cluster. Clusters go to the tasks in blocks of bounded size: each task holds two blocks, so none holds a whole
+   group, every pair meets in one task, and pairs never become rows. (A cluster of too many blocks is dealt bucket by
+   bucket instead, where a pair counts in the first band that it shares.)
+3. There, candidates are compared by a second signature of 1024 values of 8 bits, batch after batch. After each
+   batch a pair goes when the posterior probability that its similarity reaches the threshold has fallen below the
+   chosen miss probability.
+4. What survives is verified on the full sets of shingle hashes (64 bits), the most alike first; a pair that verified
+   links of the same task connect already needs no further look. Links give components.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ LONG_VALUES = 1024
 BATCH = 64
 #: The chance that one comparison drops a pair at the threshold.
 MISS = 1e-8
-#: Members that a block takes from a bucket.
+#: Members of a block, about.
 BLOCK = 256
+#: A cluster of more blocks than this is dealt bucket by bucket.
+MOST_BLOCKS = 32
+#: So many candidates' ids go to all executors (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, (2, VALUES + LONG_VALUES), dtype=np.uint64).astype(np.uint32)
 _FACTORS[1] |= np.uint32(1)
@@ -89,8 +96,8 @@ def least_matches(threshold: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def survivors(long_values: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (left[i], right[i]) of rows pass all batches."""
+def survivors(long_values: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (left[i], right[i]) of rows pass all batches, and their matches."""
     alive = np.arange(len(left))
     matches = np.zeros(len(left), dtype=np.int32)
     for k, least in enumerate(least_matches(threshold)):
@@ -100,7 +107,7 @@ def survivors(long_values: np.ndarray, left: np.ndarray, right: np.ndarray, thre
         alive, matches = alive[stay], matches[stay]
         if not len(alive):
             break
-    return alive
+    return alive, matches
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -143,10 +150,13 @@ def long_signatures(docs: DataFrame, width: int, count: int, rows: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, keys binary, long binary, shingles binary")
 
 
-def _pairs_in_block(ids, side, sizes, keys, band, long_values, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of one block; side tells the two blocks of a bucket apart, all 0 within one block."""
+def links_in_block(ids, side, sizes, keys, band: int, long_values, sets, percent: int) -> list[tuple[int, int]]:
+    """Verified links that connect what the candidates of one task connect; side tells its two blocks apart.
+
+    band: below 0, a pair that shares any band is a candidate; else one whose first shared band it is.
+    """
     order = np.argsort(sizes, kind="stable")
-    ids, side, sizes, keys, long_values = ids[order], side[order], sizes[order], keys[order], long_values[order]
+    ids, side, sizes, keys, long_values, sets = ids[order], side[order], sizes[order], keys[order], long_values[order], [sets[i] for i in order]
     two, lefts, rights = side.any(), [], []
     for i in range(len(ids) - 1):
         stop = np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")  # beyond, sets are too large to link
@@ -155,39 +165,55 @@ def _pairs_in_block(ids, side, sizes, keys, band, long_values, percent: int) ->
             j = j[side[j] != side[i]]
         if len(j):
             same = keys[j] == keys[i]
-            j = j[same.argmax(axis=1) == band]
+            j = j[same.any(axis=1)] if band < 0 else j[same.any(axis=1) & (same.argmax(axis=1) == band)]
             lefts.append(np.full(len(j), i))
             rights.append(j)
     if not lefts:
-        return ids[:0], ids[:0]
+        return []
     left, right = np.concatenate(lefts), np.concatenate(rights)
-    keep = survivors(long_values, left, right, percent / 100)
-    a, b = ids[left[keep]], ids[right[keep]]
-    return np.minimum(a, b), np.maximum(a, b)
+    keep, matches = survivors(long_values, left, right, percent / 100)
+    best = keep[np.argsort(-matches, kind="stable")]
+    root, links = list(range(len(ids))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(left[best].tolist(), right[best].tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a != b:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                root[a] = b
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+_AT = ("group", "band", "one", "two")
 
 
-def _blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of all blocks; rows come sorted by block inside partitions."""
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """The links of all tasks' blocks; rows come sorted by block inside partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
         def done():
-            ids = np.array([r[0] for r in held], dtype=np.int64)
-            a, b = _pairs_in_block(
-                ids, np.array([r[1] for r in held]), np.array([r[2] for r in held], dtype=np.int64), np.frombuffer(b"".join([r[3] for r in held]), dtype="<i8").reshape(len(held), -1), at[1],
-                np.frombuffer(b"".join([r[4] for r in held]), dtype=np.uint8).reshape(len(held), -1), percent,
-            )
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            wide = lambda k, kind: np.frombuffer(b"".join([r[k] for r in held]), dtype=kind).reshape(len(held), -1)
+            ids, side, sizes = (np.array([r[k] for r in held], dtype=np.int64) for k in range(3))
+            found = links_in_block(ids, side, sizes, wide(3, "<u8"), at[1], wide(4, np.uint8), [np.frombuffer(r[5], dtype=np.uint64) for r in held], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "band", "one", "two", "doc_id", "side", "n", "keys", "long")]
-            for bucket, band, one, two, *row in zip(*cols, strict=True):
-                if (bucket, band, one, two) != at:
+            cols = [batch.column(c).to_pylist() for c in (*_AT, "doc_id", "side", "n", "keys", "long", "shingles")]
+            for group, band, one, two, *row in zip(*cols, strict=True):
+                if (group, band, one, two) != at:
                     if len(held) > 1:
                         yield done()
-                    held, at = [], (bucket, band, one, two)
+                    held, at = [], (group, band, one, two)
                 held.append(tuple(row))
         if len(held) > 1:
             yield done()
@@ -195,20 +221,13 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity, by whole numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _dealt(members: DataFrame) -> DataFrame:
+    """(group, band, members, doc_id) as (group, band, one, two, doc_id, side): each member once for each block of
+    its group, so that any two members meet in one pair of blocks."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    a = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    a = a.select("group", "band", "own", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return a.select("group", "band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "doc_id", (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -230,24 +249,20 @@ def groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     classes = base.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     keys = F.array(*[F.xxhash64(F.expr(f"substring(signature, {4 * rows * k + 1}, {4 * rows})"), F.lit(k)) for k in range(count)])
     banded = classes.select(F.col("rep").alias("doc_id"), F.posexplode(keys).alias("band", "bucket"))
-    full = banded.groupBy("band", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    full = banded.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("least")).filter("members > 1")
     members = shared.materialize(banded.join(full, ["band", "bucket"]), "members")
-    ids = members.select("doc_id").distinct()
+    clusters = shared.materialize(connected_components(members.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))), "clusters")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "members")
+    fits = F.col("members") <= MOST_BLOCKS * BLOCK
+    dealt = _dealt(placed.filter(fits).withColumn("band", F.lit(-1)))
+    rest = members.join(placed.filter(~fits).select("doc_id"), "doc_id", "left_semi")
+    dealt = dealt.unionByName(_dealt(rest.withColumnRenamed("bucket", "group")))
+    ids = clusters.select(F.col("node").alias("doc_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     long_ = shared.materialize(long_signatures(docs.join(ids, "doc_id"), width, count, rows), "long-signatures")
-    payload = long_.select("doc_id", "n", "keys", "long")
-    # buckets of one block that hold the same members are looked at once, in their first band
-    small = members.filter(F.col("members") <= BLOCK).groupBy("band", "bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("all"))
-    small = small.groupBy("all").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.band", "at.bucket", F.lit(0).alias("one"), F.lit(0).alias("two"), F.explode("all").alias("doc_id"), F.lit(0).alias("side"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    large = members.filter(F.col("members") > BLOCK).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    large = large.select("band", "bucket", "own", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    large = large.select("band", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "doc_id", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows_ = small.unionByName(large).join(payload, "doc_id")
-    by = ["bucket", "band", "one", "two"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows_ = rows_.select(*by, "doc_id", "side", "n", "keys", "long").repartition(parts, *by).sortWithinPartitions(*by)
-    pairs = _blocks(rows_, percent).distinct()
-    links = _verified(pairs, long_.select("doc_id", "shingles"), percent)
+    links = _links(dealt.join(long_, "doc_id").repartition(parts, *_AT).sortWithinPartitions(*_AT), percent)
     found = connected_components(links)
     # members of a class share its component
     reps = classes.select("set_hash", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("set_hash").alias("own_set"), F.coalesce("component", "rep").alias("component"))
