@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strataloom.llm import labelled, shared
 
 #: Most labelled rows that the fit uses.
-MOST_ROWS = 16_000
+MOST_ROWS = 8_000
 FOLDS = 3
 THRESHOLD = 0.7
 #: A word enters the lexicon if so many toxic texts have it, so many times as often as others.
@@ -43,8 +43,13 @@ _NAMES = ("insults", "lexicon", "lexicon_kinds", "lexicon_weight", "lexicon_most
 FEATURES = len(_NAMES)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 of the 64 bits: a lexicon has some hundred entries, and texts' hashes fill the driver's memory."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
-    return np.unique(shared.word_hashes([w for w in words])[0])
+    return np.unique(_short(shared.word_hashes(words)[0]))
 
 
 _INSULTS, _ADDRESS = _hash_words(INSULTS), _hash_words(ADDRESS)
@@ -54,9 +59,9 @@ _INSULTS, _ADDRESS = _hash_words(INSULTS), _hash_words(ADDRESS)
 class Lexicon:
     """Hashes, sorted, and log odds: of words, and of beginnings of words."""
 
-    words: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.uint64))
+    words: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.uint32))
     odds: np.ndarray = field(default_factory=lambda: np.empty(0))
-    beginnings: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.uint64))
+    beginnings: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.uint32))
 
 
 def _is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -79,7 +84,8 @@ def read(texts: list[str]) -> Words:
     lowered = [t.lower() for t in texts]
     joined = [t.encode("utf-8", "replace").translate(_SEPARATE).decode("utf-8", "replace") for t in lowered]
     hashes, at = shared.word_hashes(joined, lower_ascii=False)
-    starts_only = [shared.word_hashes([_cut(t, n) for t in joined], lower_ascii=False)[0] for n in BEGINNINGS]
+    hashes = _short(hashes)
+    starts_only = [_short(shared.word_hashes([_cut(t, n) for t in joined], lower_ascii=False)[0]) for n in BEGINNINGS]
     raw = [t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     starts = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
@@ -135,7 +141,7 @@ def learn_lexicon(rows: list[dict], y: np.ndarray) -> Lexicon:
     def strong(key: str) -> tuple[np.ndarray, np.ndarray]:
         sets = [r[key] for r in rows]
         if not sets or not sum(map(len, sets)):
-            return np.empty(0, dtype=np.uint64), np.empty(0)
+            return np.empty(0, dtype=np.uint32), np.empty(0)
         all_, which = np.unique(np.concatenate(sets), return_inverse=True)
         label = np.repeat(y, [len(s) for s in sets])
         a, b = np.bincount(which, weights=label), np.bincount(which, weights=1 - label)
@@ -285,10 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
 
     found = labelled.sample(docs, labels, "toxic", modulus, remainder, most).mapInArrow(run, "doc_id long, y int, o binary, b0 binary, b1 binary, p binary").collect()
     rows = []
-    for r in sorted(found, key=lambda r: r.doc_id):
-        order = np.frombuffer(r.o, dtype=np.uint64)
-        pairs = shared.mix(order[1:] ^ (order[:-1] << np.uint64(1))) if len(order) > 1 else order
-        rows.append({"order": order, "starts": [np.frombuffer(b, dtype=np.uint64) for b in (r.b0, r.b1)], "plain": np.frombuffer(r.p), "group": int(pairs.min()) if len(pairs) else 0, "y": r.y})
+    found.sort(key=lambda r: r.doc_id)
+    for r in found:
+        order = np.frombuffer(r.o, dtype=np.uint32)
+        pairs = shared.mix(order[1:].astype(np.uint64) ^ (order[:-1].astype(np.uint64) << np.uint64(32))) if len(order) > 1 else order
+        rows.append({"order": order, "starts": [np.frombuffer(b, dtype=np.uint32) for b in (r.b0, r.b1)], "plain": np.frombuffer(r.p), "group": int(pairs.min()) if len(pairs) else 0, "y": r.y})
     return fit(rows, np.array([r["y"] for r in rows], dtype=np.float64))
 
 
