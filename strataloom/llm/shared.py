@@ -149,7 +149,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     hashes, at = word_hashes(texts)
     rolled = np.zeros(max(0, len(hashes) - width + 1), dtype=_U64)
     for k in range(width):
-        rolled += mix(hashes[k : len(hashes) - width + 1 + k] + _U64(k + 1)) * _U64(2 * k + 1)
+        rolled += mix(hashes[k : k + len(rolled)] + _U64(k + 1)) * _U64(2 * k + 1)
     rolled = mix(rolled + _U64(width))
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
