@@ -135,7 +135,8 @@ def budget_cut(ranked: DataFrame, budget: int, by: list[str] | None = None) -> D
     """Passages (rank, content) in rank order as far as the budget of tokens goes; adds tokens and truncated.
 
     Costs are never negative, so a running sum tells where the budget ends: whole passages before, the first that
-    overruns trimmed if it is the first of all or enough is left, nothing after. ``by``: columns of separate queries.
+    overruns trimmed if it is the first of all or enough is left, nothing after. ``truncated`` marks the trimmed passage,
+    ``overflow`` each passage of a query whose evidence was cut at all. ``by``: columns of separate queries.
     """
     if not 50 <= budget <= 32_000:
         raise ValueError("the budget must be from 50 to 32000")
@@ -145,7 +146,7 @@ def budget_cut(ranked: DataFrame, budget: int, by: list[str] | None = None) -> D
     a = ranked.withColumn("cost", T.budget_tokens(F.col("content"))).withColumn("before", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost")).withColumn("pos", F.row_number().over(order))
     over = F.col("before") + F.col("cost") > budget
     left = budget - F.col("before")
-    a = a.withColumns({"over": over, "left": left, "overs": F.sum(over.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    a = a.withColumns({"over": over, "left": left, "overs": F.sum(over.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "overflow": F.max(over).over(Window.partitionBy(*keys))})
     a = a.filter(~F.col("over") & (F.col("overs") == 0) | F.col("over") & (F.col("overs") == 1) & ((F.col("pos") == 1) | (F.col("left") >= USEFUL_TOKENS + suffix)))
     chars = F.greatest(F.lit(20), F.floor(F.greatest(F.lit(1), F.col("left") - suffix) * F.lit(T.BUDGET_CHARS)).cast("int"))
     trimmed = F.concat(F.regexp_replace(F.substring(F.col("content"), F.lit(1), chars), r"\s+$", ""), F.lit(SUFFIX))
@@ -169,6 +170,6 @@ def trace(ranked: DataFrame, cut: DataFrame, top_k: int, budget: int, mode: str)
     if mode not in ("retrieve", "synthesis", "none"):
         raise ValueError("mode must be retrieve, synthesis or none")
     a = ranked.agg(F.count("*").alias("ranked"), F.count_if("is_seed").alias("vector_matches"), F.count_if(~F.col("is_seed")).alias("expansions"))
-    b = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("consumed"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"), F.count("*").alias("kept"))
+    b = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("consumed"), F.coalesce(F.bool_or("overflow"), F.lit(False)).alias("truncated"), F.count("*").alias("kept"))
     one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  both are single rows
     return one(a).join(one(b), "one").drop("one").select(F.lit(mode).alias("mode"), F.lit(top_k).alias("top_k"), F.lit(candidate_count(top_k)).alias("candidate_k"), F.lit(budget).alias("budget"), "*")

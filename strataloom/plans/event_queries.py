@@ -174,10 +174,11 @@ def folder_walk_recursive(spark, d):
     return sync.folder_files(spark, folders, files, 1).select("file_id", "folder_id", F.col("depth").cast("long").alias("depth"))
 
 
-@query("""WITH l AS (SELECT l_partkey AS file_id, arg_max(l_suppkey % 4, l_orderkey * 10 + l_linenumber) AS parent_id, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS flag FROM lineitem GROUP BY 1)
-SELECT file_id, flag = 'R' AS deleted FROM l WHERE flag = 'R' OR parent_id = 2""")
+@query("""WITH r AS (SELECT l_partkey AS file_id, l_suppkey % 4 AS parent_id, l_returnflag = 'R' AS gone, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 2 + (l_returnflag = 'R')::INT AS seq FROM lineitem),
+l AS (SELECT file_id, arg_max(parent_id, seq) AS parent_id, arg_max(gone, seq) AS gone FROM r GROUP BY 1)
+SELECT file_id, gone AS deleted FROM l WHERE gone OR parent_id = 2""")
 def change_feed_delta(spark, d):
-    c = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file_id"), (F.col("l_suppkey") % 4).alias("parent_id"), (F.col("l_returnflag") == "R").alias("removed"), F.lit(False).alias("trashed"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    c = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file_id"), (F.col("l_suppkey") % 4).alias("parent_id"), (F.col("l_returnflag") == "R").alias("removed"), F.lit(False).alias("trashed"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")) * 2 + (F.col("l_returnflag") == "R").cast("int")).alias("seq"))
     kept, gone = sync.delta(c, 2)
     return kept.select("file_id", F.lit(False).alias("deleted")).unionByName(gone.select("file_id", F.lit(True).alias("deleted")))
 

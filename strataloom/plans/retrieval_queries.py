@@ -161,11 +161,11 @@ def node_merge_dedup(spark, d):
     return m.select("label", "entity_id", F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties"))
 
 
-@query("""WITH e AS (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS rel_type, l_shipmode, seq FROM (SELECT l_partkey, l_suppkey, l_returnflag, l_quantity::BIGINT AS l_shipmode, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)),
+@query("""WITH e AS (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS rel_type, quantity, seq FROM (SELECT l_partkey, l_suppkey, l_returnflag, l_quantity::BIGINT AS quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity::BIGINT AS seq FROM lineitem)),
 ids AS (SELECT p_partkey AS id FROM part WHERE p_size <= 40)
-SELECT source_id, target_id, rel_type, arg_max(l_shipmode, seq) AS quantity FROM e WHERE source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids) GROUP BY 1, 2, 3""")
+SELECT source_id, target_id, rel_type, arg_max(quantity, seq) AS quantity FROM e WHERE source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids) GROUP BY 1, 2, 3""")
 def edge_merge_dedup(spark, d):
-    e = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("rel_type"), F.col("l_quantity").cast("long").alias("properties"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    e = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("rel_type"), F.col("l_quantity").cast("long").alias("properties"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("long")).alias("seq"))
     n = D.table(spark, d, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("entity_id"))
     return graph.merge_edges(e, n).withColumnRenamed("properties", "quantity")
 
