@@ -78,19 +78,6 @@ def first_text(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
-def co_mentions(mentions: DataFrame, most_parents: int | None = None) -> DataFrame:
-    """(parent_id, neighbour_id, shared) for all parents that share an entity, each pair in both directions.
-
-    Pairs of an entity grow with the square of its parents. ``most_parents`` leaves out entities that more parents
-    mention, which say little about kinship; None keeps all.
-    """
-    m = mentions.select("parent_id", "entity_id").distinct()
-    if most_parents is not None:
-        m = m.join(m.groupBy("entity_id").count().filter(F.col("count") <= most_parents).select("entity_id"), "entity_id", "left_semi")
-    n = m.select(F.col("parent_id").alias("neighbour_id"), "entity_id")
-    return m.join(n, "entity_id").filter("neighbour_id <> parent_id").groupBy("parent_id", "neighbour_id").agg(F.count("*").alias("shared"))
-
-
 def subgraph(nodes: DataFrame, k: int = 5) -> DataFrame:
     """The first k entities, the answer to a query that is no statement."""
     return nodes.orderBy("entity_id", "label").limit(k)

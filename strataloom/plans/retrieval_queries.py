@@ -71,11 +71,13 @@ def comention_neighbors(spark, d):
     return retrieval.neighbours(_seeds(spark, d), D.mentions(spark, d)).select("parent_id", "neighbour_id", "shared")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_orderkey AS parent_id, l_partkey AS entity_id FROM lineitem WHERE l_returnflag = 'R')
-SELECT a.parent_id, b.parent_id AS neighbour_id, count(*) AS shared FROM m a JOIN m b ON a.entity_id = b.entity_id AND a.parent_id <> b.parent_id GROUP BY ALL HAVING count(*) >= 2""")
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS parent_id, l_partkey AS entity_id FROM lineitem), p AS (SELECT a.parent_id, b.parent_id AS neighbour_id, count(*) AS shared FROM m a JOIN m b ON a.entity_id = b.entity_id AND a.parent_id <> b.parent_id WHERE a.parent_id % 50 = 0 GROUP BY ALL)
+SELECT parent_id, neighbour_id, shared FROM p QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY shared DESC, neighbour_id) <= 5""")
 def comention_orders(spark, d):
-    m = D.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("parent_id"), F.col("l_partkey").alias("entity_id"))
-    return graph.co_mentions(m).filter("shared >= 2")
+    """A search: the orders whose number is divisible by 50 against all orders, by the parts that they share."""
+    m = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent_id"), F.col("l_partkey").alias("entity_id"))
+    wanted = m.filter("parent_id % 50 = 0").select("parent_id").distinct().withColumn("seed_score", F.lit(1.0))
+    return retrieval.neighbours(wanted, m).select("parent_id", "neighbour_id", "shared")
 
 
 @query(f"WITH {_BASE}, {_PAIRS}, {_FUSED} SELECT parent_id, round(base_score, 6) AS base_score, shared::BIGINT AS shared, is_seed, round(fused_score, 6) AS fused_score FROM scored")

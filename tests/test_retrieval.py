@@ -114,4 +114,4 @@ def test_mentions_and_deletion(spark):
     p = spark.createDataFrame([("p1", "d1"), ("p2", "d2")], "parent_id string, document_id string")
     left = graph.without_document(d, p, p, m, d.filter("document_id = 'd1'"))
     assert [left[k].count() for k in ("documents", "parents", "children", "mentions")] == [1, 1, 1, 0]
-    assert graph.co_mentions(spark.createDataFrame([(i, 1) for i in range(5)], "parent_id int, entity_id int"), most_parents=4).count() == 0
+    assert [r.entity_id for r in graph.subgraph(spark.createDataFrame([(i, "L") for i in range(9)], "entity_id int, label string")).collect()] == list(range(5))
