@@ -36,7 +36,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     truncated_tokens, the corpus's ids if each document is cut to n_tokens; share_at_most, the share of documents
     of that length or less, so the q-quantile is the least n_tokens with share_at_most >= q.
     """
-    h = counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # one row a length that occurs: small, used twice below, and each document is encoded once
+    h = shared.materialize(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     h = h.withColumn("mass", F.col("n_docs") * F.col("n_tokens")).withColumn("band", F.floor(F.col("n_tokens") / GROUP))
     bands = h.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("mass").alias("t"))
     above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, 0)
