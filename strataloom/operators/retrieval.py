@@ -61,6 +61,17 @@ def nearest(children: DataFrame, vector: list[float], k: int) -> DataFrame:
     return scored.filter("score is not null").orderBy(F.desc("score"), "child_id").limit(k)
 
 
+def pinned(few: DataFrame, most: int) -> DataFrame:
+    """The rows of a result that a limit bounds, ``most`` at the outside, as literal rows.
+
+    The scan that found them runs once, however many branches build on it, and every join on them is a broadcast.
+    """
+    rows = few.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return few.sparkSession.createDataFrame(rows, few.schema)
+
+
 def seeds(found: DataFrame, parents: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Parents of the found children that pass the filters, with their best child's score.
 
@@ -113,7 +124,8 @@ def hybrid(children: DataFrame, parents: DataFrame, mentions: DataFrame, vector:
 
     Neighbours are not filtered unless strict_filters says so.
     """
-    s = seeds(nearest(children, vector, candidate_k or candidate_count(top_k)), parents, filters)
+    k = candidate_k or candidate_count(top_k)
+    s = seeds(pinned(nearest(children, vector, k), k), parents, filters)
     n = neighbours(s, mentions)
     if strict_filters:
         n = n.join(parents.filter(filters.condition()).select(F.col("parent_id").alias("neighbour_id")), "neighbour_id", "left_semi")
@@ -121,8 +133,13 @@ def hybrid(children: DataFrame, parents: DataFrame, mentions: DataFrame, vector:
 
 
 def enriched(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentions: DataFrame, relations: DataFrame, entities: DataFrame, with_triples: bool = True) -> DataFrame:
-    """The ranked parents with document, neighbouring chunks, triples and entities."""
-    p = with_neighbour_chunks(parents)
+    """The ranked parents, at most the 20 that a query may ask for, with document, neighbouring chunks, triples and entities.
+
+    Only the ranked parents' documents are put in order.
+    """
+    ranked = pinned(ranked, 20)
+    of = parents.join(ranked.select("parent_id"), "parent_id", "left_semi").select("document_id").distinct()
+    p = with_neighbour_chunks(parents.join(F.broadcast(of), "document_id", "left_semi"))
     out = ranked.join(p, "parent_id", "left").join(documents.select("document_id", F.col("name").alias("document_name")), "document_id", "left")
     if with_triples:
         out = out.join(triples(ranked, mentions, relations, entities), "parent_id", "left")
