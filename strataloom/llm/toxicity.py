@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strataloom.llm import labelled, shared
 
 #: Most labelled rows that the fit uses.
-MOST_ROWS = 8_000
+MOST_ROWS = 5_000
 FOLDS = 3
 THRESHOLD = 0.7
 #: A word enters the lexicon if so many toxic texts have it, so many times as often as others.
