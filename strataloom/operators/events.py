@@ -48,18 +48,20 @@ def document_status(log: DataFrame) -> DataFrame:
 
     The last event that sets the status whatever it was decides, together with which weaker events follow it:
     storing lifts PENDING_UPLOAD and FAILED to UPLOADED, progress lifts FAILED to PROCESSING, parsing lifts
-    PENDING_UPLOAD, UPLOADED and FAILED to PARSED. Only first occurrences after the reset matter, so the log joins
-    one row of each aggregate and reduces to its minima. Events from DocumentDeleted on count no more.
+    PENDING_UPLOAD, UPLOADED and FAILED to PARSED. Only the first of each after the reset matters. One shuffle by
+    aggregate serves the window and the aggregation, whose buffers are numbers. Events from DocumentDeleted on
+    count no more.
     """
-    reset = F.col("event_type").isin(*RESETS)
-    heads = log.groupBy("aggregate_id").agg(_at(DELETED).alias("deleted"), F.max_by("event_type", F.when(reset, F.col("event_version"))).alias("kind"), F.max(F.when(reset, F.col("event_version"))).alias("reset"), F.max("event_version").alias("last_version"))
-    alive = heads.filter("deleted is null")
-    later = log.filter(F.col("event_type").isin(STORED, PARSED, PROGRESS)).join(alive.select("aggregate_id", "reset"), "aggregate_id").filter("event_version > coalesce(reset, 0)")
-    firsts = later.groupBy("aggregate_id").agg(*[F.min(F.when(F.col("event_type") == k, F.col("event_version"))).alias(n) for k, n in ((STORED, "stored"), (PARSED, "parsed"), (PROGRESS, "progress"))])
-    a = alive.join(firsts, "aggregate_id", "left")
-    start = F.lit("PENDING_UPLOAD")
-    for k, v in RESETS.items():
-        start = F.when(F.col("kind") == k, F.lit(v)).otherwise(start)
+    version, kind, names = F.col("event_version"), F.col("event_type"), list(RESETS)
+    code = F.array_position(F.array(*[F.lit(k) for k in names]), kind)  # 0: no reset
+    reset = F.coalesce(F.max(F.when(code > 0, version)).over(Window.partitionBy("aggregate_id")), F.lit(0))
+    a = log.select("aggregate_id", "event_type", "event_version", code.alias("code"), reset.alias("reset"))
+    first = lambda k: F.min(F.when((kind == k) & (version > F.col("reset")), version))
+    a = a.groupBy("aggregate_id").agg(
+        _at(DELETED).alias("deleted"), F.max(version).alias("last_version"), F.max(F.when(version == F.col("reset"), F.col("code"))).alias("code"),
+        first(STORED).alias("stored"), first(PARSED).alias("parsed"), first(PROGRESS).alias("progress"),
+    ).filter("deleted is null")
+    start = F.coalesce(F.get(F.array(*[F.lit(RESETS[k]) for k in names]), (F.col("code") - 1).cast("int")), F.lit("PENDING_UPLOAD"))
     a = a.withColumn("start", start)
     never = F.lit(2**31 - 1)
     stored, parsed, progress = (F.coalesce(F.col(c), never) for c in ("stored", "parsed", "progress"))

@@ -53,8 +53,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit(None).cast("string")
     for k, v in KINDS.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("event_id", F.col("user_id").alias("aggregate_id"), kind.alias("event_type"), F.row_number().over(order).cast("int").alias("event_version"), "ts", "value", "props")
+    e = e.select("event_id", F.col("user_id").alias("aggregate_id"), kind.alias("event_type"), "ts", "value", "props")
+    order = Window.partitionBy("aggregate_id").orderBy("ts", "event_id")
+    return e.withColumn("event_version", F.row_number().over(order).cast("int"))
 
 
 # The same roles in SQL.
