@@ -58,17 +58,62 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(first, "([a-z0-9])([A-Z])", "$1_$2"))
 
 
-# What a MIME type or a file name's ending says about a source.
-AUDIO_MIME, IMAGE_MIME = ("audio/", "video/3gpp"), ("image/",)
-AUDIO_ENDINGS = (".mp3", ".wav", ".m4a", ".ogg", ".opus", ".flac", ".aac", ".webm", ".3gp", ".amr")
-IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp", ".heic", ".heif", ".gif", ".bmp", ".tiff")
+# What a MIME type, else a file name's ending, says about a source.
+DOCUMENT_MIMES = (
+    "application/pdf",
+    "application/json",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "application/x-subrip",
+)
+AUDIO_ENDINGS = (".mp3", ".m4a", ".ogg", ".opus", ".oga", ".webm", ".wav", ".aac", ".caf", ".amr", ".3gp")
+IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp", ".heic", ".heif")
 
 
 def source_type(mime: Column, file_name: Column) -> Column:
-    """audio, image or document: by MIME type, else by the name's ending."""
-    m, ending = F.lower(F.coalesce(mime, F.lit(""))), F.regexp_extract(F.lower(F.coalesce(file_name, F.lit(""))), r"(\.[^.]+)$", 1)
-    starts = lambda prefixes: F.greatest(*[m.startswith(p) for p in prefixes], F.lit(False))
-    return F.when(starts(AUDIO_MIME), "audio").when(starts(IMAGE_MIME), "image").when(ending.isin(*AUDIO_ENDINGS), "audio").when(ending.isin(*IMAGE_ENDINGS), "image").otherwise("document")
+    """audio, image or document: by MIME type where it tells, else by the name's ending."""
+    m = F.lower(F.trim(F.coalesce(mime, F.lit(""))))
+    ending = F.regexp_extract(F.lower(F.coalesce(file_name, F.lit(""))), r"[^/](\.[^./]+)$", 1)
+    by_mime = F.when(m.startswith("image/"), "image").when(m.startswith("audio/") | (m == "video/3gpp"), "audio").when(m.startswith("text/") | m.isin(*DOCUMENT_MIMES), "document")
+    by_name = F.when(ending.isin(*IMAGE_ENDINGS), "image").when(ending.isin(*AUDIO_ENDINGS), "audio").otherwise("document")
+    return F.coalesce(by_mime, by_name)
+
+
+# The ending under which a MIME type's content is stored.
+ENDINGS = {"application/pdf": ".pdf", "text/markdown": ".md", "text/plain": ".txt", "text/html": ".html", "text/csv": ".csv", "application/json": ".json", "image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp", "audio/mpeg": ".mp3", "audio/ogg": ".ogg", "audio/wav": ".wav"}
+
+
+def ending_of(mime: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), F.lower(F.trim(mime))), F.lit(".bin"))
+
+
+def utc_time(seconds: Column) -> Column:
+    """Epoch seconds as a UTC time; N/A where unknown. The session's zone must be UTC."""
+    return F.coalesce(F.concat(F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.lit("N/A"))
+
+
+def structure_counts(text: Column) -> dict[str, Column]:
+    """Table delimiters, headings and figure marks of a Markdown text."""
+    return {
+        "tables": F.regexp_count(text, F.lit(r"\|[-:\s]+\|")).cast("long"),
+        "headings": F.regexp_count(text, F.lit(r"(?m)^#{1,4}\s+.+$")).cast("long"),
+        "figures": F.regexp_count(text, F.lit(r"(?i)(?:>\s*\*\*\[Figura|\[Figura\s*\d+)")).cast("long"),
+    }
+
+
+def snippet(text: Column, most: int = 200) -> Column:
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
+def lineage(*titles: str) -> Column:
+    """The open sections of a page in one line, shallowest first; absent levels are skipped."""
+    return F.concat_ws(" -> ", *[F.col(t) for t in titles])
+
+
+def json_part(reply: Column) -> Column:
+    """The outermost JSON array of a reply that may be fenced or surrounded by words; null without one."""
+    return F.nullif(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), F.lit(""))
 
 
 def fold_text(text: str) -> str:

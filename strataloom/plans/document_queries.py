@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
-from strataloom.operators import markdown, ontology, search
+from strataloom.operators import ingest, markdown, ontology, search
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
 from strataloom.sources import files, html
@@ -207,3 +207,50 @@ def stream_dedup_watermark(spark, d):
     """Each event once, though the stream delivers the log twice."""
     e = D.table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("occurred_at"))
     return native.stream_once(spark, e).select("event_id", "event_type")
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN p_brand ELSE p_partkey::VARCHAR END AS name, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'Part' END AS label, CASE WHEN p_size % 5 = 0 THEN p_brand ELSE '' END AS aliases FROM part""")
+def entity_normalization(spark, d):
+    p = D.table(spark, d, "part")
+    raw = p.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise("").alias("name"), F.when(F.col("p_size") % 3 == 1, F.col("p_brand")).alias("sigla"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("entity_type"), F.lit("Part").alias("node_type"), F.when(F.col("p_size") % 5 == 0, F.col("p_brand")).alias("alias"))
+    return ingest.entity_rows(raw).select(F.col("entity_id").cast("long").alias("p_partkey"), "name", "label", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS source_id, CASE WHEN l_quantity > 25 THEN 'SUPPLIES' ELSE l_returnflag END AS rel_type FROM lineitem")
+def relation_normalization(spark, d):
+    li = D.table(spark, d, "lineitem")
+    raw = li.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias("source_id"), F.col("l_suppkey").cast("string").alias("target_id"), F.when(F.col("l_quantity") > 25, "SUPPLIES").otherwise("").alias("relationship_type"), F.col("l_returnflag").alias("relation"))
+    part = lambda k: F.split("source_id", r"\|")[k]
+    return ingest.relation_rows(raw).select(part(0).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"), part(2).alias("source_id"), "rel_type")
+
+
+@query("SELECT o_orderkey, greatest(3, least(40, o_custkey)) AS page, CASE WHEN o_orderpriority LIKE '1%' THEN 'chapter' ELSE 'section' END AS type, repeat('#', (o_orderkey % 4 + 1)::INT) AS markdown_level FROM orders WHERE o_orderkey % 6 < 4 AND o_orderstatus <> 'P'")
+def toc_validation(spark, d):
+    o = D.table(spark, d, "orders")
+    level = F.when(F.col("o_orderkey") % 6 < 4, F.repeat(F.lit("#"), (F.col("o_orderkey") % 4 + 1).cast("int"))).otherwise("#####")
+    items = o.select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), " Chapter").otherwise(F.col("o_orderpriority")).alias("type"), level.alias("markdown_level"), F.when(F.col("o_orderstatus") == "P", "  ").otherwise(" t ").alias("title"), F.col("o_custkey").alias("page"))
+    return ingest.toc_rows(items, 3, 40).select("o_orderkey", "page", "type", "markdown_level")
+
+
+@query(f"WITH {_SQL_NOTES} SELECT document_id, len(regexp_extract_all(text, '\\|[-:\\s]+\\|')) AS tables, len(regexp_extract_all(text, '(?m)^#{{1,4}}\\s+.+$')) AS headings, len(regexp_extract_all(text, '(?i)\\[Figura\\s*\\d+')) AS figures FROM notes".replace("\\\\", "\\"))
+def markdown_counts(spark, d):
+    return _notes(spark, d).select("document_id", *[c.alias(n) for n, c in T.structure_counts(F.col("text")).items()])
+
+
+@query("SELECT conv_id, count(*) FILTER (WHERE role = 'system') AS n, CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN 'Nenhum documento ou contexto relevante foi encontrado na Knowledge Base para responder a essa pergunta.' ELSE 'Modo retrieve: ' || count(*) FILTER (WHERE role = 'system') || ' evidências recuperadas do grafo de conhecimento.' END AS answer FROM conversations GROUP BY 1")
+def answer_assembly(spark, d):
+    c = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "system").alias("n"))
+    return c.select("conv_id", "n", ingest.answer(F.col("n"), "retrieve").alias("answer"))
+
+
+@query("SELECT doc_id, left(text, 200) AS preview, strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%d %H:%M:%S UTC') AS at, concat_ws(' -> ', lang, nullif(source, 'src0')) AS lineage FROM documents")
+def document_previews(spark, d):
+    x = D.table(spark, d, "documents").withColumn("section", F.when(F.col("source") != "src0", F.col("source")))
+    return x.select("doc_id", T.snippet(F.col("text")).alias("preview"), T.utc_time(F.col("doc_id") + 1_700_000_000).alias("at"), T.lineage("lang", "section").alias("lineage"))
+
+
+@query()
+def ingest_documents(spark, d):
+    """Child chunks with embeddings of all documents, taken in as files."""
+    files_ = D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".md")).alias("file_name"), F.lit("text/markdown").alias("content_type"), F.encode("text", "utf-8").alias("content"), F.lit(1.7e9).alias("ingested_at"))
+    return ingest.ingest(files_, ONTOLOGY, dimensions=8)["children"].select("document_id", "child_id", "chunk_index", "header_path", "content", F.round(F.element_at("embedding", 1), 6).alias("first"))
