@@ -130,3 +130,32 @@ def test_folders_with_a_cycle(spark):
 def test_barrier_counts_tasks_once(spark):
     t = spark.createDataFrame([("d", "s", "t1", 2), ("d", "s", "t1", 2), ("e", "s", "t1", 1), ("e", "s", "t2", 1), ("f", "s", None, 0)], "document_id string, step string, task_id string, total int")
     assert {r.document_id: r.released for r in sync.barrier(t).collect()} == {"d": False, "e": True, "f": True}
+
+
+def test_watchdog_tells_of_silence(spark, tmp_path):
+    t = datetime(2026, 1, 1)
+    schema = "aggregate_id string, event_type string, event_version int, occurred_at timestamp"
+    batches = [
+        [("stuck", E.STORED, 1, t), ("fine", E.STORED, 1, t)],
+        [("fine", "DocumentKnowledgeIndexed", 2, t + timedelta(minutes=5)), ("clock", "DocumentAttached", 1, t + timedelta(hours=1))],
+        [("clock", "DocumentProcessingFailed", 2, t + timedelta(hours=2))],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        name = next(x for x in os.listdir(tmp_path / f"p{k}") if x.endswith(".parquet"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.rename(tmp_path / f"p{k}" / name, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    native._drained(projector.stuck_documents(stream, 10), "append", str(tmp_path), lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out")))
+    assert [(r.aggregate_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("stuck", "UPLOADED")]
+
+
+def test_fan_out(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    df.write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = projector.fan_out(spark.readStream.schema("x int").parquet(str(tmp_path / "in")), [lambda b, n: seen.append(b.count()), lambda b, n: seen.append(b.agg(F.sum("x")).first()[0])], str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [2, 3]
