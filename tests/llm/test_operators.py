@@ -73,6 +73,14 @@ def test_forgetting_keeps_results(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_parts_that_share_a_hash():
+    e, texts = tokens.PartEncoder(WORD), ["some words here", "", "and more, of them"]
+    ids, at = e.encode(texts)
+    e.second = e.second + np.uint64(1)  # as if other parts had been stored under these hashes
+    again, places = e.encode(texts)
+    assert ids.tolist() == again.tolist() and at.tolist() == places.tolist()
+
+
 # 1
 
 
