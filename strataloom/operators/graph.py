@@ -81,3 +81,12 @@ def first_text(*columns: str) -> Column:
 def subgraph(nodes: DataFrame, k: int = 5) -> DataFrame:
     """The first k entities, the answer to a query that is no statement."""
     return nodes.orderBy("entity_id", "label").limit(k)
+
+
+def ask(spark, text: str, views: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """A SQL statement over the named tables, cut to k rows; any other text gives the first k rows of ``entities``."""
+    if text.strip().upper().startswith(("SELECT", "WITH", "FROM")):
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text).limit(k)
+    return subgraph(views["entities"], k)

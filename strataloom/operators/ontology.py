@@ -98,3 +98,22 @@ def quality(nodes: DataFrame, edges: DataFrame, node_types: list[str]) -> DataFr
     e = e.groupBy("graph_id").agg((F.avg((F.col("s").isNotNull() & F.col("t").isNotNull()).cast("double")) * 100).alias("integrity"))
     n = nodes.groupBy("graph_id").agg((F.avg(F.col("label").isin(*node_types).cast("double")) * 100).alias("adherence"))
     return n.join(e, "graph_id", "full").select("graph_id", F.when(F.col("adherence").isNull(), 0.0).otherwise(F.coalesce("integrity", F.lit(100.0))).alias("integrity"), F.coalesce("adherence", F.lit(0.0)).alias("adherence"))
+
+
+def usage(ontologies: DataFrame, bases: DataFrame) -> DataFrame:
+    """(ontology_id, used_by, deletable): an ontology that a knowledge base uses may not be deleted."""
+    n = bases.filter("ontology_id is not null").groupBy("ontology_id").agg(F.count("*").alias("used"))
+    out = ontologies.select("ontology_id").join(n, "ontology_id", "left").select("ontology_id", F.coalesce("used", F.lit(0)).alias("used_by"))
+    return out.withColumn("deletable", F.col("used_by") == 0)
+
+
+def new_versions(existing: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Proposed templates whose (name, version) is not taken; names are compared exactly."""
+    return proposed.join(existing.select("name", "version"), ["name", "version"], "left_anti")
+
+
+def ends_by_type(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Relations (source_type, target_type, rel_type) with the first node of each type as ends."""
+    first = nodes.groupBy("label").agg(F.min("entity_id").alias("id"))
+    a, b = first.select(F.col("label").alias("source_type"), F.col("id").alias("source_id")), first.select(F.col("label").alias("target_type"), F.col("id").alias("target_id"))
+    return relations.join(a, "source_type").join(b, "target_type").select("source_id", "target_id", "rel_type")

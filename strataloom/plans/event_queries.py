@@ -216,3 +216,20 @@ def newest_runs(spark, d):
 
     newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return D.table(spark, d, "orders").withColumn("n", F.row_number().over(newest)).filter("n <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT r_regionkey AS ontology_id, count(n_nationkey) AS used_by, count(n_nationkey) = 0 AS deletable FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 7 < 2 GROUP BY 1")
+def ontology_usage(spark, d):
+    from strataloom.operators import ontology
+
+    kbs = D.table(spark, d, "nation").filter("n_nationkey % 7 < 2").select(F.col("n_regionkey").alias("ontology_id"))
+    return ontology.usage(D.table(spark, d, "region").select(F.col("r_regionkey").alias("ontology_id")), kbs)
+
+
+@query("WITH f AS (SELECT c_mktsegment AS label, min(c_custkey) AS id FROM customer GROUP BY 1) SELECT DISTINCT a.id AS source_id, b.id AS target_id, 'LIKE' AS rel_type FROM f a JOIN f b ON a.label = 'BUILDING' AND b.label IN ('MACHINERY', 'AUTOMOBILE')")
+def relation_ends_by_type(spark, d):
+    from strataloom.operators import ontology
+
+    nodes = D.table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("label"))
+    r = spark.createDataFrame([("BUILDING", "MACHINERY", "LIKE"), ("BUILDING", "AUTOMOBILE", "LIKE"), ("BUILDING", "none", "LIKE")], "source_type string, target_type string, rel_type string")
+    return ontology.ends_by_type(r, nodes)

@@ -115,3 +115,9 @@ def test_mentions_and_deletion(spark):
     left = graph.without_document(d, p, p, m, d.filter("document_id = 'd1'"))
     assert [left[k].count() for k in ("documents", "parents", "children", "mentions")] == [1, 1, 1, 0]
     assert [r.entity_id for r in graph.subgraph(spark.createDataFrame([(i, "L") for i in range(9)], "entity_id int, label string")).collect()] == list(range(5))
+
+
+def test_ask(spark):
+    e = spark.createDataFrame([(i, "L") for i in range(9)], "entity_id int, label string")
+    assert graph.ask(spark, " select label, count(*) as n from entities group by label", {"entities": e}).first().n == 9
+    assert graph.ask(spark, "which laws?", {"entities": e}, 3).count() == 3
