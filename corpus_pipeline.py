@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids."""
+    """The pieces of all documents in sequences of 2048 ids, each with its ids; the padded sequences are ``sequences``."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
 
 
@@ -43,9 +43,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each result written as Parquet and reread."""
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages before packing keep of ``documents``, each result written as Parquet and reread."""
     docs = shared.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = shared.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to train on: the padded sequences of 2048 ids, stored, of what the stages keep."""
+    return packing.sequences(kept(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages; of the last one's pieces, digests of the ids."""
+    return packing.digests(STAGES[-1][1](spark, kept(spark, sf_dir), sf_dir))

@@ -2,12 +2,12 @@
 
 Pass one encodes every document once and stores its ids with its place inside its partition. Sums of the
 partition totals give each partition's global offset, hence each document's. Pass two cuts the concatenation
-into fixed windows; a document that crosses a window's end yields one record on each side.
+into fixed windows; a document that crosses a window's end yields one record on each side. Records of a window
+are put together to a sequence, the last one is padded, and the sequences are stored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,9 @@ from strataloom.llm import shared
 from strataloom.llm.tokens import encoder
 
 _CODED = "part long, before long, doc_id long, n long, ids binary"
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_CUT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Bytes of an id in what the operator returns, a little-endian number.
+ID_BYTES = 4
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -54,29 +56,51 @@ def with_offsets(coded: DataFrame) -> DataFrame:
 
 
 def cut(placed: DataFrame, width: int, bytes_per_id: int) -> DataFrame:
-    """One row for each piece of a document in a window."""
+    """One row for each piece of a document in a window, with its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype(f"<u{bytes_per_id}")
         for batch in batches:
             for piece in shared.slices(batch, 8 << 20, "ids"):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(7)]  # the columns of _CUT
                 for doc, begin, n, raw in zip(piece.column("doc_id").to_pylist(), piece.column("start").to_pylist(), piece.column("n").to_pylist(), piece.column("ids").to_pylist(), strict=True):
-                    ids = np.frombuffer(raw, dtype=kind).astype("<u4")
                     a = 0
                     while a < n:
                         window, offset = divmod(begin + a, width)
                         b = min(n, a + width - offset)
-                        for column, value in zip(out, (doc, a, b - a, zlib.crc32(ids[a:b]), n, window, offset), strict=True):
+                        for column, value in zip(out, (doc, a, b - a, n, window, offset, raw[a * bytes_per_id : b * bytes_per_id]), strict=True):
                             column.append(value)
                         a = b
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [x.split()[0] for x in _PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:-1]), pa.array(out[-1], pa.binary())], [x.split()[0] for x in _CUT.split(", ")])
 
-    return placed.select("doc_id", "start", "n", "ids").mapInArrow(run, _PIECES)
+    return placed.select("doc_id", "start", "n", "ids").mapInArrow(run, _CUT)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: int = 2048) -> DataFrame:
-    """Packs all documents into sequences of ``width`` ids; all are full but the last, which is padded.
+def join_pieces(cuts: DataFrame, width: int, bytes_per_id: int, pad_id: int) -> DataFrame:
+    """(sequence_id, n, ids, pieces): ``width`` ids each, of which the first ``n`` are of documents and the rest ``pad_id``.
+
+    Ids are shuffled as stored and widened to ID_BYTES afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = np.full(width, pad_id, dtype="<u4").tobytes()
+        for batch in batches:
+            for piece in shared.slices(batch, 8 << 20, "ids"):
+                wide = [np.frombuffer(x, dtype=f"<u{bytes_per_id}").astype("<u4").tobytes() for x in piece.column("ids").to_pylist()]
+                ids = pa.array([x + pad[len(x) :] for x in wide], pa.binary())
+                yield piece.set_column(piece.schema.get_field_index("ids"), "ids", ids)
+
+    row = F.struct("offset", "doc_id", "start", "length", "doc_tokens", "ids")
+    rows = cuts.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(row)).alias("rows"))
+    ids = F.aggregate("rows", F.lit(b""), lambda a, r: F.concat(a, r.ids))
+    pieces = F.transform("rows", lambda r: F.struct(r.doc_id.alias("doc_id"), r.start.alias("start"), r.length.alias("length"), r.doc_tokens.alias("doc_tokens"), r.offset.alias("offset")))
+    joined = rows.select("sequence_id", "n", ids.alias("ids"), pieces.alias("pieces"))
+    return joined.mapInArrow(run, joined.schema)
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: int = 2048, pad_id: int = 0) -> DataFrame:
+    """Packs all documents into sequences of ``width`` ids; all are full but the last, which is padded with ``pad_id``.
+
+    The result is stored. ``ids`` holds four little-endian bytes an id, ``n`` how many are not padding, ``pieces`` the
+    document, start in it, length, ids of the document in all, and offset in the sequence of each piece, in order.
 
     docs needs ``doc_id`` and ``text``; other columns are ignored. Null and empty texts hold ``end_id`` only.
     Rows that repeat a doc_id, or have none, are packed as documents of their own. An empty table gives no rows.
@@ -86,4 +110,21 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: int = 204
 
     size = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     coded = shared.materialize(encode_documents(docs, tokenizer_path, end_id), "packing-ids")
-    return cut(with_offsets(coded), width, size)
+    return shared.materialize(join_pieces(cut(with_offsets(coded), width, size), width, size, pad_id), "packing-sequences")
+
+
+def pieces_of(packed: DataFrame) -> DataFrame:
+    """One row for each piece in stored sequences, with its own ids."""
+    ids = lambda p: F.substring(F.col("ids"), (p.offset * ID_BYTES + 1).cast("int"), (p.length * ID_BYTES).cast("int"))
+    rows = F.transform("pieces", lambda p: F.struct(p.doc_id.alias("doc_id"), p.start.alias("start"), p.length.alias("length"), p.doc_tokens.alias("doc_tokens"), p.offset.alias("offset"), ids(p).alias("ids")))
+    return packed.select("sequence_id", F.inline(rows)).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with the CRC-32 of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: int = 2048, pad_id: int = 0) -> DataFrame:
+    """The pieces of ``sequences`` of docs, each with its ids and their CRC-32."""
+    return pieces_of(sequences(docs, tokenizer_path, end_id, width, pad_id)).withColumn("ids_crc32", F.crc32("ids"))

@@ -12,7 +12,7 @@ from strataloom.llm.shared import table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,27 @@ def test_packing(odd, none):
     assert packing.pack(none, BYTE).count() == 0
 
 
+def test_packing_returns_ids_and_padded_sequences(odd, none):
+    stored = packing.sequences(odd, BYTE, width=128, pad_id=70_000)
+    rows = sorted(stored.collect(), key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in rows] == list(range(len(rows)))
+    ids = {r.sequence_id: np.frombuffer(r.ids, dtype="<u4") for r in rows}
+    assert {len(x) for x in ids.values()} == {128} and [r.n for r in rows[:-1]] == [128] * (len(rows) - 1)
+    assert 0 < rows[-1].n < 128 and set(ids[rows[-1].sequence_id][rows[-1].n :].tolist()) == {70_000}
+    stream = np.concatenate([ids[r.sequence_id][: r.n] for r in rows]).tolist()
+    pieces = sorted(packing.pieces_of(stored).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert np.frombuffer(b"".join(r.ids for r in pieces), dtype="<u4").tolist() == stream
+    docs, t = [], plain_tokenizer(BYTE)
+    for r in pieces:
+        if r.start == 0:
+            docs.append((r.doc_id, []))
+        docs[-1][1].extend(np.frombuffer(r.ids, dtype="<u4").tolist())
+    want = [(d, [*t.encode(text, add_special_tokens=False).ids, 1]) for d, text in rows_of(odd)]
+    assert sorted(docs, key=repr) == sorted(want, key=repr)
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in packing.pack(odd, BYTE, width=128).collect())
+    assert packing.sequences(none, BYTE).count() == 0
+
+
 # 2
 
 

@@ -38,6 +38,12 @@ def test_run(spark, small):
     assert got.count() > 0
 
 
+def test_sequences_to_train_on(spark, small):
+    rows = corpus_pipeline.sequences(spark, small).collect()
+    assert {len(r.ids) for r in rows} == {4 * 2048}
+    assert sum(r.n for r in rows) == corpus_pipeline.run(spark, small).groupBy().sum("length").first()[0]
+
+
 def test_stages_on_an_empty_table(spark, small):
     docs = shared.table(spark, small, "documents").filter("false")
     for name, stage in corpus_pipeline.STAGES:
