@@ -41,6 +41,9 @@ MOST_BLOCKS = 32
 #: So many candidates' ids go to all executors (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Column with a row's number where doc_id doesn't tell rows apart.
+_ROW = "__row"
+
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, (2, VALUES + LONG_VALUES), dtype=np.uint64).astype(np.uint32)
 _FACTORS[1] |= np.uint32(1)
 
@@ -230,23 +233,13 @@ def _dealt(members: DataFrame) -> DataFrame:
     return a.select("group", "band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "doc_id", (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
-def groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    Words are runs without white space, A-Z lower-cased; the set has the distinct shingles of ``width`` words, or
-    the whole sequence where there are fewer. Documents link where 100 * intersection >= percent * union. A text
-    without words, or null, has an empty set and links with nothing, as has a row whose doc_id is null (its
-    component is null, and it is kept). Rows that repeat a doc_id are one document, with the least of their texts.
-    An empty table gives no rows. Extra columns are ignored.
-    """
+def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, n_shingles, component) of every row of (doc_id, text); here doc_id is any unique number."""
     spark = docs.sparkSession
     count, rows = bands(percent / 100)
-    docs = shared.text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")))
     base = shared.materialize(signatures(docs, width), "signatures")
     # classes of equal sets: one row each goes on
-    classes = base.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
+    classes = base.filter("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     keys = F.array(*[F.xxhash64(F.expr(f"substring(signature, {4 * rows * k + 1}, {4 * rows})"), F.lit(k)) for k in range(count)])
     banded = classes.select(F.col("rep").alias("doc_id"), F.posexplode(keys).alias("band", "bucket"))
     full = banded.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("least")).filter("members > 1")
@@ -267,10 +260,54 @@ def groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     # members of a class share its component
     reps = classes.select("set_hash", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("set_hash").alias("own_set"), F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_hash").join(reps, F.col("set_hash") == F.col("own_set"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _has_own_ids(docs: DataFrame) -> bool:
+    """Whether doc_id tells all rows apart and none is null."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 or doc_id is null").isEmpty()
+
+
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """docs, stored with a number of each row, for where doc_id doesn't tell them apart."""
+    return shared.materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _judged(keyed: DataFrame, percent: int, width: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, kept) of the rows of _with_keys; of equal rows with a doc_id only one."""
+    rows = shared.text_of(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), _ROW, "doc_id")
+    # of a doc_id's equal texts one row goes on; rows without doc_id are each their own
+    own = F.when(F.col("doc_id").isNull(), F.col(_ROW))
+    first = rows.groupBy("doc_id", F.sha2("text", 256).alias("text_hash"), own.alias("own")).agg(F.min(_ROW).alias(_ROW))
+    first = shared.materialize(first.select(_ROW, "doc_id", "text_hash"), "first-rows")
+    found = _components(rows.join(first.select(_ROW), _ROW, "left_semi").select(F.col(_ROW).alias("doc_id"), "text"), percent, width)
+    found = shared.materialize(found.withColumnRenamed("doc_id", _ROW).join(first, _ROW), "judged")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", _ROW)).alias("least")
+    best = found.groupBy("component").agg(least).select("component", F.col("least.doc_id").alias("component_id"), F.col(f"least.{_ROW}").alias("best"))
+    return found.join(best, "component").select(_ROW, "doc_id", "n_shingles", "component_id", (F.col(_ROW) == F.col("best")).alias("kept"))
+
+
+def groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    Words are runs without white space, A-Z lower-cased; the set has the distinct shingles of ``width`` words, or
+    the whole sequence where there are fewer. Documents link where 100 * intersection >= percent * union. A text
+    without words, or null, has an empty set and links with nothing. component_id is the least doc_id of a group,
+    null where none has one; one document of each group is kept, of the least doc_id. Rows that repeat a doc_id with
+    other texts are documents of their own, linked by their texts (so groups may share a component_id); rows that
+    repeat both are one document, with one row here. Rows without doc_id link by their texts, and any doc_id comes
+    before none. An empty table gives no rows. Extra columns are ignored.
+    """
+    if not _has_own_ids(docs):
+        return _judged(_with_keys(docs.select("doc_id", "text")), percent, width).drop(_ROW)
+    found = _components(shared.text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"), percent, width)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their group; all columns stay as they are."""
-    gone = groups(docs, percent, width).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    """Exactly one row of each group, that of the least doc_id; all columns stay as they are."""
+    if not _has_own_ids(docs):
+        keyed = _with_keys(docs)
+        return keyed.join(_judged(keyed, percent, width).filter("kept").select(_ROW), _ROW, "left_semi").drop(_ROW)
+    gone = groups(docs, percent, width).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -289,6 +289,23 @@ def test_near_dedup(spark, odd, none, small, percent):
     assert near_dedup.keep_one(odd, percent).filter("doc_id is null").count() == 2
 
 
+def test_near_dedup_of_rows_that_share_or_lack_a_doc_id(spark):
+    near = lambda seed, *at: " ".join("changed" if i in at else f"{seed}{i}" for i in range(100))
+    rows = [
+        (3, near("a"), "first"), (5, near("a", 99), "copy of 3"), (5, "unique clean text of five", "unique"),
+        (7, near("b", 99), "lesser"), (7, near("c", 0), "greater"), (9, near("c"), "copy of the greater"),
+        (11, near("d"), "repeated"), (11, near("d"), "repeated"), (12, "", "empty"), (12, None, "empty"),
+        (None, near("a", 0), "copy of 3 without id"), (None, near("e"), "e"), (None, near("e", 99), "e"), (None, "", "blank"), (None, None, "blank"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = near_dedup.keep_one(df, 80)
+    assert kept.columns == df.columns
+    assert sorted(r.lang for r in kept.collect()) == sorted(["first", "unique", "lesser", "greater", "repeated", "empty", "e", "blank", "blank"])
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.groups(df, 80).collect())
+    want = [(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (7, 7, True), (9, 7, False), (11, 11, True), (12, 12, True), (None, 3, False), (None, None, True), (None, None, False), (None, None, True), (None, None, True)]
+    assert got == Counter(want)
+
+
 @pytest.mark.parametrize(("block", "most_blocks"), [(256, 32), (7, 32), (7, 2)])
 def test_near_dedup_of_a_chain_of_copies(spark, monkeypatch, block, most_blocks):
     """A group far larger than a block, whose members mostly don't link with each other."""
