@@ -61,3 +61,25 @@ def token_histogram(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """The histogram of ``docs``; needs ``doc_id`` and ``text``. Null and empty texts have length 0; repeated rows
     count each time; an empty table gives no rows. Bands are as many as the longest text has thousands of ids."""
     return histogram(lengths(docs, tokenizer_path))
+
+
+def at_limits(counted: DataFrame, limits: list[int]) -> DataFrame:
+    """(limit, docs_at_least, tokens_at_least, truncated_tokens) of a histogram for any limits, also where no document
+    has that length: of the suffix sums, those of the next length that occurs hold; beyond the longest they are 0."""
+    if any(x < 0 for x in limits):
+        raise ValueError("limits must not be negative")
+    asked = counted.sparkSession.createDataFrame([(x,) for x in sorted(set(limits))], "limit long")
+    total = counted.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("all_tokens"))
+    sums = F.min_by(F.struct("docs_at_least", "tokens_at_least"), "n_tokens").alias("s")
+    found = counted.join(F.broadcast(asked), F.col("n_tokens") >= F.col("limit")).groupBy("limit").agg(sums)
+    docs, mass = F.coalesce("s.docs_at_least", F.lit(0)), F.coalesce("s.tokens_at_least", F.lit(0))
+    return asked.join(found, "limit", "left").crossJoin(total).select("limit", docs.alias("docs_at_least"), mass.alias("tokens_at_least"), (F.col("all_tokens") - mass + docs * F.col("limit")).alias("truncated_tokens"))
+
+
+def at_quantiles(counted: DataFrame, quantiles: list[float]) -> DataFrame:
+    """(quantile, n_tokens) of a histogram: the least length with that share of documents at most; null without documents."""
+    if any(not 0 <= x <= 1 for x in quantiles):
+        raise ValueError("quantiles lie between 0 and 1")
+    asked = counted.sparkSession.createDataFrame([(float(x),) for x in sorted(set(quantiles))], "quantile double")
+    found = counted.join(F.broadcast(asked), F.col("share_at_most") >= F.col("quantile")).groupBy("quantile").agg(F.min("n_tokens").alias("n_tokens"))
+    return asked.join(found, "quantile", "left")

@@ -254,6 +254,19 @@ def test_token_counts(odd, none):
     assert token_counts.token_histogram(none, BYTE).count() == 0
 
 
+def test_token_counts_at_any_limit_and_quantile(spark):
+    n = np.array([3, 3, 10, 40, 5000])
+    counts = token_counts.histogram(spark.createDataFrame([(int(x),) for x in n], "n_tokens long"))
+    limits = [0, 1, 3, 4, 10, 39, 4096, 5000, 32768]
+    got = {r.limit: (r.docs_at_least, r.tokens_at_least, r.truncated_tokens) for r in token_counts.at_limits(counts, limits).collect()}
+    assert got == {x: ((n >= x).sum(), n[n >= x].sum(), np.minimum(n, x).sum()) for x in limits}
+    got = {r.quantile: r.n_tokens for r in token_counts.at_quantiles(counts, [0, 0.4, 0.5, 0.8, 0.81, 1]).collect()}
+    assert got == {0: 3, 0.4: 3, 0.5: 10, 0.8: 40, 0.81: 5000, 1: 5000}
+    no = counts.filter("false")
+    assert [tuple(r) for r in token_counts.at_limits(no, [7]).collect()] == [(7, 0, 0, 0)]
+    assert [tuple(r) for r in token_counts.at_quantiles(no, [0.5]).collect()] == [(0.5, None)]
+
+
 # 7
 
 
