@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op7_near_dedup": near_dedup.oracle_sql(percent=85, width=5), "op10_url_filter": url_filter.oracle_sql()}

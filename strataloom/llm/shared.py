@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _U64 = np.uint64
 
+#: Setting with the folder of the workspace that is open, below the shared folder.
+WORKSPACE = "spark.strataloom.workspace"
+#: A key of more rows than this share of all is joined by a broadcast; so many keys at most.
+MOST_HOT = 1000
+#: A key of fewer rows isn't worth it.
+LEAST_HOT = 100
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own."""
@@ -35,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.conf.get(WORKSPACE, None) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -45,6 +54,57 @@ def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
+class Tables:
+    """Stored tables of one operation: all are removed at its end but those that its result reads.
+
+    ``with Tables() as t: ... return t.result(df, name)``; ``store`` makes a table that later steps of the operation read.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for spark, at in self.made:
+            remove(spark, at)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        out, at = materialize_at(df, name)
+        self.made.append((df.sparkSession, at))
+        return out
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Whatever operators store inside the block goes to a folder of its own, which is removed at the end.
+
+    Results read these tables, so they must be written elsewhere, or collected, before the block ends.
+    """
+    before, at = spark.conf.get(WORKSPACE, None), new_path(spark, "workspace")
+    spark.conf.set(WORKSPACE, at)
+    try:
+        yield at
+    finally:
+        spark.conf.set(WORKSPACE, before) if before else spark.conf.unset(WORKSPACE)
+        remove(spark, at)
+
+
+def with_key_row(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with the one row that ``per_key`` has for their key; its column ``members`` counts the key's rows.
+
+    ``total`` is how many rows there are. Keys of more than a thousandth of them, fewer than a thousand keys
+    therefore, are broadcast and the others shuffled, so no task gets all rows of a frequent key.
+    """
+    frequent = F.col("members") > max(LEAST_HOT, total // MOST_HOT)
+    hot, cold = F.broadcast(per_key.filter(frequent)), per_key.filter(~frequent)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(per_key.filter(frequent).select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     return materialize_at(df, name)[0]
 
@@ -56,6 +116,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def parts_of(docs: DataFrame, part_bytes: int, most: int) -> int:
+    """Partitions for a pass that orders ``docs``: the session's number, more where texts need it, no more than rows."""
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    return int(min(most, max(1, size // part_bytes, min(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,10 +134,15 @@ def text_of(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
-    """Zero-copy slices of an Arrow batch whose texts have about ``most_bytes`` at most, or one long text."""
+    """Zero-copy slices of an Arrow batch whose texts have about ``most_bytes`` at most, or one long text.
+
+    A column of lists counts four bytes an entry."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    values = batch.column(column)
+    sizes = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    lengths = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
     total, first = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if total and total + n > most_bytes:
