@@ -3,6 +3,7 @@
 The lexicon is a fixed list of insults together with words, and beginnings of words, that labelled toxic texts have far
 more often than others. It is learned without the texts whose features train the trees (by thirds), so that the trees
 see how well a lexicon works on texts that it has not seen; their predictions for the left-out thirds calibrate.
+Spark counts in how many texts each word stands; the driver gets the strongest words and a row of numbers for each text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ THRESHOLD = 0.7
 #: A word enters the lexicon if so many toxic texts have it, so many times as often as others.
 LEAST_TEXTS = 3
 LEAST_LOG_ODDS = 2.5
+#: Entries of the lexicon, words and beginnings together: the most telling ones.
+LEXICON_WORDS = 40_000
 #: Bytes of the beginnings of words.
 BEGINNINGS = (4, 5)
 NEAR = 5
@@ -134,23 +137,20 @@ def features(words: Words, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def learn_lexicon(rows: list[dict], y: np.ndarray) -> Lexicon:
-    """From sets of hashes: rows are dicts with sorted arrays ``words`` and ``beginnings``."""
-    toxic, other = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
+def learn_lexicon(counts: list, toxic: int, other: int, folds: list[int]) -> Lexicon:
+    """From rows (kind, hash, a, b): in how many toxic and other texts a word stands, by folds; only ``folds`` count."""
+    kind, hashes = (np.array([r[k] for r in counts], dtype=np.int64) for k in range(2))
+    a, b = (np.array([[r[k][f] for f in folds] for r in counts], dtype=np.float64).reshape(len(counts), len(folds)).sum(axis=1) for k in (2, 3))
+    odds = np.log((a + 0.5) / (max(toxic, 1) + 1)) - np.log((b + 0.5) / (max(other, 1) + 1))
+    keep = (a >= LEAST_TEXTS) & (odds >= LEAST_LOG_ODDS)
 
-    def strong(key: str) -> tuple[np.ndarray, np.ndarray]:
-        sets = [r[key] for r in rows]
-        if not sets or not sum(map(len, sets)):
-            return np.empty(0, dtype=np.uint32), np.empty(0)
-        all_, which = np.unique(np.concatenate(sets), return_inverse=True)
-        label = np.repeat(y, [len(s) for s in sets])
-        a, b = np.bincount(which, weights=label), np.bincount(which, weights=1 - label)
-        odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1))
-        keep = (a >= LEAST_TEXTS) & (odds >= LEAST_LOG_ODDS)
-        return all_[keep], odds[keep]
+    def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(keep & (kind == k))
+        own = own[np.argsort(hashes[own])]
+        return hashes[own].astype(np.uint32), odds[own]
 
-    words, odds = strong("words")
-    return Lexicon(words, odds, strong("beginnings")[0])
+    words, strength = of(0)
+    return Lexicon(words, strength, of(1)[0])
 
 
 @dataclass
@@ -221,14 +221,17 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the increasing step function nearest to y, by pooling adjacent violators; linear between points."""
-    order = np.argsort(margin, kind="stable")
+    """Points of the increasing step function nearest to y, by pooling adjacent violators; linear between points.
+
+    Equal margins are one point with their mean."""
+    values, of, weights = np.unique(margin, return_inverse=True, return_counts=True)
+    sums = np.bincount(of, weights=y, minlength=len(values))
     blocks: list[list[float]] = []  # weight, sum of y, sum of margins
-    for m, v in zip(margin[order], y[order], strict=True):
-        blocks.append([1.0, float(v), float(m)])
+    for m, w, v in zip(values.tolist(), weights.tolist(), sums.tolist(), strict=True):
+        blocks.append([float(w), v, m * w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            w, s, t = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + t]
+            w_, s, t = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + w_, blocks[-1][1] + s, blocks[-1][2] + t]
     b = np.array(blocks).reshape(-1, 3)
     return b[:, 2] / b[:, 0], (b[:, 1] + 0.02) / (b[:, 0] + 0.04)
 
@@ -247,56 +250,89 @@ class Model:
         return np.clip(np.interp(margin, self.points, self.values), 0, 1)
 
 
-def _slice(rows: list[dict], lexicon: Lexicon) -> np.ndarray:
-    if not rows:
-        return np.zeros((0, FEATURES))
-    at = np.concatenate(([0], np.cumsum([len(r["order"]) for r in rows])))
-    w = Words(np.concatenate([r["order"] for r in rows]), at, [np.concatenate([r["starts"][k] for r in rows]) for k in range(len(BEGINNINGS))], np.array([r["plain"] for r in rows]))
-    return features(w, lexicon)
-
-
-def fit(rows: list[dict], y: np.ndarray) -> Model:
-    """rows: order (hashes of words), starts (of beginnings), plain, group; rows of a group are alike and stay together."""
-    for r in rows:
-        r["words"], r["beginnings"] = np.unique(r["order"]), np.unique(np.concatenate(r["starts"]))
-    group = np.array([r["group"] for r in rows], dtype=np.uint64)
-    first = np.zeros(len(rows), dtype=bool)
-    first[np.unique(group, return_index=True)[1]] = True  # one text of a group counts for the lexicon
-    lexicon_of = lambda mask: learn_lexicon([r for r, m in zip(rows, mask & first, strict=True) if m], y[mask & first])
-    if not len(rows) or y.min() == y.max():
-        return Model(Lexicon(), boost(np.zeros((len(rows), FEATURES)), y), np.empty(0), np.empty(0))
-    fold = (shared.mix(group + np.uint64(11)) % np.uint64(FOLDS)).astype(int)
-    x = np.zeros((len(rows), FEATURES))
-    for k in range(FOLDS):
-        part = np.flatnonzero(fold == k)
-        if len(part):
-            x[part] = _slice([rows[i] for i in part], lexicon_of(fold != k))
-    margin = np.zeros(len(rows))
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Model:
+    """x: features by lexica that were learned without a row's own fold; ``lexicon`` is that of all folds."""
+    if not len(y) or y.min() == y.max():
+        return Model(Lexicon(), boost(np.zeros((len(y), FEATURES)), y), np.empty(0), np.empty(0))
+    margin = np.zeros(len(y))
     for k in range(FOLDS):
         if (fold == k).any():
             margin[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
-    points, values = isotonic(margin, y)
-    return Model(lexicon_of(np.ones(len(rows), dtype=bool)), boost(x, y), points, values)
+    return Model(lexicon, boost(x, y), *isotonic(margin, y))
+
+
+def _group(order: np.ndarray) -> int:
+    """A number that texts which are mostly alike mostly share: the least hash of neighbouring words."""
+    if len(order) < 2:
+        return int(order[0]) if len(order) else 0
+    return int(shared.mix(order[1:].astype(np.uint64) ^ (order[:-1].astype(np.uint64) << np.uint64(32))).min())
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, most: int = MOST_ROWS) -> Model:
-    """Fits on ``labels.toxic`` of at most ``most`` documents outside the held-out fold."""
+    """Fits on ``labels.toxic`` of at most ``most`` documents outside the held-out fold, each whatever its length.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sample is stored. Texts of a group stay in one fold, and one text of a group counts for the lexicon.
+    """
+    spark = docs.sparkSession
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in shared.slices(batch):
                 w = read(piece.column("text").to_pylist())
-                cells = lambda a: pa.array([a[p:q].tobytes() for p, q in zip(w.at[:-1], w.at[1:], strict=True)], pa.binary())  # noqa: B023,E731
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), cells(w.hashes), *[cells(b) for b in w.beginnings], pa.array([p.tobytes() for p in w.plain], pa.binary())], ["doc_id", "y", "o", "b0", "b1", "p"])
-
-    found = labelled.sample(docs, labels, "toxic", modulus, remainder, most).mapInArrow(run, "doc_id long, y int, o binary, b0 binary, b1 binary, p binary").collect()
-    rows = []
-    found.sort(key=lambda r: r.doc_id)
-    for r in found:
-        order = np.frombuffer(r.o, dtype=np.uint32)
-        pairs = shared.mix(order[1:].astype(np.uint64) ^ (order[:-1].astype(np.uint64) << np.uint64(32))) if len(order) > 1 else order
-        rows.append({"order": order, "starts": [np.frombuffer(b, dtype=np.uint32) for b in (r.b0, r.b1)], "plain": np.frombuffer(r.p), "group": int(pairs.min()) if len(pairs) else 0, "y": r.y})
-    return fit(rows, np.array([r["y"] for r in rows], dtype=np.float64))
+                own = np.array([_group(w.hashes[a:b]) for a, b in zip(w.at[:-1], w.at[1:], strict=True)], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(own.view(np.int64))], ["doc_id", "y", "group"])
+
+    with shared.Tables() as t:
+        sample = t.store(labelled.sample(docs, labels, "toxic", modulus, remainder, most).select("doc_id", "text", "y"), "toxicity-sample")
+        rows = sorted(sample.mapInArrow(groups, "doc_id long, y int, group long").collect())  # three numbers a row of the sample
+        ids, y, group = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        if not len(y) or y.min() == y.max():
+            return fit(np.zeros((len(y), FEATURES)), y.astype(np.float64), np.zeros(len(y)), Lexicon())
+        fold = (shared.mix(group.view(np.uint64) + np.uint64(11)) % np.uint64(FOLDS)).astype(int)
+        first = np.zeros(len(rows), dtype=bool)
+        first[np.unique(group.view(np.uint64), return_index=True)[1]] = True
+        place = spark.sparkContext.broadcast({int(i): (int(f), bool(o)) for i, f, o in zip(ids, fold, first, strict=True)})
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in shared.slices(batch):
+                    w, own = read(piece.column("text").to_pylist()), piece.column("doc_id").to_pylist()
+                    sets: list[tuple[int, int, np.ndarray]] = [(0, 0, np.empty(0, dtype=np.uint32))]
+                    for doc, label, a, b in zip(own, piece.column("y").to_pylist(), w.at[:-1], w.at[1:], strict=True):
+                        k, counts = place.value[doc]
+                        if counts:
+                            sets += [(0, 2 * k + label, np.unique(w.hashes[a:b])), (1, 2 * k + label, np.unique(np.concatenate([x[a:b] for x in w.beginnings])))]
+                    kind, cell = (np.repeat(np.array([s[k] for s in sets], dtype=np.int32), [len(s[2]) for s in sets]) for k in range(2))
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([s[2] for s in sets]).astype(np.int64)), pa.array(cell)], ["kind", "hash", "cell"])
+
+        totals = np.array([[int((first & (fold == f) & (y == v)).sum()) for f in range(FOLDS)] for v in (1, 0)])
+        variants = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+        count = lambda f, v: F.count_if(F.col("cell") == 2 * f + v)
+        counted = sample.mapInArrow(words, "kind int, hash long, cell int").groupBy("kind", "hash").agg(F.array(*[count(f, 1) for f in range(FOLDS)]).alias("a"), F.array(*[count(f, 0) for f in range(FOLDS)]).alias("b"))
+
+        def strength(folds: list[int]):
+            a, b = (sum((F.col(c)[f] for f in folds), F.lit(0)) for c in "ab")
+            toxic, other = (max(int(totals[v, folds].sum()), 1) + 1 for v in (0, 1))
+            return F.when(a >= LEAST_TEXTS, F.log((a + 0.5) / toxic) - F.log((b + 0.5) / other))
+
+        best = F.greatest(*[strength(v) for v in variants])
+        strong = counted.withColumn("best", best).filter(F.col("best") > LEAST_LOG_ODDS - 1e-6).orderBy(F.desc("best"), "hash", "kind").limit(LEXICON_WORDS)
+        strong = [(r.kind, r.hash, r.a, r.b) for r in strong.collect()]
+        lexica = [learn_lexicon(strong, int(totals[0, v].sum()), int(totals[1, v].sum()), v) for v in variants]
+        sent = spark.sparkContext.broadcast(lexica)
+
+        def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in shared.slices(batch):
+                    w, own = read(piece.column("text").to_pylist()), piece.column("doc_id").to_pylist()
+                    folds = np.array([place.value[doc][0] for doc in own])
+                    x = np.zeros((len(own), FEATURES))
+                    for k in np.unique(folds):
+                        x[folds == k] = features(w, sent.value[k])[folds == k]
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+
+        found = sorted(sample.mapInArrow(dense, "doc_id long, x binary").collect())  # FEATURES numbers a row of the sample
+        return fit(np.array([np.frombuffer(r.x) for r in found]).reshape(len(found), FEATURES), y.astype(np.float64), fold, lexica[-1])
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 3, remainder: int = 1) -> DataFrame:
