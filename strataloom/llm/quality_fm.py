@@ -21,6 +21,8 @@ WORD_BITS = 14
 RANK = 8
 #: Most labelled rows that the fit uses.
 MOST_ROWS = 10_000
+#: Most bytes of their features, so that the driver holds them whatever the texts' lengths.
+MOST_BYTES = 96 << 20
 #: Passes over the rows at least, and steps of 64 rows at least.
 EPOCHS, STEPS = 12, 1500
 THRESHOLD = 0.7
@@ -132,7 +134,8 @@ def fit(indices: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, seed
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, most: int = MOST_ROWS) -> Machine:
-    """Fits on ``labels.quality`` of at most ``most`` documents outside the held-out fold; equal texts count once."""
+    """Fits on ``labels.quality`` of at most ``most`` documents outside the held-out fold, and at most MOST_BYTES of
+    features; equal texts count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
                 i, x = features(piece.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array([a.tobytes() for a in i], pa.binary()), pa.array([a.tobytes() for a in x], pa.binary())], ["doc_id", "y", "i", "x"])
 
-    rows = labelled.sample(docs, labels, "quality", modulus, remainder, most).mapInArrow(run, "doc_id long, y int, i binary, x binary").collect()
+    with shared.Tables() as t:
+        found = labelled.sample(docs, labels, "quality", modulus, remainder, most).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, i binary, x binary")
+        rows = labelled.within_bytes(t.store(found, "quality-features"), F.octet_length("i") + F.octet_length("x"), MOST_BYTES).collect()
     rows = {(r.i, r.x): r for r in sorted(rows, key=lambda r: -r.doc_id)}.values()
     rows = sorted(rows, key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.i, dtype=np.int32) for r in rows], [np.frombuffer(r.x, dtype=np.float32) for r in rows], np.array([r.y for r in rows], dtype=np.float64))
