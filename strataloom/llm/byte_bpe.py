@@ -57,15 +57,16 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 
 def decode_table(coded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """(doc_id, data): the bytes that the ids stand for, which need not be whole characters."""
+    """(doc_id, data): the bytes that the ids stand for, which need not be whole characters; null where ids are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_file(rank_path, pattern)
         for batch in batches:
-            data = [encoding.decode_bytes(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
+            for piece in shared.slices(batch, column="ids"):
+                data = [None if x is None else encoding.decode_bytes(x) for x in piece.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, data binary")
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -52,6 +52,7 @@ def with_offsets(coded: DataFrame) -> DataFrame:
     Only one row a partition, a number the input's splits bound, meets in one place."""
     totals = coded.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select(F.col("part").alias("base_part"), (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
+    # one row a partition of the input, 16 bytes each: a hundred thousand partitions make 2 MB
     return coded.join(F.broadcast(bases), coded.part == bases.base_part).withColumn("start", F.col("base") + F.col("before"))
 
 
@@ -109,8 +110,9 @@ def sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: int
     from tokenizers import Tokenizer
 
     size = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-    coded = shared.materialize(encode_documents(docs, tokenizer_path, end_id), "packing-ids")
-    return shared.materialize(join_pieces(cut(with_offsets(coded), width, size), width, size, pad_id), "packing-sequences")
+    with shared.Tables() as t:
+        coded = t.store(encode_documents(docs, tokenizer_path, end_id), "packing-ids")
+        return t.result(join_pieces(cut(with_offsets(coded), width, size), width, size, pad_id), "packing-sequences")
 
 
 def pieces_of(packed: DataFrame) -> DataFrame:
