@@ -34,6 +34,11 @@ CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 18
 #: Bytes of ids in a shard file.
 SHARD_BYTES = 64 << 20
+#: Partitions of the ordered pass: one for so many bytes of text, and their most.
+PART_BYTES = 128 << 20
+MOST_PARTS = 100_000
+#: Characters of a text by which rows that share a doc_id, or have none, are told to different partitions.
+PREFIX = 64
 _MANIFEST = "part long, shard long, path string, docs long, ids long"
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
@@ -158,9 +163,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, at: str) -> DataFra
         if writer:
             yield finish()
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = shared.text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ordered = shared.text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    parts = shared.parts_of(ordered, PART_BYTES, MOST_PARTS)
+    ordered = ordered.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     return shared.materialize(ordered.mapInArrow(run, _MANIFEST), "token-manifest")
 
 
@@ -185,8 +190,9 @@ def read(manifest: DataFrame) -> DataFrame:
                         at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, sizes, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = bases.select("path", "base")
-    return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task reads the files of one writer, or of a few
+    files = bases.select("path", "base", "part")
+    return files.repartition("part").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
