@@ -9,14 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Events after which the status no longer depends on what it was. Attaching again changes no status.
-RESETS = {
-    "DocumentChunked": "CHUNKED",
-    "GraphExtractedFromDocument": "GRAPH_EXTRACTED",
-    "DocumentKnowledgeIndexed": "INDEXED",
-    "DocumentProcessingFailed": "FAILED",
-}
-STORED, PARSED, PROGRESS, DELETED = "DocumentStored", "DocumentParsedToMarkdown", "DocumentProgressUpdated", "DocumentDeleted"
+from strataloom.operators.read_model import DELETED, document_status  # noqa: F401  the status is part of a log's folds
+
 STALE = ("UPLOADED", "PARSED", "CHUNKED")
 
 
@@ -39,39 +33,6 @@ def append(batch: DataFrame, log: DataFrame) -> DataFrame:
     return batch.join(log.select("aggregate_id", "event_version"), ["aggregate_id", "event_version"], "left_anti")
 
 
-def _at(kind: str) -> Column:
-    return F.max(F.when(F.col("event_type") == kind, F.col("event_version")))
-
-
-def document_status(log: DataFrame) -> DataFrame:
-    """(aggregate_id, status, last_version) of every document whose log doesn't end its life.
-
-    The last event that sets the status whatever it was decides, together with which weaker events follow it:
-    storing lifts PENDING_UPLOAD and FAILED to UPLOADED, progress lifts FAILED to PROCESSING, parsing lifts
-    PENDING_UPLOAD, UPLOADED and FAILED to PARSED. Only the first of each after the reset matters. One shuffle by
-    aggregate serves the window and the aggregation, whose buffers are numbers. Events from DocumentDeleted on
-    count no more.
-    """
-    version, kind, names = F.col("event_version"), F.col("event_type"), list(RESETS)
-    code = F.array_position(F.array(*[F.lit(k) for k in names]), kind)  # 0: no reset
-    reset = F.coalesce(F.max(F.when(code > 0, version)).over(Window.partitionBy("aggregate_id")), F.lit(0))
-    a = log.select("aggregate_id", "event_type", "event_version", code.alias("code"), reset.alias("reset"))
-    first = lambda k: F.min(F.when((kind == k) & (version > F.col("reset")), version))
-    a = a.groupBy("aggregate_id").agg(
-        _at(DELETED).alias("deleted"), F.max(version).alias("last_version"), F.max(F.when(version == F.col("reset"), F.col("code"))).alias("code"),
-        first(STORED).alias("stored"), first(PARSED).alias("parsed"), first(PROGRESS).alias("progress"),
-    ).filter("deleted is null")
-    start = F.coalesce(F.get(F.array(*[F.lit(RESETS[k]) for k in names]), (F.col("code") - 1).cast("int")), F.lit("PENDING_UPLOAD"))
-    a = a.withColumn("start", start)
-    never = F.lit(2**31 - 1)
-    stored, parsed, progress = (F.coalesce(F.col(c), never) for c in ("stored", "parsed", "progress"))
-    pending = F.when(parsed < never, "PARSED").when(stored < never, "UPLOADED").otherwise("PENDING_UPLOAD")
-    # after a failure the first of the three decides whether parsing still lifts
-    failed = F.when(progress < F.least(stored, parsed), "PROCESSING").when(parsed < never, "PARSED").when(stored < never, "UPLOADED").otherwise("FAILED")
-    status = F.when(F.col("start") == "PENDING_UPLOAD", pending).when(F.col("start") == "FAILED", failed).otherwise(F.col("start"))
-    return a.select("aggregate_id", status.alias("status"), "last_version")
-
-
 def fold_latest(log: DataFrame, fields: list[str]) -> DataFrame:
     """Each aggregate's last value of each field that isn't null, with its number of events."""
     last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("event_version"))).alias(f) for f in fields]

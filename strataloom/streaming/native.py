@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.operators.read_model import COLUMNS, with_payload
 from strataloom.streaming import projector
 
 
@@ -16,18 +17,12 @@ def windowed(events: DataFrame, time: str, width: str, keys: list[str]) -> DataF
     return events.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def headings_as_of(toc: DataFrame, pages: DataFrame, levels: int = 3) -> DataFrame:
-    """(doc_id, page, h1 ... ): for each page the last heading of each level at or before it, unless a shallower one
-    came later. One window over headings and pages together, in place of an as-of join."""
-    a = toc.select("doc_id", "page", F.lit(0).alias("asks"), "level", "title").unionByName(pages.distinct().select("doc_id", "page", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("level"), F.lit(None).cast("string").alias("title")))
-    order = Window.partitionBy("doc_id").orderBy("page", "asks", "level", "title").rowsBetween(Window.unboundedPreceding, 0)
-    last = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct("page", "level", "title")).when(F.col("level") < k, F.struct("page", "level", F.lit(None).cast("string").alias("title"))), ignorenulls=True).over(order)["title"] for k in range(1, levels + 1)}
-    return a.withColumns(last).filter("asks = 1").select("doc_id", "page", *last)
-
-
-def _folder(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; only a local session may use the driver's temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and known.isDefined():
+        at = known.get().rsplit("/", 1)[0]
     if not at:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -46,20 +41,28 @@ def _drained(stream: DataFrame, mode: str, folder: str, collect) -> None:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def stream_status(spark: SparkSession, log: DataFrame) -> DataFrame:
-    """Writes the log as files, streams them through the projector, and returns each document's last row."""
-    at = _folder(spark, "stream")
-    rows = log.select("aggregate_id", "event_type", "event_version")
+def stream_documents(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """Writes the log as files, streams them through the projector, and returns each document's last row.
+
+    Each micro-batch overwrites a folder of its own number, so a repeated batch changes nothing."""
+    at = shared_folder(spark, "stream")
+    rows = with_payload(log)
     rows.write.parquet(f"{at}/log")
     stream = spark.readStream.schema(rows.schema).parquet(f"{at}/log")
-    _drained(projector.project_documents(stream), "update", at, lambda batch, n: batch.write.mode("append").parquet(f"{at}/out"))
-    out = spark.read.schema("aggregate_id string, status string, version int").parquet(f"{at}/out")
-    return out.groupBy("aggregate_id").agg(F.max_by("status", "version").alias("status"), F.max("version").alias("version"))
+    _drained(projector.project_documents(stream), "update", at, lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}"))
+    out = spark.read.schema(f"aggregate_id string, {COLUMNS}").parquet(f"{at}/out").drop("batch")
+    names = [c for c in out.columns if c != "aggregate_id"]
+    last = out.groupBy("aggregate_id").agg(F.max_by(F.struct(*names), "version").alias("last"))
+    return last.select("aggregate_id", "last.*").filter("status <> 'DELETED'")
+
+
+def stream_status(spark: SparkSession, log: DataFrame) -> DataFrame:
+    return stream_documents(spark, log).select("aggregate_id", "status", "version")
 
 
 def stream_once(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Delivers the events twice in one stream and returns what is left after deduplication within a watermark."""
-    at = _folder(spark, "stream")
+    at = shared_folder(spark, "stream")
     for _ in range(2):
         events.write.mode("append").parquet(f"{at}/log")
     stream = spark.readStream.schema(events.schema).parquet(f"{at}/log")

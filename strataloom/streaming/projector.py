@@ -10,49 +10,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strataloom import importable
-from strataloom.operators.events import DELETED, PARSED, PROGRESS, RESETS, STORED
+from strataloom.operators.read_model import COLUMNS, apply_event, step_status, with_payload
 
-#: What an event turns a status into; a status that isn't named stays.
-LIFTS = {
-    STORED: {"PENDING_UPLOAD": "UPLOADED", "FAILED": "UPLOADED"},
-    PROGRESS: {"FAILED": "PROCESSING"},
-    PARSED: {"PENDING_UPLOAD": "PARSED", "UPLOADED": "PARSED", "FAILED": "PARSED"},
-}
+_NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
-def step(status: str | None, event_type: str) -> str | None:
-    """The status after an event; DELETED is final. A document begins as PENDING_UPLOAD, and attaching again changes nothing."""
-    if status == "DELETED" or event_type == DELETED:
-        return "DELETED"
-    if event_type == "DocumentAttached":
-        return status or "PENDING_UPLOAD"
-    status = status or "PENDING_UPLOAD"
-    return RESETS.get(event_type) or LIFTS.get(event_type, {}).get(status, status)
+def _plain(v):
+    """A cell of a pandas frame as Python has it."""
+    return None if v is None or v is pd.NA or isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v
 
 
 class DocumentProjector(StatefulProcessor):
-    """Keeps each document's status and last version; an event that is not newer is a repeated delivery."""
+    """Keeps each document's row of the read model; an event that is not newer is a repeated delivery."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("document", "status string, version int")
+        self.state = handle.getValueState("document", COLUMNS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, version = self.state.get() if self.state.exists() else (None, 0)
-        events = pd.concat(list(rows)).sort_values("event_version")
-        for e in events.itertuples():
-            if e.event_version > version:
-                status, version = step(status, e.event_type), int(e.event_version)
-        self.state.update((status, version))
-        yield pd.DataFrame({"aggregate_id": [str(key[0])], "status": [status], "version": [version]})
+        row = dict(zip(_NAMES, self.state.get(), strict=True)) if self.state.exists() else dict.fromkeys(_NAMES) | {"version": 0}
+        events = [{k: _plain(v) for k, v in e.items()} for part in rows for e in part.to_dict("records")]
+        for e in sorted(events, key=lambda e: e["event_version"]):
+            if e["event_version"] > row["version"]:
+                row = apply_event(row, {k: int(v) if isinstance(v, float) else v for k, v in e.items()})
+        self.state.update(tuple(row[c] for c in _NAMES))
+        yield pd.DataFrame({"aggregate_id": [str(key[0])]} | {c: pd.Series([row[c]], dtype=object) for c in _NAMES})
 
     def close(self) -> None:
         pass
 
 
 def project_documents(events: DataFrame) -> DataFrame:
-    """A stream of (aggregate_id, status, version), a row for each document that a micro-batch changed."""
+    """A stream of (aggregate_id, and the read model's columns), a row for each document that a micro-batch changed.
+
+    A deleted document's row has the status DELETED."""
     importable(events.sparkSession)
-    return events.groupBy("aggregate_id").transformWithStateInPandas(DocumentProjector(), "aggregate_id string, status string, version int", "Update", "None")
+    return with_payload(events).groupBy("aggregate_id").transformWithStateInPandas(DocumentProjector(), f"aggregate_id string, {COLUMNS}", "Update", "None")
 
 
 class RunProjector(StatefulProcessor):
@@ -100,7 +92,7 @@ class Watchdog(StatefulProcessor):
         newest = 0
         for part in rows:
             for e in part.sort_values("event_version").itertuples():
-                status = step(status, e.event_type)
+                status = step_status(status, e.event_type)
                 newest = max(newest, int(e.occurred_at.timestamp() * 1000))
         self.state.update((status,))
         for t in list(self.handle.listTimers()):
@@ -116,6 +108,61 @@ class Watchdog(StatefulProcessor):
         pass
 
 
+class Barrier(StatefulProcessor):
+    """Tells once that all tasks of a document's step are done, each counted once; forgets a step ``keep_ms`` after its
+    last task."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tasks = handle.getMapState("tasks", "task_id string", "seen boolean")
+        self.released = handle.getValueState("released", "released boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, newest = 0, 0
+        for part in rows:
+            total = max(total, int(part["total"].max()))
+            newest = max(newest, int(part["occurred_at"].max().timestamp() * 1000))
+            for t in part["task_id"].dropna().unique():
+                self.tasks.updateValue((str(t),), (True,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(newest + self.keep_ms)
+        done = sum(1 for _ in self.tasks.keys())
+        if done >= total and not self.released.exists():
+            self.released.update((True,))
+            yield pd.DataFrame({"document_id": [str(key[0])], "step": [str(key[1])], "completed": [done]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tasks.clear()
+        self.released.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def released_steps(tasks: DataFrame, keep_hours: int = 24, late: str = "1 hour") -> DataFrame:
+    """A stream of (document_id, step, completed), once for each step whose tasks are all done, from (document_id, step,
+    task_id, total, occurred_at). A total of 0 is done at once; a step is forgotten when nothing was heard of it for so long.
+    Tasks that come later than ``late`` after newer ones are not counted."""
+    importable(tasks.sparkSession)
+    timed = tasks.withWatermark("occurred_at", late)
+    return timed.groupBy("document_id", "step").transformWithStateInPandas(Barrier(keep_hours * 3_600_000), "document_id string, step string, completed int", "Append", "EventTime")
+
+
+def swap_stream(indexed: DataFrame, remove, checkpoint: str):
+    """Starts the stream of indexed documents (document_id, replaces_doc_id): ``remove(gone, batch_id)`` gets the distinct
+    replaced doc_ids of each micro-batch. Removing twice changes nothing, so a repeated batch is harmless."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        remove(batch.filter("replaces_doc_id is not null and replaces_doc_id <> document_id").select(F.col("replaces_doc_id").alias("doc_id")).distinct(), number)
+
+    return indexed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
 def stuck_documents(events: DataFrame, idle_minutes: int = 10) -> DataFrame:
     importable(events.sparkSession)
     timed = events.withWatermark("occurred_at", "0 seconds")
