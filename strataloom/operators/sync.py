@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions import text as T
+from strataloom.operators import lifecycle
+
 MOST_BYTES = 50 * 1024 * 1024
 
+# Why a request is refused.
+NOT_FOUND, DISABLED, SYNCING = "DATA_SOURCE_NOT_FOUND", "DATA_SOURCE_DISABLED", "DATA_SOURCE_ALREADY_SYNCING"
+#: Statuses of documents that a discovered item of the same version doesn't load again.
+PRESENT = ("INDEXED", "INGESTING", "UPLOADED", "CHUNKED", "PARSED")
+
 
 def gate(discovered: DataFrame, existing: DataFrame, allowed: tuple[str, ...] = ("INDEXED", "PROCESSING", "UPLOADED", "PARSED", "CHUNKED", "GRAPH_EXTRACTED")) -> DataFrame:
     """Discovered items that no document in an allowed status has with the same version."""
@@ -75,29 +85,11 @@ def version_hash(md5: Column, version: Column, modified: Column) -> Column:
     return F.coalesce(F.nullif(md5, F.lit("")), version.cast("string"), F.unix_timestamp(modified).cast("string"))
 
 
-def folder_files(spark, folders: DataFrame, files: DataFrame, root: object, most_depth: int = 50) -> DataFrame:
-    """Files (file_id, folder_id) under a root, each folder once: the walk is a recursive query with a bound on depth."""
-    folders.createOrReplaceTempView("walk_folders")
-    tree = spark.sql(f"""
-        WITH RECURSIVE reached(folder_id, depth) AS (
-            SELECT folder_id, 0 FROM walk_folders WHERE folder_id = '{root}'
-            UNION ALL
-            SELECT f.folder_id, r.depth + 1 FROM reached r JOIN walk_folders f ON f.parent_id = r.folder_id WHERE r.depth < {most_depth} AND f.folder_id <> '{root}'
-        ) SELECT folder_id, min(depth) AS depth FROM reached GROUP BY folder_id""")
-    return files.join(tree, "folder_id")
-
-
-def delta(changes: DataFrame, folder: object) -> tuple[DataFrame, DataFrame]:
-    """Of a change feed (file_id, parent_id, removed, trashed, seq), each file's last change: (kept, deleted ids)."""
-    last = changes.groupBy("file_id").agg(F.max_by(F.struct("parent_id", "removed", "trashed"), "seq").alias("c")).select("file_id", "c.*")
-    gone = F.col("removed") | F.col("trashed")
-    return last.filter(~gone & (F.col("parent_id") == folder)), last.filter(gone).select("file_id")
-
-
 def source_status(events: DataFrame) -> DataFrame:
     """(source_id, status): IDLE, SYNCING, FAILED or DISABLED, from the last event that says so.
 
-    ``started`` is heeded only when the source isn't disabled; disabling lasts until it is enabled.
+    ``started`` is heeded only when the source isn't disabled; disabling lasts until it is enabled. Starts that came
+    while a sync was going on are told by ``rejected_starts``; they leave the status as it is.
     """
     switch = F.col("kind").isin("disabled", "enabled")
     a = events.groupBy("source_id").agg(F.max_by("kind", F.when(switch, F.col("seq"))).alias("switch"), F.max_by("kind", F.when(~switch, F.col("seq"))).alias("kind"))
@@ -105,7 +97,136 @@ def source_status(events: DataFrame) -> DataFrame:
     return a.select("source_id", status.alias("status"))
 
 
+def rejected_starts(events: DataFrame) -> DataFrame:
+    """(source_id, seq, error) of the starts that a source refuses: it is disabled, or a sync is going on already."""
+    order = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    switch = F.last(F.when(F.col("kind").isin("disabled", "enabled"), F.col("kind")), ignorenulls=True).over(order)
+    # a start that was refused was preceded by one that goes on, so the last of these events tells the state
+    state = F.last(F.when(F.col("kind").isin("started", "completed", "failed", "enabled", "disabled"), F.col("kind")), ignorenulls=True).over(order)
+    error = F.when(F.coalesce(switch == "disabled", F.lit(False)), DISABLED).when(F.coalesce(state == "started", F.lit(False)), SYNCING)
+    return events.withColumn("error", error).filter((F.col("kind") == "started") & F.col("error").isNotNull()).select("source_id", "seq", "error")
+
+
 def usage_in_window(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """Calls (caller, at_seconds, tokens) with the requests and tokens of the last so many seconds, the call included."""
     span = Window.partitionBy("caller").orderBy("at_seconds").rangeBetween(-(seconds - 1), 0)
     return calls.withColumns({"requests": F.count("*").over(span), "tokens_used": F.sum("tokens").over(span)})
+
+
+def guarded(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """Requests (source_id, kb_id, run_id) with their source's columns and ``error``, why it is refused, or null.
+
+    A request without kb_id fits a source of any knowledge base."""
+    s = sources.select("source_id", F.col("kb_id").alias("own_kb"), "status", "cursor", "pending_cursor", F.lit(True).alias("found"))
+    a = requests.join(s, "source_id", "left")
+    lost = F.col("found").isNull() | F.coalesce(F.col("kb_id") != F.col("own_kb"), F.lit(False))
+    error = F.when(lost, NOT_FOUND).when(F.col("status") == "DISABLED", DISABLED).when(F.col("status") == "SYNCING", SYNCING)
+    return a.select("source_id", F.coalesce("kb_id", "own_kb").alias("kb_id"), "run_id", "status", "cursor", "pending_cursor", error.alias("error"))
+
+
+_DLQ = ("run_id", "source_id", "doc_id", "file_name", "error", "external_id", "mime_type", "version_hash", "size_bytes")
+
+
+def _counted(runs: DataFrame, skipped: DataFrame, failures: DataFrame) -> DataFrame:
+    """Runs with indexed_files, failed_files and status."""
+    n = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
+    a = runs.join(n(skipped, "indexed_files"), "run_id", "left").join(n(failures, "failed_files"), "run_id", "left").na.fill(0, ["total_files", "indexed_files", "failed_files"])
+    return a.withColumn("status", run_status(F.col("total_files"), F.col("indexed_files"), F.col("failed_files")))
+
+
+def run_status(total: Column, indexed: Column, failed: Column) -> Column:
+    """INGESTING until every file is indexed or failed; a run without files is complete."""
+    done = indexed + failed >= total
+    return F.when(total == 0, "COMPLETED").when(~done, "INGESTING").when(failed == 0, "COMPLETED").when(indexed > 0, "PARTIALLY_FAILED").otherwise("FAILED")
+
+
+def sync_sources(
+    requests: DataFrame, sources: DataFrame, discovered: DataFrame, cursors: DataFrame, documents: DataFrame, load: Callable[[DataFrame], DataFrame],
+    deleted: DataFrame | None = None, most_bytes: int = MOST_BYTES,
+) -> dict[str, DataFrame]:
+    """One sync of every requested source, of any number of sources and items at once.
+
+    requests: source_id, kb_id (may be null), run_id. sources: source_id, kb_id, status, cursor, pending_cursor.
+    discovered: source_id, external_id, name, mime_type, version_hash, size_bytes; an item once. cursors: source_id,
+    next_cursor. documents: kb_id, doc_id, file_name, external_id, version_hash, status, ord (age). ``load`` adds content,
+    loaded_mime, loaded_hash and error to items, content null where it failed. deleted: source_id, external_id.
+
+    Returns tables: rejected (requests with error), attached (documents made, with what they replace), events, failures
+    (for a later retry), runs, sources (the new rows), removed (doc_ids of what the source deleted). An item whose
+    document is there in the same version counts as indexed and isn't loaded. A run that failed in part keeps its
+    source's cursor and leaves the new one pending.
+    """
+    a = guarded(requests, sources)
+    rejected, accepted = a.filter("error is not null"), a.filter("error is null").drop("error", "status")
+    items = discovered.join(accepted.select("source_id", "kb_id", "run_id"), "source_id").withColumn("file_name", _safe_name(F.col("name")))
+    present = documents.filter(F.col("status").isin(*PRESENT) & F.col("external_id").isNotNull()).groupBy("kb_id", F.col("external_id").cast("string").alias("external_id")).agg(F.max_by("version_hash", "ord").alias("known_hash"))
+    by_name = documents.filter("file_name is not null").groupBy("kb_id", "file_name").agg(F.max_by("doc_id", "ord").alias("replaces_doc_id"))
+    items = items.withColumn("external_id", F.col("external_id").cast("string")).join(present, ["kb_id", "external_id"], "left")
+    same = F.coalesce(F.col("known_hash") == F.col("version_hash"), F.lit(False))
+    skipped, work = items.filter(same), items.filter(~same).drop("known_hash")
+    large = F.coalesce(F.col("size_bytes") > most_bytes, F.lit(False))
+    too_large = work.filter(large).withColumn("error", F.concat(F.lit("File '"), "name", F.lit("' exceeds maximum allowed size ("), F.col("size_bytes").cast("string"), F.lit(f" > {most_bytes} bytes)")))
+    loaded = load(work.filter(~large))
+    loaded = loaded.withColumn("error", F.when(F.col("content").isNull(), F.coalesce("error", F.concat(F.lit("empty content of '"), "file_name", F.lit("'")))))
+    failures = too_large.unionByName(loaded.filter("error is not null"), allowMissingColumns=True)
+    failures = failures.withColumn("doc_id", F.lit(None).cast("string")).select(*_DLQ)
+    good = loaded.filter("error is null").join(by_name, ["kb_id", "file_name"], "left")
+    attached = lifecycle.attach(good.select(
+        lifecycle.uuid_of("run_id", "external_id").alias("document_id"), "kb_id", "file_name", F.coalesce("loaded_mime", "mime_type").alias("content_type"), "content",
+        "source_id", "run_id", "external_id", F.coalesce("loaded_hash", "version_hash").alias("version_hash"), F.col("replaces_doc_id").cast("string").alias("replaces_doc_id"),
+    ))
+    totals = items.groupBy("run_id").agg(F.count("*").alias("total_files"))
+    runs = _counted(accepted.select("run_id", "source_id", "kb_id").join(totals, "run_id", "left"), skipped, failures)
+    after = accepted.join(cursors, "source_id", "left").join(runs.select("run_id", "failed_files", "total_files"), "run_id")
+    clean = F.col("failed_files") == 0
+    after = after.select(
+        "source_id", "kb_id", F.lit("IDLE").alias("status"), F.when(clean, F.coalesce("next_cursor", "cursor")).otherwise(F.col("cursor")).alias("cursor"),
+        F.when(~clean, F.coalesce("next_cursor", "pending_cursor")).alias("pending_cursor"), "run_id", "total_files",
+    )
+    started = accepted.select(F.col("source_id").alias("aggregate_id"), F.lit("DataSourceSyncStarted").alias("event_type"), "run_id", F.lit(None).cast("long").alias("synced_files"), F.lit(None).cast("string").alias("new_cursor"))
+    ended = after.select(F.col("source_id").alias("aggregate_id"), F.lit("DataSourceSyncCompleted").alias("event_type"), "run_id", F.col("total_files").alias("synced_files"), "cursor")
+    gone = documents.limit(0).select("doc_id") if deleted is None else documents.withColumn("external_id", F.col("external_id").cast("string")).join(deleted.join(accepted.select("source_id", "kb_id"), "source_id").select("kb_id", F.col("external_id").cast("string").alias("external_id")).distinct(), ["kb_id", "external_id"], "left_semi").select("doc_id")
+    return {
+        "rejected": rejected.select("source_id", "run_id", "error"), "attached": attached, "failures": failures, "runs": runs,
+        "sources": after.drop("run_id", "total_files"), "events": started.union(ended), "removed": gone,
+    }
+
+
+def _safe_name(name: Column) -> Column:
+    return F.coalesce(F.nullif(T.base_name(name), F.lit("")), name)
+
+
+def retry_failed(requests: DataFrame, sources: DataFrame, runs: DataFrame, failures: DataFrame, reprocessed: DataFrame, load: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Retries the failures of runs (requests: source_id, kb_id, run_id).
+
+    A failure with a doc_id is done when ``reprocessed`` (document_id, accepted) accepts it; one with an external_id is
+    loaded and attached anew; one with neither stays. A run whose failures are all gone promotes its source's pending
+    cursor. Returns rejected, attached, failures (those left), runs, sources.
+    """
+    a = guarded(requests, sources)
+    own = runs.select("run_id", F.col("source_id").alias("run_source"), "total_files", "indexed_files")
+    a = a.join(own, "run_id", "left")
+    error = F.when(F.col("error") == SYNCING, "CONCURRENCY_CONFLICT").when((F.col("error") == NOT_FOUND) | ~F.col("run_source").eqNullSafe(F.col("source_id")), "NOT_FOUND")
+    a = a.withColumn("error", error)
+    accepted = a.filter("error is null").drop("error")
+    work = retry_routes(failures.join(accepted.select("run_id", "kb_id"), "run_id"))
+    ok = reprocessed.filter("accepted").select(F.col("document_id").cast("string").alias("doc_id")).distinct()
+    again = work.filter("route = 'reprocess'").join(ok, "doc_id", "left_semi")
+    loaded = load(work.filter("route = 'download'").drop("error"))
+    good = loaded.filter("content is not null")
+    attached = lifecycle.attach(good.select(
+        lifecycle.uuid_of("run_id", "external_id", F.lit("retry")).alias("document_id"), "kb_id", "file_name", F.coalesce("loaded_mime", "mime_type").alias("content_type"), "content",
+        "source_id", "run_id", "external_id", F.coalesce("loaded_hash", "version_hash").alias("version_hash"), F.lit(None).cast("string").alias("replaces_doc_id"),
+    ))
+    keys = ["run_id", "doc_id", "external_id"]
+    safe = lambda df: df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys])
+    solved = safe(again).unionByName(safe(good)).distinct().withColumn("solved", F.lit(True))
+    marked = work.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}).join(solved.select(*[F.col(k).alias(f"_{k}") for k in keys], "solved"), [f"_{k}" for k in keys], "left")
+    left = marked.filter("solved is null").select(*_DLQ)
+    n = marked.groupBy("run_id").agg(F.count_if(F.col("solved")).alias("reprocessed_count"), F.count_if(F.col("solved").isNull()).alias("failed_files"))
+    done = accepted.join(n, "run_id", "left").na.fill(0, ["reprocessed_count", "failed_files"]).withColumn("indexed_files", F.col("indexed_files") + F.col("reprocessed_count"))
+    done = done.withColumn("run_status", run_status(F.col("total_files"), F.col("indexed_files"), F.col("failed_files")))
+    whole = F.col("failed_files") == 0
+    sources_ = done.select("source_id", "kb_id", F.lit("IDLE").alias("status"), F.when(whole, F.coalesce("pending_cursor", "cursor")).otherwise(F.col("cursor")).alias("cursor"), F.when(~whole, F.col("pending_cursor")).alias("pending_cursor"))
+    runs_ = done.select("run_id", "source_id", "kb_id", "total_files", "indexed_files", "failed_files", "reprocessed_count", F.col("run_status").alias("status"))
+    return {"rejected": a.filter("error is not null").select("source_id", "run_id", "error"), "attached": attached, "failures": left, "runs": runs_, "sources": sources_}

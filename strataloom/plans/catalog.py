@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import document_queries, event_queries, retrieval_queries  # noqa: F401  they register
+from strataloom.plans import document_queries, event_queries, retrieval_queries, sync_queries  # noqa: F401  they register
 from strataloom.plans.registry import QUERIES, SQL
 
 

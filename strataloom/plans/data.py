@@ -53,11 +53,28 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit(None).cast("string")
     for k, v in KINDS.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
-    e = e.select("event_id", F.col("user_id").alias("aggregate_id"), kind.alias("event_type"), "ts", "value", "props")
+    e = e.select("event_id", F.col("user_id").alias("aggregate_id"), kind.alias("event_type"), F.col("event_type").alias("kind"), "ts", "value", "props")
     order = Window.partitionBy("aggregate_id").orderBy("ts", "event_id")
     return e.withColumn("event_version", F.row_number().over(order).cast("int"))
 
 
+def whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log with every kind of event and with payloads: what a kind of event means depends on its value too."""
+    value, k = F.col("value"), F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
+    kind = (
+        F.when(F.col("kind") == "view", F.when(value > 50, "DocumentStored").otherwise("DocumentProgressUpdated"))
+        .when(F.col("kind") == "click", F.when(value > 60, "DocumentParsedToMarkdown").when(value > 30, "DocumentChunked").otherwise("GraphExtractedFromDocument"))
+        .when((F.col("kind") == "error") & (value > 95), "DocumentDeleted").otherwise(F.col("event_type"))
+    )
+    step = F.when(k < 4, "CHUNKING").when(k < 7, "OCR").otherwise("INDEXING")
+    a = log(spark, sf_dir).withColumns({"event_type": kind, "k": k, "step": step})
+    return a.select(
+        "aggregate_id", "event_type", "event_version", F.concat(F.lit("f"), F.col("k").cast("string")).alias("file_name"), F.concat(F.lit("p"), F.col("event_version").cast("string")).alias("storage_path"), (F.col("k") > 5).alias("enable_ocr"),
+        "step", F.concat(F.lit("e"), F.col("k").cast("string")).alias("error_message"), F.col("k").alias("current"), F.lit(10).alias("total"), F.floor("value").cast("int").alias("percentage"), F.lit("m").alias("message"),
+        F.col("k").alias("total_parents"), (F.col("k") * 3).alias("total_children"), (F.col("k") + 1).alias("nodes"), (F.col("k") + 2).alias("edges"),
+    )
+
+
 # The same roles in SQL.
 SQL_KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
 SQL_LOG = f"log AS (SELECT event_id, user_id AS aggregate_id, {SQL_KIND} AS event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_version, ts, value, props FROM events)"

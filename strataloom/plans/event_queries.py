@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import discovery, sync
 from strataloom.operators import events as E
-from strataloom.operators import sync
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
+from strataloom.streaming import native
 
 
 @query(f"WITH {D.SQL_LOG} SELECT event_id, aggregate_id, event_version::BIGINT AS event_version FROM log")
@@ -15,12 +17,14 @@ def event_versioning(spark, d):
     return D.log(spark, d).select("event_id", "aggregate_id", F.col("event_version").cast("long").alias("event_version"))
 
 
-@query("""WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-SELECT event_id, user_id AS aggregate_id, n::BIGINT AS event_version FROM o WHERE event_id > 5000""")
+@query("""WITH o AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (min(epoch_us(ts)) OVER (PARTITION BY user_id) + max(epoch_us(ts)) OVER (PARTITION BY user_id)) // 2 AS middle FROM events)
+SELECT event_id, user_id AS aggregate_id, n::BIGINT AS event_version FROM o WHERE us > middle""")
 def event_append_numbering(spark, d):
-    log = D.log(spark, d)
-    batch = log.filter("event_id > 5000").select("event_id", "aggregate_id", F.struct("ts", "event_id").alias("seq"))
-    return E.number_events(batch, log.filter("event_id <= 5000")).select("event_id", "aggregate_id", F.col("event_version").cast("long").alias("event_version"))
+    """Each aggregate's events of the later half of its time, as a batch that is appended to the earlier half."""
+    at, whole = F.unix_micros(F.col("ts").cast("timestamp")), Window.partitionBy("aggregate_id")
+    log = D.log(spark, d).withColumn("late", at > F.shiftright(F.min(at).over(whole) + F.max(at).over(whole), 1))
+    batch = log.filter("late").select("event_id", "aggregate_id", F.struct("ts", "event_id").alias("seq"))
+    return E.number_events(batch, log.filter("not late")).select("event_id", "aggregate_id", F.col("event_version").cast("long").alias("event_version"))
 
 
 @query(f"""WITH {D.SQL_LOG}, last AS (SELECT aggregate_id, max(event_version) AS actual FROM log WHERE event_type <> 'DocumentStored' GROUP BY 1), c AS (SELECT aggregate_id, max(event_version) AS expected FROM log GROUP BY 1)
@@ -55,8 +59,7 @@ f AS (SELECT *, CASE WHEN step IS DISTINCT FROM lag(step) OVER (PARTITION BY doc
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY version) AS run FROM f)
 SELECT document_id, version::BIGINT AS version, step, percentage, max(percentage) OVER (PARTITION BY document_id, run ORDER BY version) AS shown FROM g""")
 def progress_monotonic(spark, d):
-    u = D.log(spark, d).join(D.table(spark, d, "events").select("event_id", F.col("event_type").alias("step")), "event_id")
-    u = u.select(F.col("aggregate_id").alias("document_id"), F.col("event_version").cast("long").alias("version"), "step", (F.bround("value").cast("long") % 100).cast("int").alias("percentage"))
+    u = D.log(spark, d).select(F.col("aggregate_id").alias("document_id"), F.col("event_version").cast("long").alias("version"), F.col("kind").alias("step"), (F.bround("value").cast("long") % 100).cast("int").alias("percentage"))
     return E.progress(u)
 
 
@@ -166,21 +169,21 @@ def data_source_status(spark, d):
     return sync.source_status(D.table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), kind.alias("kind")))
 
 
-@query("""WITH RECURSIVE f AS (SELECT c_custkey AS folder_id, c_custkey // 3 AS parent_id FROM customer), r AS (SELECT 1 AS folder_id, 0 AS depth UNION ALL SELECT f.folder_id, r.depth + 1 FROM r JOIN f ON f.parent_id = r.folder_id WHERE f.folder_id <> 1 AND r.depth < 50)
+@query("""WITH RECURSIVE f AS (SELECT c_custkey AS folder_id, c_custkey // 3 AS parent_id FROM customer), r AS (SELECT 1 AS folder_id, 0 AS depth UNION ALL SELECT f.folder_id, r.depth + 1 FROM r JOIN f ON f.parent_id = r.folder_id WHERE f.folder_id <> 1)
 SELECT o_orderkey AS file_id, o_custkey AS folder_id, depth::BIGINT AS depth FROM orders JOIN (SELECT folder_id, min(depth) AS depth FROM r GROUP BY 1) ON folder_id = o_custkey""")
 def folder_walk_recursive(spark, d):
-    folders = D.table(spark, d, "customer").select(F.col("c_custkey").alias("folder_id"), F.floor(F.col("c_custkey") / 3).alias("parent_id"))
+    links = D.table(spark, d, "customer").select(F.col("c_custkey").alias("folder_id"), F.floor(F.col("c_custkey") / 3).alias("parent_id"))
     files = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").alias("folder_id"))
-    return sync.folder_files(spark, folders, files, 1).select("file_id", "folder_id", F.col("depth").cast("long").alias("depth"))
+    return files.join(discovery.walk(links, 1, native.shared_folder(spark, "walks")), "folder_id").select("file_id", "folder_id", "depth")
 
 
 @query("""WITH r AS (SELECT l_partkey AS file_id, l_suppkey % 4 AS parent_id, l_returnflag = 'R' AS gone, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 2 + (l_returnflag = 'R')::INT AS seq FROM lineitem),
 l AS (SELECT file_id, arg_max(parent_id, seq) AS parent_id, arg_max(gone, seq) AS gone FROM r GROUP BY 1)
 SELECT file_id, gone AS deleted FROM l WHERE gone OR parent_id = 2""")
 def change_feed_delta(spark, d):
-    c = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file_id"), (F.col("l_suppkey") % 4).alias("parent_id"), (F.col("l_returnflag") == "R").alias("removed"), F.lit(False).alias("trashed"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")) * 2 + (F.col("l_returnflag") == "R").cast("int")).alias("seq"))
-    kept, gone = sync.delta(c, 2)
-    return kept.select("file_id", F.lit(False).alias("deleted")).unionByName(gone.select("file_id", F.lit(True).alias("deleted")))
+    c = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file_id"), (F.col("l_suppkey") % 4).alias("parent_id"), (F.col("l_returnflag") == "R").alias("removed"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")) * 2 + (F.col("l_returnflag") == "R").cast("int")).alias("seq"))
+    kept, gone = discovery.delta(c, spark.createDataFrame([("2",)], "folder_id string"), [], F.lit("2026-01-01").cast("timestamp"))
+    return kept.select(F.col("external_id").cast("long").alias("file_id"), F.lit(False).alias("deleted")).unionByName(gone.select(F.col("file_id").cast("long").alias("file_id"), F.lit(True).alias("deleted")))
 
 
 @query(f"WITH {D.SQL_LOG} , gone AS (SELECT aggregate_id, min(event_version) AS e FROM log WHERE event_type = 'DocumentProcessingFailed' AND value > 90 GROUP BY 1) SELECT event_id FROM log LEFT JOIN gone USING (aggregate_id) WHERE e IS NULL OR event_version <= e")
@@ -212,18 +215,19 @@ def nested_documents(spark, d):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 3")
 def newest_runs(spark, d):
-    from pyspark.sql import Window
-
     newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return D.table(spark, d, "orders").withColumn("n", F.row_number().over(newest)).filter("n <= 3").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT r_regionkey AS ontology_id, count(n_nationkey) AS used_by, count(n_nationkey) = 0 AS deletable FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 7 < 2 GROUP BY 1")
+@query("""WITH o AS (SELECT r_regionkey AS ontology_id FROM region UNION ALL SELECT r_regionkey + 100 FROM region)
+SELECT ontology_id, count(n_nationkey) AS used_by, count(n_nationkey) = 0 AS deletable FROM o LEFT JOIN nation ON n_regionkey = ontology_id GROUP BY 1""")
 def ontology_usage(spark, d):
     from strataloom.operators import ontology
 
-    kbs = D.table(spark, d, "nation").filter("n_nationkey % 7 < 2").select(F.col("n_regionkey").alias("ontology_id"))
-    return ontology.usage(D.table(spark, d, "region").select(F.col("r_regionkey").alias("ontology_id")), kbs)
+    kbs = D.table(spark, d, "nation").select(F.col("n_regionkey").alias("ontology_id"))
+    r = D.table(spark, d, "region")
+    drafts = r.select((F.col("r_regionkey") + 100).alias("ontology_id"))  # templates that no base uses
+    return ontology.usage(r.select(F.col("r_regionkey").alias("ontology_id")).unionByName(drafts), kbs)
 
 
 @query("WITH f AS (SELECT c_mktsegment AS label, min(c_custkey) AS id FROM customer GROUP BY 1) SELECT DISTINCT a.id AS source_id, b.id AS target_id, 'LIKE' AS rel_type FROM f a JOIN f b ON a.label = 'BUILDING' AND b.label IN ('MACHINERY', 'AUTOMOBILE')")
