@@ -11,27 +11,37 @@ def latest(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> Da
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("last")).select(*keys, *[F.col(f"last.{c}") for c in columns])
 
 
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, for each property the last value set, by (age, seq); a property last set to null is gone."""
+    values = rows.select(*keys, "age", "seq", F.explode_outer("properties").alias("key", "value"))
+    last = values.groupBy(*keys, "key").agg(F.max_by("value", F.struct("age", "seq")).alias("value"))
+    entry = F.when(F.col("key").isNotNull() & F.col("value").isNotNull(), F.struct("key", "value"))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("properties"))
+
+
+def _aged(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    new = incoming.withColumn("age", F.lit(1))
+    return new if existing is None else existing.withColumn("age", F.lit(0)).unionByName(new)
+
+
 def merge_nodes(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     """(label, entity_id, properties) after merging: for each property the last value set, by ``seq``.
 
-    Both inputs have label, entity_id, properties (map of strings) and seq; existing rows come first.
+    Both inputs have label, entity_id, properties (map of strings) and seq; existing rows come first. A node without
+    properties has an empty map.
     """
-    rows = incoming.withColumn("age", F.lit(1)) if existing is None else existing.withColumn("age", F.lit(0)).unionByName(incoming.withColumn("age", F.lit(1)))
-    ids = rows.select("label", "entity_id").distinct()
-    values = rows.select("label", "entity_id", "age", "seq", F.explode("properties").alias("key", "value"))
-    last = values.groupBy("label", "entity_id", "key").agg(F.max_by("value", F.struct("age", "seq")).alias("value"))
-    maps = last.groupBy("label", "entity_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("properties"))
-    return ids.join(maps, ["label", "entity_id"], "left")
+    return _merged(_aged(existing, incoming), ["label", "entity_id"])
 
 
-def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source_id, target_id, rel_type, properties): one edge for each end, end and type, the last's properties.
+def merge_edges(existing: DataFrame | None, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id, rel_type, properties): one edge for each two ends and type, its properties merged as nodes' are.
 
-    Ends match nodes by id under any label; an edge without both ends is left out.
+    Ends match nodes by id under any label; an incoming edge without both ends is left out.
     """
     ids = nodes.select("entity_id").distinct()
-    whole = edges.join(ids.withColumnRenamed("entity_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_id"), "target_id", "left_semi")
-    return latest(whole, ["source_id", "target_id", "rel_type"], "seq", ["properties"])
+    whole = incoming.join(ids.withColumnRenamed("entity_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_id"), "target_id", "left_semi")
+    columns = ["source_id", "target_id", "rel_type", "properties", "seq"]
+    return _merged(_aged(None if existing is None else existing.select(*columns), whole.select(*columns)), ["source_id", "target_id", "rel_type"])
 
 
 def referential(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,6 +57,34 @@ def mention_rows(extracted: DataFrame) -> DataFrame:
     return extracted.select("parent_id", F.explode("entity_ids").alias("entity_id")).filter("trim(entity_id) <> ''").distinct()
 
 
+def known_mentions(mentions: DataFrame, parents: DataFrame, entities: DataFrame) -> DataFrame:
+    """Mentions whose both ends are there."""
+    return mentions.join(parents.select("parent_id").distinct(), "parent_id", "left_semi").join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
+def structure_edges(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(source_id, rel_type, target_id): a document's ties to its parents, theirs to children, and parents' order."""
+    edge = lambda df, a, kind, b: df.select(F.col(a).cast("string").alias("source_id"), F.lit(kind).alias("rel_type"), F.col(b).cast("string").alias("target_id"))
+    ties = edge(parents, "document_id", "HAS_PARENT", "parent_id").unionByName(edge(children, "parent_id", "CONTAINS_CHILD", "child_id"))
+    return ties.unionByName(edge(next_edges(parents), "parent_id", "NEXT", "next_id"))
+
+
+def chunk_totals(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(document_id, total_parents, total_children, chunks_summary): the summary lists (parent_id, header_path,
+    token_count) in order, as a document's event carries it."""
+    p = parents.groupBy("document_id").agg(F.count("*").alias("total_parents"), F.sort_array(F.collect_list(F.struct("parent_index", "parent_id", "header_path", "token_count"))).alias("rows"))
+    c = children.groupBy("document_id").agg(F.count("*").alias("total_children"))
+    summary = F.transform("rows", lambda r: F.struct(r.parent_id.alias("parent_id"), r.header_path.alias("header_path"), r.token_count.alias("token_count")))
+    return p.join(c, "document_id", "left").select("document_id", "total_parents", F.coalesce("total_children", F.lit(0)).alias("total_children"), summary.alias("chunks_summary"))
+
+
+def chunk_dump(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(document_id, value): a document's parents and children as one JSON text."""
+    rows = lambda df, order: df.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (order, "document_id")]))).alias("rows"))
+    p, c = rows(parents, "parent_index").withColumnRenamed("rows", "parents"), rows(children, "chunk_index").withColumnRenamed("rows", "children")
+    return p.join(c, "document_id", "left").select("document_id", F.to_json(F.struct("parents", "children")).alias("value"))
+
+
 def next_edges(parents: DataFrame) -> DataFrame:
     """(document_id, parent_id, next_id) for each parent with a successor in its document."""
     order = Window.partitionBy("document_id").orderBy("parent_index", "parent_id")
@@ -73,6 +111,16 @@ def consolidate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return latest(nodes, ["entity_id", "label"], "seq", ["properties"]), latest(edges, ["source_id", "target_id", "rel_type"], "seq", ["properties"])
 
 
+def consolidate_inline(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for a document that is worked on as a whole: nodes by id alone, edges all as they are."""
+    return latest(nodes, ["entity_id"], "seq", ["label", "properties"]), edges
+
+
+def concat_graphs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows of two graphs, nothing merged."""
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def first_text(*columns: str) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])

@@ -80,15 +80,17 @@ def seeds(found: DataFrame, parents: DataFrame, filters: Filters = Filters()) ->
     return found.join(parents, "parent_id").filter(filters.condition()).groupBy("parent_id").agg(F.max("score").alias("seed_score"))
 
 
-def neighbours(seeds_: DataFrame, mentions: DataFrame, most: int = MOST_NEIGHBOURS) -> DataFrame:
+def neighbours(seeds_: DataFrame, mentions: DataFrame, most: int = MOST_NEIGHBOURS, few: bool = False) -> DataFrame:
     """(parent_id, neighbour_id, seed_score, shared): for each seed, the parents that share most entities with it.
 
-    Starts from the seeds' own entities, so the work follows the seeds and not the whole mention table.
+    Starts from the seeds: only mentions of the entities that they mention go on, and only those are made distinct.
+    ``few``: the seeds are bounded, so they and their entities are broadcast, and the mentions are only scanned.
     """
-    m = mentions.select("parent_id", "entity_id").distinct()
-    own = seeds_.join(m, "parent_id")
-    others = m.select(F.col("parent_id").alias("neighbour_id"), "entity_id")
-    pairs = own.join(others, "entity_id").filter("neighbour_id <> parent_id").groupBy("parent_id", "seed_score", "neighbour_id").agg(F.count("*").alias("shared"))
+    hint = F.broadcast if few else lambda df: df
+    own = seeds_.select("parent_id", "seed_score").join(mentions.select("parent_id", "entity_id"), "parent_id") if not few else mentions.select("parent_id", "entity_id").join(hint(seeds_.select("parent_id", "seed_score")), "parent_id")
+    own = own.select("parent_id", "seed_score", "entity_id").distinct()
+    others = mentions.select(F.col("parent_id").alias("neighbour_id"), "entity_id").join(hint(own.select("entity_id").distinct()), "entity_id", "left_semi").distinct()
+    pairs = others.join(hint(own), "entity_id").filter("neighbour_id <> parent_id").groupBy("parent_id", "seed_score", "neighbour_id").agg(F.count("*").alias("shared"))
     best = Window.partitionBy("parent_id").orderBy(F.desc("shared"), "neighbour_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).drop("rank")
 
@@ -108,7 +110,7 @@ def triples(found: DataFrame, mentions: DataFrame, relations: DataFrame, entitie
     e = entities.select("entity_id", name.alias("shown"))
     source, target = e.select(F.col("entity_id").alias("source_id"), F.col("shown").alias("source")), e.select(F.col("entity_id").alias("target_id"), F.col("shown").alias("target"))
     sentences = relations.join(source, "source_id").join(target, "target_id").select(F.col("source_id").alias("entity_id"), F.concat("source", F.lit(" "), "rel_type", F.lit(" "), "target").alias("triple"))
-    hits = found.select("parent_id").join(mentions.select("parent_id", "entity_id").distinct(), "parent_id").join(sentences, "entity_id").select("parent_id", "triple").distinct()
+    hits = mentions.select("parent_id", "entity_id").join(found.select("parent_id").distinct(), "parent_id", "left_semi").join(sentences, "entity_id").select("parent_id", "triple").distinct()
     first = Window.partitionBy("parent_id").orderBy("triple")
     return hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).groupBy("parent_id").agg(F.sort_array(F.collect_list("triple")).alias("related_triples"))
 
@@ -125,8 +127,9 @@ def hybrid(children: DataFrame, parents: DataFrame, mentions: DataFrame, vector:
     Neighbours are not filtered unless strict_filters says so.
     """
     k = candidate_k or candidate_count(top_k)
-    s = seeds(pinned(nearest(children, vector, k), k), parents, filters)
-    n = neighbours(s, mentions)
+    s = seeds(F.broadcast(pinned(nearest(children, vector, k), k)), parents, filters)
+    s = pinned(s, k)  # used for the seeds themselves and for their neighbours
+    n = neighbours(s, mentions, few=True)
     if strict_filters:
         n = n.join(parents.filter(filters.condition()).select(F.col("parent_id").alias("neighbour_id")), "neighbour_id", "left_semi")
     return fuse(s, n).orderBy(F.desc("fused_score"), "parent_id").limit(top_k)
@@ -137,15 +140,22 @@ def enriched(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentio
 
     Only the ranked parents' documents are put in order.
     """
-    ranked = pinned(ranked, 20)
-    of = parents.join(ranked.select("parent_id"), "parent_id", "left_semi").select("document_id").distinct()
+    ranked = F.broadcast(pinned(ranked, 20))  # all joins below are with these rows
+    ids = ranked.select("parent_id")
+    of = parents.join(F.broadcast(ids), "parent_id", "left_semi").select("document_id").distinct()
     p = with_neighbour_chunks(parents.join(F.broadcast(of), "document_id", "left_semi"))
-    out = ranked.join(p, "parent_id", "left").join(documents.select("document_id", F.col("name").alias("document_name")), "document_id", "left")
+    p = p.join(F.broadcast(ids), "parent_id", "left_semi")
+    names = documents.select("document_id", F.col("name").alias("document_name")).join(F.broadcast(of), "document_id", "left_semi")
+    out = ranked.join(F.broadcast(p), "parent_id", "left").join(F.broadcast(names), "document_id", "left")
     if with_triples:
-        out = out.join(triples(ranked, mentions, relations, entities), "parent_id", "left")
+        out = out.join(F.broadcast(triples(ranked, mentions, relations, entities)), "parent_id", "left")
+    mine = mentions.select("parent_id", "entity_id").join(F.broadcast(ids), "parent_id", "left_semi").distinct()
     shown = F.concat(F.col("label"), F.lit(":"), F.coalesce(F.col("name"), F.col("entity_id").cast("string")))
-    named = ranked.select("parent_id").join(mentions.select("parent_id", "entity_id").distinct(), "parent_id").join(entities, "entity_id").groupBy("parent_id").agg(F.sort_array(F.collect_set(shown)).alias("related_entities"))
-    return out.join(named, "parent_id", "left").withColumn("retrieval_source", F.when(F.col("is_seed"), "vector_match").otherwise("graph_expansion"))
+    properties = F.col("properties") if "properties" in entities.columns else F.map_filter(F.create_map(F.lit("id"), F.col("entity_id").cast("string"), F.lit("name"), F.col("name")), lambda k, v: v.isNotNull())
+    # a map can't be compared; its entries in order, as JSON, can
+    entity = F.struct(F.col("label").alias("type"), F.to_json(F.map_from_entries(F.array_sort(F.filter(F.map_entries(properties), lambda e: e["value"].isNotNull())))).alias("properties"))
+    named = mine.join(entities, "entity_id").groupBy("parent_id").agg(F.sort_array(F.collect_set(shown)).alias("related_entities"), F.sort_array(F.collect_set(entity)).alias("entities"))
+    return out.join(F.broadcast(named), "parent_id", "left").withColumn("retrieval_source", F.when(F.col("is_seed"), "vector_match").otherwise("graph_expansion"))
 
 
 def budget_cut(ranked: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
@@ -182,11 +192,14 @@ def evidence_block(rank: Column, header: Column, score: Column, content: Column)
     return F.concat(F.format_string('<evidence rank="%d" score="%.4f" section="%s">\n', rank, score, header), content, F.lit("\n</evidence>"))
 
 
-def trace(ranked: DataFrame, cut: DataFrame, top_k: int, budget: int, mode: str) -> DataFrame:
-    """One row about a query: limits, counts by source, tokens used, whether the evidence was cut."""
+def trace(cut: DataFrame, top_k: int, budget: int, mode: str, filters: Filters = Filters()) -> DataFrame:
+    """One row about a query: limits, filters, what of the evidence was kept and from where, tokens used, whether it was cut.
+
+    cut: rows of ``budget_cut`` with rank and retrieval_source."""
     if mode not in ("retrieve", "synthesis", "none"):
         raise ValueError("mode must be retrieve, synthesis or none")
-    a = ranked.agg(F.count("*").alias("ranked"), F.count_if("is_seed").alias("vector_matches"), F.count_if(~F.col("is_seed")).alias("expansions"))
-    b = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("consumed"), F.coalesce(F.bool_or("overflow"), F.lit(False)).alias("truncated"), F.count("*").alias("kept"))
-    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  both are single rows
-    return one(a).join(one(b), "one").drop("one").select(F.lit(mode).alias("mode"), F.lit(top_k).alias("top_k"), F.lit(candidate_count(top_k)).alias("candidate_k"), F.lit(budget).alias("budget"), "*")
+    found = F.transform(F.sort_array(F.collect_list(F.struct("rank", "retrieval_source"))), lambda r: r.retrieval_source)  # top_k rows at most
+    a = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("token_budget_consumed"), F.coalesce(F.bool_or("overflow"), F.lit(False)).alias("budget_truncated"), F.count("*").alias("results_count"), found.alias("retrieval_sources"))
+    limits = F.lit(top_k).alias("top_k"), F.lit(candidate_count(top_k)).alias("candidate_k"), F.lit(budget).alias("token_budget_limit"), F.lit(mode).alias("mode")
+    asked = F.lit(",".join(filters.source_types) or None).alias("source_types"), F.lit(filters.time_from).cast("double").alias("time_from"), F.lit(filters.time_to).cast("double").alias("time_to")
+    return a.select(*limits, *asked, "*")

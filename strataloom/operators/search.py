@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 
 
+# What a hit shows of where it was found.
+PREVIEW_CHARS = 180
+NO_PREVIEW, IN_PATH, IN_TEXT = "Nota cadastrada na base", "Seção em ", "Seção: "
+
+
+def _has(text: Column, wanted: str) -> Column:
+    """Whether a text holds the folded query. Only texts beyond ASCII need folding outside the JVM, and are sent there."""
+    ascii_ = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, F.contains(F.lower(text), F.lit(wanted))).otherwise(F.contains(T.fold(F.when(~ascii_, text)), F.lit(wanted)))
+
+
 def quick_search(documents: DataFrame, chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Hits in document order, not by relevance: title, then chunks' header paths, then headings of the stored text.
 
-    documents: doc_id, doc_pos, file_name, markdown; chunks: doc_id, pos, header_path. One hit for each document and
+    documents: doc_id, doc_pos, file_name, markdown, and preview, where there is one; chunks: doc_id, pos, header_path. One hit for each document and
     anchor, the first found; ``limit`` hits in all, from 1 to 50. A query without ASCII letters after folding finds nothing.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must be from 1 to 50")
     wanted = T.fold_text(query.strip())
-    d = documents.select("doc_id", "doc_pos", "file_name", "markdown")
+    preview = F.col("preview") if "preview" in documents.columns else F.lit(None).cast("string")
+    d = documents.select("doc_id", "doc_pos", "file_name", "markdown", preview.alias("own_preview"))
     if not wanted:
         return d.limit(0).select("doc_id", "file_name", F.lit("").alias("match_type"), F.lit("").alias("title"), F.lit("").alias("anchor"), F.lit("").alias("preview"))
-    has = lambda c: F.contains(T.fold(c), F.lit(wanted))
-    titles = d.filter(has(F.col("file_name"))).select("doc_id", "doc_pos", "file_name", F.lit(1).alias("stage"), F.lit(0).alias("pos"), F.lit("title").alias("match_type"), F.col("file_name").alias("title"), F.lit("").alias("anchor"), F.lit("").alias("preview"))
-    c = chunks.filter(has(F.col("header_path"))).join(d.drop("markdown"), "doc_id")
-    c = c.withColumn("title", T.header_title(F.col("header_path"))).select("doc_id", "doc_pos", "file_name", F.lit(2).alias("stage"), "pos", F.lit("header").alias("match_type"), "title", T.anchor(F.col("title")).alias("anchor"), F.concat(F.lit("Section in "), "header_path").alias("preview"))
+    has = lambda c: _has(c, wanted)
+    titles = d.filter(has(F.col("file_name"))).select("doc_id", "doc_pos", "file_name", F.lit(1).alias("stage"), F.lit(0).alias("pos"), F.lit("title").alias("match_type"), F.col("file_name").alias("title"), F.lit("").alias("anchor"), F.coalesce(F.nullif(F.substring("own_preview", 1, PREVIEW_CHARS), F.lit("")), F.lit(NO_PREVIEW)).alias("preview"))
+    c = chunks.filter(has(F.col("header_path"))).join(d.drop("markdown", "own_preview"), "doc_id")
+    c = c.withColumn("title", T.header_title(F.col("header_path"))).select("doc_id", "doc_pos", "file_name", F.lit(2).alias("stage"), "pos", F.lit("header").alias("match_type"), "title", T.anchor(F.col("title")).alias("anchor"), F.concat(F.lit(IN_PATH), "header_path").alias("preview"))
     lines = d.select("doc_id", "doc_pos", "file_name", F.posexplode(F.split("markdown", r"\r\n|\r|\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter(F.col("line").startswith("#"))
     h = lines.filter(has(F.col("line"))).withColumn("title", F.regexp_replace("line", r"^#+\s*", ""))
-    h = h.select("doc_id", "doc_pos", "file_name", F.lit(3).alias("stage"), "pos", F.lit("header").alias("match_type"), "title", T.anchor(F.col("title")).alias("anchor"), F.concat(F.lit("Section: "), "title").alias("preview"))
+    h = h.select("doc_id", "doc_pos", "file_name", F.lit(3).alias("stage"), "pos", F.lit("header").alias("match_type"), "title", T.anchor(F.col("title")).alias("anchor"), F.concat(F.lit(IN_TEXT), "title").alias("preview"))
     key = F.when(F.col("match_type") == "title", "title").otherwise(F.col("anchor"))
     first = Window.partitionBy("doc_id", "key").orderBy("stage", "pos")
     hits = titles.unionByName(c).unionByName(h).withColumn("key", key).withColumn("n", F.row_number().over(first)).filter("n = 1")

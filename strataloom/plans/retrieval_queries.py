@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.operators import graph, retrieval
@@ -123,8 +124,6 @@ hits AS (SELECT DISTINCT parent_id, rank, triple FROM places JOIN mentions USING
 five AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY triple) - 1 AS pos FROM hits QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY triple) <= 5)
 SELECT triple, (min(rank * 100 + pos) // 100)::BIGINT AS rank, (min(rank * 100 + pos) % 100)::BIGINT AS pos FROM five GROUP BY triple ORDER BY rank, pos LIMIT 10""")
 def unique_triples(spark, d):
-    from pyspark.sql import Window
-
     r = _ranked(spark, d)
     t = retrieval.triples(r, D.mentions(spark, d), D.relations(spark, d), D.entities(spark, d))
     places = r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused_score"), "parent_id")).cast("long"))  # twenty rows
@@ -163,13 +162,20 @@ def node_merge_dedup(spark, d):
     return m.select("label", "entity_id", F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties"))
 
 
-@query("""WITH e AS (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS rel_type, quantity, seq FROM (SELECT l_partkey, l_suppkey, l_returnflag, l_quantity::BIGINT AS quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity::BIGINT AS seq FROM lineitem)),
-ids AS (SELECT p_partkey AS id FROM part WHERE p_size <= 40)
-SELECT source_id, target_id, rel_type, arg_max(quantity, seq) AS quantity FROM e WHERE source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids) GROUP BY 1, 2, 3""")
+@query("""WITH e AS (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS rel_type, unnest(['quantity', 'mode' || l_linenumber]) AS k, unnest([l_quantity::BIGINT::VARCHAR, l_linestatus]) AS v, 1 AS age, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity::BIGINT AS seq FROM lineitem),
+ids AS (SELECT p_partkey AS id FROM part WHERE p_size <= 40), old AS (SELECT s_suppkey AS source_id, s_suppkey AS target_id, 'R' AS rel_type, 'since' AS k, s_nationkey::VARCHAR AS v, 0 AS age, 0 AS seq FROM supplier UNION ALL SELECT p_partkey, p_partkey % 100, 'N', 'quantity', 'none', 0, 0 FROM part),
+all_ AS (SELECT * FROM e WHERE source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids) UNION ALL SELECT * FROM old),
+m AS (SELECT source_id, target_id, rel_type, k, arg_max(v, age * 1000000000000 + seq) AS v FROM all_ GROUP BY 1, 2, 3, 4)
+SELECT source_id, target_id, rel_type, string_agg(k || '=' || v, ',' ORDER BY k) AS properties FROM m GROUP BY 1, 2, 3""")
 def edge_merge_dedup(spark, d):
-    e = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("rel_type"), F.col("l_quantity").cast("long").alias("properties"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("long")).alias("seq"))
-    n = D.table(spark, d, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("entity_id"))
-    return graph.merge_edges(e, n).withColumnRenamed("properties", "quantity")
+    """Edges between known nodes merged, property by property, into those that are there."""
+    entry = lambda *kv: F.create_map(*kv)
+    e = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("rel_type"), entry(F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"), F.concat(F.lit("mode"), F.col("l_linenumber").cast("string")), F.col("l_linestatus")).alias("properties"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("long")).alias("seq"))
+    part = D.table(spark, d, "part")
+    old = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("target_id"), F.lit("R").alias("rel_type"), entry(F.lit("since"), F.col("s_nationkey").cast("string")).alias("properties"), F.lit(0).cast("long").alias("seq"))
+    old = old.unionByName(part.select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") % 100).alias("target_id"), F.lit("N").alias("rel_type"), entry(F.lit("quantity"), F.lit("none")).alias("properties"), F.lit(0).cast("long").alias("seq")))
+    m = graph.merge_edges(old, e, part.filter("p_size <= 40").select(F.col("p_partkey").alias("entity_id")))
+    return m.select("source_id", "target_id", "rel_type", F.array_join(F.transform(F.map_entries("properties"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("properties"))
 
 
 @query("""WITH gone AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), kept AS (SELECT o_orderkey AS parent_id FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone))
@@ -182,13 +188,19 @@ def subgraph_delete(spark, d):
     return left["mentions"].groupBy("parent_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_RANKED}, {D.SQL_ENTITIES} SELECT 'retrieve' AS mode, 20 AS top_k, 80 AS candidate_k, 300 AS budget, count(*) AS ranked, count(*) FILTER (WHERE is_seed) AS vector_matches, count(*) FILTER (WHERE NOT is_seed) AS expansions FROM ranked""")
+@query(f"""{_RANKED}, p AS (SELECT r.parent_id, is_seed, row_number() OVER (ORDER BY fused_score DESC, r.parent_id) AS pos, text AS content FROM ranked r JOIN documents ON doc_id = r.parent_id),
+costs AS (SELECT *, ceil(length(content) / 3.3::DOUBLE)::BIGINT AS cost FROM p), walk AS (SELECT *, sum(cost) OVER (ORDER BY pos) - cost AS before FROM costs),
+marked AS (SELECT *, before + cost > 2000 AS over FROM walk), kept AS (SELECT *, count(*) FILTER (WHERE over) OVER (ORDER BY pos) AS overs FROM marked),
+cut AS (SELECT *, CASE WHEN over THEN ceil(length(regexp_replace(substr(content, 1, greatest(20, floor(greatest(1, 2000 - before - 9) * 3.3::DOUBLE)::BIGINT)::BIGINT), '\\s+$', '') || '... [truncado pelo orçamento]') / 3.3::DOUBLE)::BIGINT ELSE cost END AS tokens FROM kept WHERE overs = 0 OR (over AND overs = 1 AND (pos = 1 OR 2000 - before >= 59)))
+SELECT 20 AS top_k, 80 AS candidate_k, 2000 AS token_budget_limit, 'retrieve' AS mode, 'image,audio' AS source_types, NULL::DOUBLE AS time_from, 1700090000::DOUBLE AS time_to, sum(tokens)::BIGINT AS token_budget_consumed, (SELECT bool_or(over) FROM marked) AS budget_truncated, count(*) AS results_count,
+ string_agg(CASE WHEN is_seed THEN 'vector_match' ELSE 'graph_expansion' END, ',' ORDER BY pos) AS retrieval_sources FROM cut""")
 def retrieval_trace(spark, d):
-    from pyspark.sql import Window
-
-    r = _ranked(spark, d)
-    cut = retrieval.budget_cut(r.select(F.row_number().over(Window.orderBy(F.desc("fused_score"), "parent_id")).alias("rank"), F.repeat(F.lit("x"), 100).alias("content")), 300)
-    return retrieval.trace(r, cut, TOP, 300, "retrieve").drop("consumed", "truncated", "kept")
+    """The trace of the flagship query; its passages are the texts of documents of the same number."""
+    texts = D.table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content"))
+    r = _ranked(spark, d).join(texts, "parent_id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused_score"), "parent_id")))  # twenty rows
+    r = r.select("rank", "content", F.when(F.col("is_seed"), "vector_match").otherwise("graph_expansion").alias("retrieval_source"))
+    filters = retrieval.Filters(source_types=("image", "audio"), time_to=1700090000.0)
+    return retrieval.trace(retrieval.budget_cut(r, 2000), TOP, 2000, "retrieve", filters).withColumn("retrieval_sources", F.array_join("retrieval_sources", ","))
 
 
 @query("""SELECT conv_id, turn, '<evidence rank="' || turn || '" score="' || printf('%.4f', 1.0 / (turn + 2)) || '" section="' || role || '">' || chr(10) || text || chr(10) || '</evidence>' AS block FROM conversations""")
