@@ -46,6 +46,11 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
+def suffix(name: Column) -> Column:
+    """A file name's ending in lower case, empty without one; a leading dot begins no ending."""
+    return F.coalesce(F.regexp_extract(F.lower(name), r"[^/](\.[^./]+)$", 1), F.lit(""))
+
+
 def clock(seconds: Column) -> Column:
     """mm:ss, minutes unbounded."""
     whole = F.floor(seconds).cast("long")
@@ -74,18 +79,31 @@ IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp", ".heic", ".heif")
 def source_type(mime: Column, file_name: Column) -> Column:
     """audio, image or document: by MIME type where it tells, else by the name's ending."""
     m = F.lower(F.trim(F.coalesce(mime, F.lit(""))))
-    ending = F.regexp_extract(F.lower(F.coalesce(file_name, F.lit(""))), r"[^/](\.[^./]+)$", 1)
+    ending = suffix(file_name)
     by_mime = F.when(m.startswith("image/"), "image").when(m.startswith("audio/") | (m == "video/3gpp"), "audio").when(m.startswith("text/") | m.isin(*DOCUMENT_MIMES), "document")
     by_name = F.when(ending.isin(*IMAGE_ENDINGS), "image").when(ending.isin(*AUDIO_ENDINGS), "audio").otherwise("document")
     return F.coalesce(by_mime, by_name)
 
 
-# The ending under which a MIME type's content is stored.
-ENDINGS = {"application/pdf": ".pdf", "text/markdown": ".md", "text/plain": ".txt", "text/html": ".html", "text/csv": ".csv", "application/json": ".json", "image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp", "audio/mpeg": ".mp3", "audio/ogg": ".ogg", "audio/wav": ".wav"}
+# The ending that a MIME type stands for, where a file name has none, and that of all other types.
+ENDINGS = {
+    "text/plain": ".txt",
+    "text/markdown": ".md",
+    "text/html": ".html",
+    "application/pdf": ".pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": ".pptx",
+    "text/csv": ".csv",
+    "application/json": ".json",
+}
+OTHER_ENDING = ".txt"
 
 
-def ending_of(mime: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), F.lower(F.trim(mime))), F.lit(".bin"))
+def ending_of(mime: Column, file_name: Column) -> Column:
+    """A file's own ending, else that of its MIME type."""
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), F.lower(mime))
+    return F.coalesce(F.nullif(suffix(file_name), F.lit("")), known, F.lit(OTHER_ENDING))
 
 
 def utc_time(seconds: Column) -> Column:
@@ -93,6 +111,7 @@ def utc_time(seconds: Column) -> Column:
     return F.coalesce(F.concat(F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.lit("N/A"))
 
 
+# Patterns of tables, headings and figures in Markdown, of page marks, and of words in names.
 def structure_counts(text: Column) -> dict[str, Column]:
     """Table delimiters, headings and figure marks of a Markdown text."""
     return {
@@ -111,6 +130,34 @@ def lineage(*titles: str) -> Column:
     return F.concat_ws(" -> ", *[F.col(t) for t in titles])
 
 
+def words_and_margin(text: Column) -> Column:
+    """Tokens of a request: its words and a margin of 500."""
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) + 500
+
+
+def payload_tokens(content: Column) -> Column:
+    """Tokens of a request of so many bytes: a quarter, 1 at least; 100 without content."""
+    n = F.coalesce(F.octet_length(content), F.lit(0))
+    return F.when(n == 0, 100).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("int")
+
+
+def snippets(contents: Column, most: int = 200) -> Column:
+    """The beginnings of passages, one a line."""
+    return F.array_join(F.transform(contents, lambda c: F.concat(F.lit("- "), F.substring(c, 1, most))), "\n")
+
+
+def appended(array_text: Column, item: Column) -> Column:
+    """A JSON array with one more item; null counts as empty."""
+    inner = F.regexp_extract(F.coalesce(array_text, F.lit("[]")), r"(?s)^\s*\[(.*)\]\s*$", 1)
+    return F.concat(F.lit("["), F.when(F.trim(inner) == "", item).otherwise(F.concat(inner, F.lit(","), item)), F.lit("]"))
+
+
+def field_or(variant: Column, path: str, kind: str, default: object = None) -> Column:
+    """A JSON value's field; a default, where given, in place of null."""
+    found = F.try_variant_get(variant, path, kind)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
 def json_part(reply: Column) -> Column:
     """The outermost JSON array of a reply that may be fenced or surrounded by words; null without one."""
     return F.nullif(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), F.lit(""))
@@ -141,13 +188,6 @@ fold = _each(fold_text)
 anchor = _each(anchor_text)
 
 
-def ascii_anchor(text: Column) -> Column:
-    """The anchor of an ASCII text, without leaving the JVM."""
-    kept = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s-]", ""))
-    slug = F.regexp_replace(kept, r"[-\s]+", "-")
-    return F.when(slug == "", "section").otherwise(slug)
-
-
 def header_title(path: Column) -> Column:
     """The last part of a path of headings, without its number signs."""
     parts = F.filter(F.transform(F.split(path, ">"), lambda x: F.trim(x)), lambda x: x != "")

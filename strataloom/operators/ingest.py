@@ -18,12 +18,35 @@ from strataloom.operators.graph import first_text
 
 Parser = Callable[[Column], Column]
 
-# Answers without a language model.
+# Answers without a language model, and the text of a transcription.
 NOTHING_FOUND = "Nenhum documento ou contexto relevante foi encontrado na Knowledge Base para responder a essa pergunta."
 RETRIEVED = "Modo retrieve: %d evidências recuperadas do grafo de conhecimento."
 NO_SYNTHESIS = "Foram recuperadas %d evidências do grafo de conhecimento."
 
 
+AUDIO_TITLE, AUDIO_DATE, NO_AUDIO = "# Transcrição de Áudio: ", "*Data de Ingestão: ", "Nenhum áudio inteligível detectado."
+
+
+def transcripts(files: DataFrame, segments: DataFrame) -> DataFrame:
+    """(file_name, text) of files (file_name, ingested_at) from their segments (file_name, start, end, text), in blocks."""
+    blocks = markdown.audio_block_table(segments)
+    part = F.concat(F.lit("## ["), T.clock(F.col("start")), F.lit(" - "), T.clock(F.col("end")), F.lit("]\n"), "text")
+    # a file's blocks: one for two minutes of sound
+    parts = blocks.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("block", part.alias("part")))).alias("parts"), F.max("start").alias("seen"))
+    head = F.concat(F.lit(AUDIO_TITLE), "file_name", F.lit("\n" + AUDIO_DATE), T.utc_time(F.col("ingested_at")), F.lit("*\n\n"))
+    body = F.coalesce(F.array_join(F.transform("parts", lambda p: p.part), "\n\n"), F.lit(NO_AUDIO))
+    return files.join(parts, "file_name", "left").select("file_name", F.concat(head, body).alias("text"))
+
+
+def segments_of(replies: DataFrame) -> DataFrame:
+    """(file_name, start, end, text) from a transcriber's JSON replies (file_name, reply): its segments, or where there are
+    none its whole text as one."""
+    kind = "struct<segments:array<struct<start:double,end:double,text:string>>,text:string>"
+    r = F.from_json("reply", kind)
+    found = F.coalesce(F.nullif(r.segments, F.array().cast("array<struct<start:double,end:double,text:string>>")), F.when(r.text.isNotNull(), F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), r.text.alias("text")))))
+    return replies.select("file_name", F.inline(found))
+
+
 def route(files: DataFrame) -> DataFrame:
     """Adds source_type from content_type and file_name."""
     return files.withColumn("source_type", T.source_type(F.col("content_type"), F.col("file_name")))
@@ -41,17 +64,23 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
 
 
 def entity_rows(raw: DataFrame) -> DataFrame:
-    """Loose entity records as (entity_id, name, label, aliases): the first filled of the fields that may hold each.
+    """Loose entity records as (entity_id, name, label, aliases, properties): the first filled of the fields that may hold
+    each; ``properties``, a map of strings, takes in all other fields that are filled, which win over its own.
 
     ``raw`` has strings id, entity_type, type, node_type, name, label, rotulo, sigla, ementa, and aliases, an array, or
     alias, one name; missing columns count as empty. Rows without id are dropped.
     """
+    flat = [c for c in raw.columns if c not in ("id", "entity_type", "type", "node_type", "name", "label", "aliases", "alias", "properties")]
     for c in ("id", "entity_type", "type", "node_type", "name", "label", "rotulo", "sigla", "ementa", "alias"):
         raw = raw if c in raw.columns else raw.withColumn(c, F.lit(None).cast("string"))
     aliases = F.col("aliases") if "aliases" in raw.columns else F.lit(None).cast("array<string>")
     aliases = F.coalesce(aliases, F.when(F.coalesce("alias", F.lit("")) != "", F.array("alias")), F.array().cast("array<string>"))
+    extra = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in flat])) if flat else None
+    own = F.coalesce("properties", F.create_map().cast("map<string,string>")) if "properties" in raw.columns else F.create_map().cast("map<string,string>")
+    kept = F.map_filter(own, lambda k, v: ~k.isin(*flat)) if flat else own
+    properties = F.map_concat(kept, F.map_from_entries(extra)) if flat else own
     out = raw.filter("trim(coalesce(id, '')) <> ''")
-    return out.select(F.col("id").alias("entity_id"), first_text("name", "label", "rotulo", "sigla", "ementa", "id").alias("name"), F.coalesce(first_text("entity_type", "type", "node_type"), F.lit("")).alias("label"), aliases.alias("aliases"))
+    return out.select(F.col("id").alias("entity_id"), first_text("name", "label", "rotulo", "sigla", "ementa", "id").alias("name"), F.coalesce(first_text("entity_type", "type", "node_type"), F.lit("")).alias("label"), aliases.alias("aliases"), properties.alias("properties"))
 
 
 def relation_rows(raw: DataFrame) -> DataFrame:
@@ -74,6 +103,12 @@ def toc_rows(items: DataFrame, first_page: int, last_page: int) -> DataFrame:
     return items.filter(ok).withColumns({"page": page, "type": F.when(kind.isin(*TOC_KINDS), kind).otherwise("section"), "title": F.trim("title")})
 
 
+def content_or_log(stored: DataFrame, log: DataFrame) -> DataFrame:
+    """(document_id, text) of stored texts; a document without one has the preview of its last parsing in the log."""
+    seen = log.filter(F.col("event_type") == "DocumentParsedToMarkdown").groupBy(F.col("aggregate_id").alias("document_id")).agg(F.max_by("markdown_preview", "event_version").alias("preview"))
+    return stored.select("document_id", "text").join(seen, "document_id", "full").select("document_id", F.coalesce("text", "preview").alias("text")).filter("text is not null")
+
+
 def content_with_headings(documents: DataFrame) -> DataFrame:
     """(document_id, text, toc): a document's Markdown and its headings in one row."""
     return documents.select("document_id", "text", T.headings(F.col("text")).alias("toc"))

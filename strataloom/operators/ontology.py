@@ -61,14 +61,39 @@ def schema_of(ontology: Ontology) -> S.StructType:
     return S.StructType([*nodes, *[S.StructField(r.name, S.ArrayType(S.StructType([*ends, *struct_of(r.properties).fields[1:]]))) for r in ontology.relations]])
 
 
-def parse_graphs(replies: DataFrame, ontology: Ontology) -> DataFrame:
-    """(.., graph) from JSON replies: the outermost braces are read, values outside an enumeration become null."""
-    return replies.withColumn("graph", F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), schema_of(ontology)))
+def _valid(items, properties: tuple[Property, ...], schema: S.StructType):
+    """The list with null in place of values that are not among those that their property allows."""
+    allowed = {p.name: p.values for p in properties if p.values}
+    if not allowed:
+        return items
+    return F.transform(items, lambda x: F.struct(*[(F.when(x[f.name].isin(*allowed[f.name]), x[f.name]) if f.name in allowed else x[f.name]).alias(f.name) for f in schema.fields]))
 
 
-def valid_values(column: str, p: Property):
-    """Null where a value is not one of the property's."""
-    return F.when(F.col(column).isin(*p.values), F.col(column)) if p.values else F.col(column)
+def parse_graphs(replies: DataFrame, ontology: Ontology) -> DataFrame:
+    """(.., graph) from JSON replies: the outermost braces are read, values outside an enumeration become null; a reply
+    that can't be read has a null graph."""
+    schema = schema_of(ontology)
+    a = replies.withColumn("graph", F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), schema))
+    kinds = {k.name: k.properties for k in (*ontology.nodes, *ontology.relations)}
+    fields = [_valid(F.col(f"graph.`{f.name}`"), kinds[f.name], f.dataType.elementType).alias(f.name) for f in schema.fields]
+    return a.withColumn("graph", F.when(F.col("graph").isNotNull(), F.struct(*fields)))
+
+
+def graph_rows(graphs: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame]:
+    """(parent_id, entity_id, label) and (parent_id, source_id, target_id, rel_type) of parsed graphs."""
+    lists = lambda names, shape: F.flatten(F.array(*[F.coalesce(F.transform(F.col(f"graph.`{n}`"), shape(n)), F.array()) for n in names])) if names else F.array()
+    nodes = lists([n.name for n in ontology.nodes], lambda n: lambda x: F.struct(x["id"].alias("entity_id"), F.lit(n).alias("label")))
+    edges = lists([r.name for r in ontology.relations], lambda n: lambda x: F.struct(x["source_id"].alias("source_id"), x["target_id"].alias("target_id"), F.lit(n).alias("rel_type")))
+    return graphs.select("parent_id", F.inline(nodes)).filter("trim(entity_id) <> ''"), graphs.select("parent_id", F.inline(edges)).filter("source_id is not null and target_id is not null")
+
+
+def extract_with(passages: DataFrame, ontology: Ontology, model) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges by a model, a column function from texts to JSON replies; passages whose reply can't be read are
+    extracted by their wording."""
+    graphs = parse_graphs(passages.withColumn("reply", model(F.col("text"))), ontology)
+    n, e = graph_rows(graphs.filter("graph is not null"), ontology)
+    n2, e2 = extract(graphs.filter("graph is null").select("parent_id", "text"), ontology)
+    return n.unionByName(n2.select("parent_id", "entity_id", "label")), e.unionByName(e2)
 
 
 def _sample(p: Property):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
-from strataloom.operators import ingest, markdown, ontology, search
+from strataloom.operators import ingest, markdown, ontology, search, toc
+from strataloom.operators import quality as Q
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
 from strataloom.sources import files, html
@@ -88,7 +89,11 @@ def repeated_headings(spark, d):
     return _notes(spark, d).select("document_id", markdown.without_repeated_headings(F.concat("text", F.lit("\n\n"), "text")).alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT 'call-' || conv_id AS file_name, turn * 40.0::DOUBLE AS start, turn * 40.0::DOUBLE + length(text) % 45 AS "end", trim(text, ' ' || chr(9) || chr(10)) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''),
+w AS (SELECT file_name, n, 0 AS block, start, "end" AS stop, start AS first FROM s WHERE n = 1
+ UNION ALL SELECT s.file_name, s.n, CASE WHEN s."end" - w.first > 120 OR s.start - w.stop > 10 THEN w.block + 1 ELSE w.block END, s.start, s."end", CASE WHEN s."end" - w.first > 120 OR s.start - w.stop > 10 THEN s.start ELSE w.first END FROM w JOIN s ON s.file_name = w.file_name AND s.n = w.n + 1),
+b AS (SELECT w.file_name, block, min(first) AS start, arg_max(stop, w.n) AS "end", string_agg(text, ' ' ORDER BY w.n) AS text FROM w JOIN s ON s.file_name = w.file_name AND s.n = w.n GROUP BY 1, 2)
+SELECT *, '[' || lpad(floor(start / 60)::INT::VARCHAR, 2, '0') || ':' || lpad((start::INT % 60)::VARCHAR, 2, '0') || ' - ' || lpad(floor("end" / 60)::INT::VARCHAR, 2, '0') || ':' || lpad(("end"::INT % 60)::VARCHAR, 2, '0') || ']' AS span FROM b""")
 def audio_blocks(spark, d):
     c = D.table(spark, d, "conversations")
     start = F.col("turn") * 40.0
@@ -101,8 +106,8 @@ _ASCII = "'[^a-z0-9_\\s-]'".replace("\\\\", "\\")
 
 @query(f"""WITH {_SQL_NOTES}, q AS (SELECT 'system' AS w),
 l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM notes),
-hits AS (SELECT document_id, document_name, 2 AS stage, page AS pos, page || '. ' || role AS title, 'Section in Notes > ## ' || page || '. ' || role AS preview FROM notes JOIN (SELECT conv_id, turn AS page, role FROM conversations) ON conv_id = document_id, q WHERE role LIKE '%' || w || '%'
-  UNION ALL SELECT document_id, document_name, 3, pos, regexp_replace(trim(line), '^#+\\s*', ''), 'Section: ' || regexp_replace(trim(line), '^#+\\s*', '') FROM l JOIN notes USING (document_id), q WHERE trim(line) LIKE '#%' AND lower(line) LIKE '%' || w || '%'),
+hits AS (SELECT document_id, document_name, 2 AS stage, page AS pos, page || '. ' || role AS title, 'Seção em Notes > ## ' || page || '. ' || role AS preview FROM notes JOIN (SELECT conv_id, turn AS page, role FROM conversations) ON conv_id = document_id, q WHERE role LIKE '%' || w || '%'
+  UNION ALL SELECT document_id, document_name, 3, pos, regexp_replace(trim(line), '^#+\\s*', ''), 'Seção: ' || regexp_replace(trim(line), '^#+\\s*', '') FROM l JOIN notes USING (document_id), q WHERE trim(line) LIKE '#%' AND lower(line) LIKE '%' || w || '%'),
 keyed AS (SELECT *, regexp_replace(trim(regexp_replace(lower(title), {_ASCII}, '', 'g')), '[-\\s]+', '-', 'g') AS anchor FROM hits),
 first AS (SELECT *, row_number() OVER (PARTITION BY document_id, anchor ORDER BY stage, pos) AS n FROM keyed)
 SELECT document_id AS doc_id, document_name AS file_name, 'header' AS match_type, title, anchor, preview FROM first WHERE n = 1 ORDER BY document_id, stage, pos LIMIT 20""".replace("\\\\", "\\"))
@@ -113,7 +118,8 @@ def quick_search(spark, d):
     return search.quick_search(docs, chunks, "Sýstem", 20)
 
 
-@query()
+@query("""WITH h AS (SELECT item_id, sha256('title: none | text: ' || text) AS h FROM benchmark), r AS (SELECT item_id, unnest(range(16)) AS pos, ('0x' || substr(h, unnest(range(16)) * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1 AS raw FROM h)
+SELECT item_id, pos, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)), 6) AS value FROM r""")
 def hash_embedding(spark, d):
     return D.table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.hash_embedding(vectors.passage_prompt(F.lit(None).cast("string"), F.col("text")), 16)).alias("pos", "value")).select("item_id", "pos", F.round("value", 6).alias("value"))
 
@@ -134,28 +140,34 @@ def heuristic_extract(spark, d):
     return n.select("parent_id", F.col("entity_id").alias("a"), F.lit("").alias("b"), F.col("label").alias("kind")).unionByName(e.select("parent_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("rel_type").alias("kind")))
 
 
-@query("""WITH nodes AS (SELECT o_custkey AS graph_id, o_orderkey AS entity_id, o_orderstatus AS label FROM orders), edges AS (SELECT o_custkey AS graph_id, o_orderkey AS source_id, o_orderkey + (o_orderkey % 3) AS target_id FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH nodes AS (SELECT o_custkey AS graph_id, o_orderkey AS entity_id, o_orderstatus AS label FROM orders), edges AS (SELECT o_custkey AS graph_id, o_orderkey AS source_id, o_orderkey + (o_orderkey % 3) AS target_id FROM orders),
 e AS (SELECT graph_id, avg(CASE WHEN EXISTS (SELECT 1 FROM nodes n WHERE n.graph_id = edges.graph_id AND n.entity_id = target_id) THEN 1.0 ELSE 0.0 END) * 100 AS integrity FROM edges GROUP BY 1), n AS (SELECT graph_id, avg(CASE WHEN label IN ('F', 'O') THEN 1.0 ELSE 0.0 END) * 100 AS adherence FROM nodes GROUP BY 1)
 SELECT graph_id, round(coalesce(integrity, 100), 6) AS integrity, round(adherence, 6) AS adherence FROM n LEFT JOIN e USING (graph_id)""")
 def extraction_quality(spark, d):
     o = D.table(spark, d, "orders")
     n = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("label"))
-    e = o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + F.col("o_orderkey") % 3).alias("target_id"))
+    e = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + F.col("o_orderkey") % 3).alias("target_id"))
     return ontology.quality(n, e, ["F", "O"]).select("graph_id", F.round("integrity", 6).alias("integrity"), F.round("adherence", 6).alias("adherence"))
 
 
-_WORDS = ("the", "der", "que", "la")
+# Recognized pages: notes with a figure in each second one; what is expected depends on the note.
+_FIGURE = "> **[Figura 1]** Descrição visual: x"
 
 
-@query("""WITH c AS (SELECT doc_id, (SELECT count(*) FROM (VALUES ('the'), ('der'), ('que'), ('la')) w(x) WHERE contains(lower(text), x)) / 4.0 AS keywords, least(1.0, (length(text) - length(replace(text, chr(10), ''))) / 10.0) AS lines, least(1.0, (length(text) - length(replace(text, '|', ''))) / 20.0) AS columns FROM documents)
-SELECT doc_id, round(0.35 * columns + 0.25 * lines + 0.25 * keywords + 0.15 * CASE WHEN columns > 0 AND lines > 0 THEN 1 ELSE 0 END, 6) AS quality FROM c""")
+@query(f"""WITH {_SQL_NOTES}, p AS (SELECT document_id, CASE WHEN document_id % 2 = 0 THEN text || chr(10) || '{_FIGURE}' ELSE text END AS text, document_id % 4 <> 3 AS tables, document_id % 5 <> 0 AS heads, document_id % 3 = 0 AS fig FROM notes),
+c AS (SELECT *, lower(text) AS low, regexp_matches(text, '\\|[-:\\s]+\\|') AND len(regexp_extract_all(text, '\\|[^\\n]*\\|')) >= 3 AS is_table FROM p),
+s AS (SELECT *, ((low LIKE '%note%')::INT + (low LIKE '%text%')::INT + (low LIKE '%absent column%')::INT) / 3.0 AS cols, ((low LIKE '%1. user%')::INT + (low LIKE '%2. assistant%')::INT) / 2.0 AS hs, ((low LIKE '%the%')::INT + (low LIKE '%der%')::INT + (low LIKE '%que%')::INT + (low LIKE '%la%')::INT) / 4.0 AS ks,
+  (CASE WHEN regexp_matches(text, '(?i)(>\\s*\\*\\*\\[Figura|\\[Figura\\s*\\d+)') THEN 50 ELSE 0 END) + (CASE WHEN regexp_matches(text, '(?i)descri[cç][aã]o\\s*visual') THEN 50 ELSE 0 END) AS figs FROM c),
+w AS (SELECT *, CASE WHEN is_table THEN 50 + 50 * cols ELSE 40 * cols END AS ts, CASE WHEN tables THEN 0.35 ELSE 0 END AS wt, CASE WHEN heads THEN 0.25 ELSE 0 END AS wh, CASE WHEN fig THEN 0.35 ELSE 0 END AS wf FROM s)
+SELECT document_id, round(CASE WHEN tables THEN ts ELSE 100 END, 6) AS score_tables, round(CASE WHEN heads THEN hs * 100 ELSE 100 END, 6) AS score_headings, round(ks * 100, 6) AS score_keywords, CASE WHEN fig THEN figs ELSE 100 END::DOUBLE AS score_figures, round((ts * wt + hs * 100 * wh + ks * 100 * 0.25 + figs * wf) / (wt + wh + 0.25 + wf), 6) AS quality FROM w""")
 def ocr_quality(spark, d):
-    t = F.col("text")
-    keywords = F.size(F.filter(F.array(*[F.lit(w) for w in _WORDS]), lambda w: F.contains(F.lower(t), w))) / F.lit(4.0)
-    count = lambda x: F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))
-    lines, columns = F.least(F.lit(1.0), count("\n") / F.lit(10.0)), F.least(F.lit(1.0), count("|") / F.lit(20.0))
-    score = columns * 0.35 + lines * 0.25 + keywords * 0.25 + ((columns > 0) & (lines > 0)).cast("double") * 0.15
-    return D.table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("quality"))
+    key = F.col("document_id")
+    wanted = lambda *x: F.array(*[F.lit(w) for w in x])
+    none = F.array().cast("array<string>")
+    p = _notes(spark, d).select("document_id", F.when(key % 2 == 0, F.concat("text", F.lit("\n" + _FIGURE))).otherwise(F.col("text")).alias("text"))
+    p = p.withColumns({"columns": F.when(key % 4 != 3, wanted("Note", "text", "absent column")).otherwise(none), "headings": F.when(key % 5 != 0, wanted("1. user", "2. Assistant")), "keywords": wanted("the", "der", "que", "la"), "has_figure": key % 3 == 0})
+    scores = ["score_tables", "score_headings", "score_keywords", "score_figures", "quality"]
+    return Q.ocr_scores(p).select("document_id", *[F.round(c, 6).alias(c) for c in scores])
 
 
 @query("SELECT source, quality, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
@@ -163,18 +175,36 @@ def model_means(spark, d):
     return D.table(spark, d, "documents").join(D.table(spark, d, "labels"), "doc_id").groupBy("source", "quality").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
-_SQL_TOC = "toc AS (SELECT o_custkey AS doc_id, (o_orderkey % 3 + 1)::BIGINT AS level, 't' || o_orderkey AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS page FROM orders)"
+_SQL_TOC = "toc AS (SELECT o_custkey AS doc_id, (o_orderkey % 4 + 1)::BIGINT AS level, 't' || o_orderkey AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS page FROM orders)"
+_OPEN = "(SELECT arg_max(title, page) FROM toc a WHERE a.doc_id = t.doc_id AND a.level = {k} AND a.page <= t.page AND a.page > coalesce((SELECT max(page) FROM toc b WHERE b.doc_id = t.doc_id AND b.level > 1 AND b.level < {k} AND b.page <= t.page), 0))"
 
 
-@query(f"""WITH {_SQL_TOC} SELECT t.doc_id, t.page, (SELECT arg_max(title, page) FROM toc a WHERE a.doc_id = t.doc_id AND a.level = 1 AND a.page <= t.page) AS h1,
- (SELECT arg_max(title, page) FROM toc a WHERE a.doc_id = t.doc_id AND a.level = 2 AND a.page <= t.page AND a.page > coalesce((SELECT max(page) FROM toc b WHERE b.doc_id = t.doc_id AND b.level < 2 AND b.page <= t.page), 0)) AS h2,
- (SELECT arg_max(title, page) FROM toc a WHERE a.doc_id = t.doc_id AND a.level = 3 AND a.page <= t.page AND a.page > coalesce((SELECT max(page) FROM toc b WHERE b.doc_id = t.doc_id AND b.level < 3 AND b.page <= t.page), 0)) AS h3 FROM toc t""")
+def _toc(spark, d) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    page = F.row_number().over(order).cast("long")
+    return D.table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), page.alias("pos"), (F.col("o_orderkey") % 4 + 1).alias("level"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("title"), page.alias("page"))
+
+
+@query(f"""WITH {_SQL_TOC}, o AS (SELECT t.doc_id, t.page, coalesce({_OPEN.format(k=1)}, (SELECT arg_min(title, page) FROM toc a WHERE a.doc_id = t.doc_id AND a.level = 1)) AS h1, {_OPEN.format(k=2)} AS h2, {_OPEN.format(k=3)} AS h3, {_OPEN.format(k=4)} AS h4 FROM toc t)
+SELECT *, concat_ws(' -> ', '# ' || h1, '## ' || h2, '### ' || h3, '#### ' || h4) AS lineage FROM o""")
 def toc_asof(spark, d):
-    from pyspark.sql import Window
+    t = _toc(spark, d)
+    return toc.hierarchy(t, t.select("doc_id", "page"))
 
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    toc = D.table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 3 + 1).alias("level"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("title"), F.row_number().over(order).cast("long").alias("page"))
-    return native.headings_as_of(toc, toc.select("doc_id", "page"), levels=3)
+
+@query(f"""WITH {_SQL_TOC}, n AS (SELECT doc_id, max(page) AS n_pages FROM toc GROUP BY 1), b AS (SELECT doc_id, n_pages, unnest(range(0, ((n_pages - 1) // 3) + 1)) AS batch FROM n),
+t AS (SELECT doc_id, batch, batch * 3 + 1 AS first_page, least(batch * 3 + 3, n_pages) AS last_page, batch * 3 AS page FROM b)
+SELECT doc_id, batch, first_page, last_page, {_OPEN.format(k=2)} AS section, {_OPEN.format(k=3)} AS subsection, (SELECT repeat('#', arg_max(level, page)::INT) FROM toc a WHERE a.doc_id = t.doc_id AND a.page <= t.page) AS level FROM t""")
+def toc_batch_states(spark, d):
+    """What is open when each batch of three pages begins."""
+    t = _toc(spark, d)
+    n = t.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
+    return toc.batch_states(t, n, 3).withColumn("batch", F.col("batch").cast("long"))
+
+
+@query(f"""WITH {_SQL_TOC} SELECT doc_id, '# Índice / Table of Contents' || chr(10) || coalesce(chr(10) || string_agg(repeat('  ', (level - 2)::INT) || '- [' || title || '](#pág-' || page || ')', chr(10) ORDER BY page) FILTER (WHERE level > 1), '') AS text FROM toc GROUP BY 1""")
+def toc_list(spark, d):
+    return toc.contents_list(_toc(spark, d))
 
 
 @query()
@@ -196,12 +226,6 @@ def sessions(spark, d):
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
-def stream_projection(spark, d):
-    """The status of every document by a stream over the log, run until all is read."""
-    return native.stream_status(spark, D.log(spark, d))
-
-
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup_watermark(spark, d):
     """Each event once, though the stream delivers the log twice."""
@@ -232,9 +256,10 @@ def toc_validation(spark, d):
     return ingest.toc_rows(items, 3, 40).select("o_orderkey", "page", "type", "markdown_level")
 
 
-@query(f"WITH {_SQL_NOTES} SELECT document_id, len(regexp_extract_all(text, '\\|[-:\\s]+\\|')) AS tables, len(regexp_extract_all(text, '(?m)^#{{1,4}}\\s+.+$')) AS headings, len(regexp_extract_all(text, '(?i)\\[Figura\\s*\\d+')) AS figures FROM notes".replace("\\\\", "\\"))
+@query(f"WITH {_SQL_NOTES} SELECT document_id, len(regexp_extract_all(text, '\\|[-:\\s]+\\|')) AS tables, len(regexp_extract_all(text, '(?m)^#{{1,4}}\\s+.+$')) AS headings, len(regexp_extract_all(text, '(?i)(?:>\\s*\\*\\*\\[Figura|\\[Figura\\s*\\d+)')) AS figures FROM (SELECT document_id, text || CASE WHEN document_id % 2 = 0 THEN '> **[Figura 3]** and [Figura 4]' ELSE '' END AS text FROM notes)".replace("\\\\", "\\"))
 def markdown_counts(spark, d):
-    return _notes(spark, d).select("document_id", *[c.alias(n) for n, c in T.structure_counts(F.col("text")).items()])
+    figures = F.when(F.col("document_id") % 2 == 0, "> **[Figura 3]** and [Figura 4]").otherwise("")
+    return _notes(spark, d).select("document_id", *[c.alias(n) for n, c in T.structure_counts(F.concat("text", figures)).items()])
 
 
 @query("SELECT conv_id, count(*) FILTER (WHERE role = 'system') AS n, CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN 'Nenhum documento ou contexto relevante foi encontrado na Knowledge Base para responder a essa pergunta.' ELSE 'Modo retrieve: ' || count(*) FILTER (WHERE role = 'system') || ' evidências recuperadas do grafo de conhecimento.' END AS answer FROM conversations GROUP BY 1")

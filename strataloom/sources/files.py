@@ -25,6 +25,11 @@ def objects(spark: SparkSession, root: str, prefix: str = "", pattern: str = "*"
     return found.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time"))
 
 
+def exist(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Wanted paths with ``there``, by a listing of ``objects``."""
+    return wanted.join(found.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
 def contents(spark: SparkSession, root: str, prefix: str = "", pattern: str = "*") -> DataFrame:
     """(path, file_name, content, sha256)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(safe_path(root, prefix))
@@ -52,6 +57,11 @@ def events_from_json(spark: SparkSession, path: str) -> DataFrame:
     ).filter("event_id is not null")
 
 
+def events_of(log: DataFrame, aggregate_id: object) -> DataFrame:
+    """One aggregate's events in order."""
+    return log.filter(F.col("aggregate_id") == aggregate_id).orderBy("event_version")
+
+
 def save_checkpoint(done: DataFrame, root: str, name: str) -> None:
     """Appends finished work (kb_id, document_id, ...), partitioned so that a document's rows can be found."""
     done.write.mode("append").partitionBy("kb_id", "document_id").parquet(safe_path(root, f"checkpoints/{name}"))
@@ -62,8 +72,39 @@ def not_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys), keys, "left_anti")
 
 
-def checkpoint_name(page: Column) -> Column:
-    return F.concat(F.lit("page_"), F.lpad(page.cast("string"), 4, "0"))
+# Names of stored parts.
+def page_name(page: Column) -> Column:
+    return F.concat(F.lit("page_"), F.lpad(page.cast("string"), 4, "0"), F.lit(".md"))
+
+
+def part_name(parent_id: Column) -> Column:
+    return F.concat(F.translate(parent_id, "/:", "__"), F.lit(".json"))
+
+
+def page_of(path: Column) -> Column:
+    """The page whose checkpoint a path is, null for other paths."""
+    return F.nullif(F.regexp_extract(path, r"page_(\d+)\.md$", 1), F.lit("")).cast("int")
+
+
+def completed_pages(paths: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, n_pages, completed, complete): how many pages of documents (document_id, n_pages) are in a listing of
+    checkpoints (document_id, path)."""
+    done = paths.withColumn("page", page_of(F.col("path"))).filter("page is not null").select("document_id", "page").distinct()
+    n = done.join(documents, "document_id").filter(F.col("page").between(1, F.col("n_pages"))).groupBy("document_id").agg(F.count("*").alias("completed"))
+    return documents.join(n, "document_id", "left").withColumn("completed", F.coalesce("completed", F.lit(0))).withColumn("complete", F.col("completed") == F.col("n_pages"))
+
+
+def missing_pages(documents: DataFrame, done: DataFrame) -> DataFrame:
+    """(document_id, page) still to be done: every page of documents (document_id, n_pages) without a row in ``done``."""
+    every = documents.filter("n_pages > 0").select("document_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page"))
+    return every.join(done.select("document_id", "page"), ["document_id", "page"], "left_anti")
+
+
+def recognize(pages: DataFrame, done: DataFrame, model) -> DataFrame:
+    """(document_id, page, markdown) of all pages (document_id, page, image): what is done is taken, the rest goes through
+    ``model``, a column function. Pages whose model gives null are left out, to be done by a later run."""
+    fresh = pages.join(done.select("document_id", "page"), ["document_id", "page"], "left_anti").select("document_id", "page", model(F.col("image")).alias("markdown"))
+    return done.select("document_id", "page", "markdown").unionByName(fresh.filter("markdown is not null"))
 
 
 def assemble_pages(pages: DataFrame, separator: str = "\n\n") -> DataFrame:

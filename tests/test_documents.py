@@ -1,13 +1,16 @@
+import hashlib
 import random
+import re
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
+from strataloom.operators import ingest, markdown, ontology, quality, search, toc
 from strataloom.operators import markdown as M
-from strataloom.operators import ontology, search
+from strataloom.plans import document_queries
 from strataloom.sources import files, html
-from strataloom.streaming import native
 
 
 def kinds(text):
@@ -132,11 +135,121 @@ def test_ontology(spark):
     assert {r.graph_id: (r.integrity, r.adherence) for r in q.collect()} == {1: (50.0, 50.0), 2: (0.0, 0.0)}
 
 
-def test_headings_as_of(spark):
-    toc = spark.createDataFrame([("d", 1, 1, "# T"), ("d", 1, 2, "## 1"), ("d", 2, 2, "## 2. Methods"), ("d", 2, 3, "### 2.1"), ("d", 3, 3, "### 2.2"), ("d", 6, 2, "## 3")], "doc_id string, page long, level long, title string")
-    pages = spark.createDataFrame([("d", 4), ("d", 6)], "doc_id string, page long")
-    got = {r.page: (r.h2, r.h3) for r in native.headings_as_of(toc, pages).collect()}
-    assert got == {4: ("## 2. Methods", "### 2.2"), 6: ("## 3", None)}
+TOC = [(0, 1, "Title", 1), (1, 2, "1. Intro", 1), (2, 2, "2. Methods", 2), (3, 3, "2.2 Inclusion Criteria", 2), (4, 4, "detail", 3), (5, 2, "3. Discussion", 6)]
+
+
+def test_sections_that_are_open_at_a_page(spark):
+    items = spark.createDataFrame([("d", *r) for r in TOC] + [("e", 0, 2, "late", 4)], "doc_id string, pos int, level int, title string, page int")
+    pages = spark.createDataFrame([("d", 4), ("d", 6), ("d", 1), ("e", 3), ("e", 4), ("f", 1)], "doc_id string, page int")
+    got = {(r.doc_id, r.page): r.lineage for r in toc.hierarchy(items, pages).collect()}
+    assert got[("d", 4)] == "# Title -> ## 2. Methods -> ### 2.2 Inclusion Criteria -> #### detail" and got[("d", 6)] == "# Title -> ## 3. Discussion"
+    assert got[("d", 1)] == "# Title -> ## 1. Intro" and got[("e", 4)] == "## late" and got[("e", 3)] == got[("f", 1)] == toc.NOTHING_OPEN
+    text = toc.contents_list(items).filter("doc_id = 'd'").first().text
+    assert text == "# Índice / Table of Contents\n\n- [1. Intro](#pág-1)\n- [2. Methods](#pág-2)\n  - [2.2 Inclusion Criteria](#pág-2)\n    - [detail](#pág-3)\n- [3. Discussion](#pág-6)"
+
+
+def test_sections_carried_over_batches(spark):
+    items = spark.createDataFrame([("d", *r) for r in TOC], "doc_id string, pos int, level int, title string, page int")
+    rows = toc.batch_states(items, spark.createDataFrame([("d", 7), ("e", 0)], "doc_id string, n_pages int"), 3).orderBy("batch")
+    assert [tuple(r)[1:] for r in rows.collect()] == [(0, 1, 3, None, None, None), (1, 4, 6, "2. Methods", "2.2 Inclusion Criteria", "####"), (2, 7, 7, "3. Discussion", None, "##")]
+    shown = rows.select(toc.state_text(F.col("first_page"), F.col("section"), F.col("subsection"), F.col("level"))).collect()
+    assert shown[0][0] == "Estado prévio: " + toc.NOTHING_OPEN and "Página 6:\n- Seção Principal Ativa (##): 3. Discussion\n- Subseção Ativa (###): Nenhuma\n- Nível Ativo: ##" in shown[2][0]
+
+
+def test_ocr_quality(spark):
+    full = "# Head\n| a | b |\n| --- | --- |\n| 1 | 2 |\nkey\n> **[Figura 1]** Descrição visual: x"
+    s = lambda *x: list(x)
+    rows = [(1, full, s("A", "b"), s("head"), s("KEY", "no"), True), (2, "a key", s("a", "b"), [], None, False), (3, "x", [], [], [], False), (4, None, [], s("h"), [], True), (5, "[figura 7]", [], [], [], True)]
+    df = spark.createDataFrame(rows, "id int, text string, columns array<string>, headings array<string>, keywords array<string>, has_figure boolean")
+    got = {r.id: (r.score_tables, r.score_headings, r.score_keywords, r.score_figures, round(r.quality, 6)) for r in quality.ocr_scores(df).collect()}
+    assert got[1] == (100, 100, 50, 100, round((35 + 25 + 12.5 + 35) / 1.2, 6))
+    assert got[2] == (20, 100, 100, 100, 20) and got[3] == (100, 100, 100, 100, 100)
+    assert got[4] == (100, 0, 100, 0, 0) and got[5][3:] == (50, 50)
+    assert spark.range(1).select(quality.cost_of_thousand(F.lit(1000), F.lit(500), F.lit(0.2), F.lit(0.4))).first()[0] == pytest.approx(0.4)
+
+
+def test_files_that_need_no_model(spark):
+    rows = [("a.csv", None, b"x,y\n1,\"a|b\"\n3\n"), ("b", "text/html", b"<h1>T</h1><p>x"), ("c.json", None, b'{"k": 1}'), ("d.TXT", "text/html", "é <b>".encode("latin-1")), ("e.csv", None, b""), ("f.md", None, None)]
+    got = {r.file_name: r.text for r in html.fast_texts(spark.createDataFrame(rows, "file_name string, content_type string, content binary")).collect()}
+    assert got == {"a.csv": "| x | y |\n| --- | --- |\n| 1 | a\\|b |\n| 3 |  |", "b": "# T\n\nx", "c.json": '{"k": 1}', "d.TXT": "é <b>", "e.csv": "", "f.md": None}
+    ending = lambda m, n: spark.range(1).select(T.ending_of(F.lit(m), F.lit(n))).first()[0]
+    assert ending("Text/CSV", "x") == ".csv" and ending("text/csv", "a.PDF") == ".pdf" and ending("image/png", ".hidden") == ".txt" and ending(None, None) == ".txt"
+    assert ending("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "") == ".docx"
+
+
+# The queries over notes against plain code.
+
+
+def notes(spark, small):
+    return {r.document_id: r for r in document_queries._notes(spark, small).collect()}
+
+
+def test_lexer_and_chunk_queries(spark, small):
+    source = notes(spark, small)
+    found: dict = {}
+    for r in document_queries.lexer_blocks(spark, small).collect():
+        found.setdefault(r.document_id, {})[r.pos] = (r.block_type, r.content, r.estimated_tokens, r.header_level, r.header_title)
+    for k, n in source.items():
+        want = markdown.blocks(n.text)
+        assert [found[str(k)][i] for i in range(len(want))] == [(b.kind, b.content, b.tokens, b.level or None, b.title if b.level else None) for b in want] and len(found[str(k)]) == len(want)
+        kinds = {b.kind for b in want}
+        assert markdown.HEADING in kinds and sum(b.kind == markdown.HEADING for b in want) == sum(line.startswith("#") for line in n.text.split("\n"))
+    limits = markdown.Limits(parent_tokens=400)
+    parents = sorted((r.document_id, r.parent_index, r.header_path, r.content, r.token_count) for r in document_queries.parent_chunks(spark, small).collect())
+    assert parents == sorted((str(k), p.index, p.header_path, p.content, p.tokens) for k, n in source.items() for p in markdown.parents(n.document_name, markdown.blocks(n.text, limits), limits))
+    children = document_queries.child_chunks(spark, small).collect()
+    want = {(str(k), i): c for k, n in source.items() for i, c in enumerate(c for p in markdown.parents(n.document_name, markdown.blocks(n.text)) for c in markdown.children(p.content))}
+    assert {(r.document_id, r.chunk_index): r.content for r in children} == want
+
+
+def test_repeated_headings_query(spark, small):
+    got = {r.document_id: r.text for r in document_queries.repeated_headings(spark, small).collect()}
+    for k, n in notes(spark, small).items():
+        lines, last = [], None
+        for line in (n.text + "\n\n" + n.text).split("\n"):
+            if line.startswith("#") and last == line.lower():
+                continue
+            last = line.lower() if line.startswith("#") else None if line.strip() else last
+            lines.append(line)
+        squeeze = lambda t: re.sub(r"\n+", "\n", t)
+        assert squeeze(got[k]) == squeeze("\n".join(lines))
+
+
+def test_html_query(spark, small):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in document_queries.html_fast_path(spark, small).collect()}
+    assert set(got) == set(pages)
+    for k, page in pages.items():
+        body = re.sub(r"(?s)<(script|style|nav|head)[ >].*?</\1>|<!--.*?-->", " ", page)
+        plain = unescape(re.sub(r"<[^>]*>", " ", body))
+        assert "".join(re.findall(r"\w+", got[k])) == "".join(re.findall(r"\w+", plain))
+
+
+def test_ingest_query(spark, small):
+    docs = {str(r.doc_id): r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows: dict = {}
+    for r in document_queries.ingest_documents(spark, small).collect():
+        rows.setdefault(r.document_id, []).append(r)
+    clean = lambda t: re.sub(r"\n{3,}", "\n\n", t).strip()
+    assert set(rows) == {k for k, d in docs.items() if clean(d.text or "")}
+    for k, chunks in rows.items():
+        name = docs[k].source + ".md"
+        want = [(p.header_path, c) for p in markdown.parents(name, markdown.blocks(clean(docs[k].text))) for c in markdown.children(p.content)]
+        chunks.sort(key=lambda r: r.chunk_index)
+        assert [(r.header_path, r.content) for r in chunks] == want
+        for r in chunks[:3]:
+            raw = [b / 255 * 2 - 1 for b in hashlib.sha256(f"title: {r.header_path} | text: {r.content}".encode()).digest()[:8]]
+            assert abs(r.first - raw[0] / sum(x * x for x in raw) ** 0.5) < 1e-5
+
+
+def test_transcripts(spark):
+    s = spark.createDataFrame([("a.mp3", 0.0, 30.0, " one "), ("a.mp3", 30.5, 75.0, "two"), ("a.mp3", 130.0, 150.0, "three")], "file_name string, start double, end double, text string")
+    files = spark.createDataFrame([("a.mp3", 1.7e9), ("b.mp3", None)], "file_name string, ingested_at double")
+    got = {r.file_name: r.text for r in ingest.transcripts(files, s).collect()}
+    assert got["a.mp3"] == "# Transcrição de Áudio: a.mp3\n*Data de Ingestão: 2023-11-14 22:13:20 UTC*\n\n## [00:00 - 01:15]\none two\n\n## [02:10 - 02:30]\nthree"
+    assert got["b.mp3"] == "# Transcrição de Áudio: b.mp3\n*Data de Ingestão: N/A*\n\n" + ingest.NO_AUDIO
+    replies = spark.createDataFrame([("a", '{"text": "t", "segments": [{"start": 1, "end": 2, "text": "x"}]}'), ("b", '{"text": "whole"}'), ("c", "broken")], "file_name string, reply string")
+    assert sorted(tuple(r) for r in ingest.segments_of(replies).collect()) == [("a", 1.0, 2.0, "x"), ("b", 0.0, 0.0, "whole")]
 
 
 def test_html():
