@@ -43,19 +43,26 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stages before packing keep of ``documents``, each result written as Parquet and reread."""
-    docs = shared.table(spark, sf_dir, "documents")
+def kept(spark: SparkSession, sf_dir: str, tables: shared.Tables) -> DataFrame:
+    """What the stages before packing keep of ``documents``, each result written as Parquet and reread; a result goes
+    when the next is stored, the last one with ``tables``."""
+    docs, last = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, at = shared.materialize_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            shared.remove(spark, last)
+        last = at
+    tables.made.append((spark, last))
     return docs
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to train on: the padded sequences of 2048 ids, stored, of what the stages keep."""
-    return packing.sequences(kept(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
+    with shared.Tables() as tables:
+        return packing.sequences(kept(spark, sf_dir, tables), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages; of the last one's pieces, digests of the ids."""
-    return packing.digests(STAGES[-1][1](spark, kept(spark, sf_dir), sf_dir))
+    with shared.Tables() as tables:
+        return packing.digests(STAGES[-1][1](spark, kept(spark, sf_dir, tables), sf_dir))
