@@ -42,8 +42,10 @@ BLOCK = 256
 BLOCK_BYTES = 8 << 20
 #: Bytes of members that a task of comparisons gets, about.
 TASK_BYTES = 32 << 20
-#: So many rows of ids go to all executors (up to 16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 200_000
+#: So many candidates' ids go to all executors (some 32 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: So many rows of dealt members (some 16 MB) likewise.
+BROADCAST_DEALT = 200_000
 #: Documents by which buckets that hold a large share of all are found, and how many of them such a bucket has at least.
 #: This decides how rows are dealt only: a bucket taken for small or large gives the same members.
 SAMPLE, LARGE = 20_000, 8
@@ -303,7 +305,7 @@ def _compared(dealt: DataFrame, long_: DataFrame, mean_bytes: float, percent: in
     dealt = t.store(dealt, "dealt")
     n = dealt.count()
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * mean_bytes / TASK_BYTES))
-    dealt = F.broadcast(dealt) if n <= BROADCAST_IDS else dealt
+    dealt = F.broadcast(dealt) if n <= BROADCAST_DEALT else dealt
     return t.store(_links(long_.join(dealt, "doc_id").repartition(parts, *_AT).sortWithinPartitions(*_AT), percent), "links")
 
 
@@ -347,8 +349,8 @@ def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
         n = classes.count()
         total = n * count
         members = _members(classes, n, t)
-        ids = members.select("doc_id").distinct()
-        ids = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
+        ids = t.store(members.select("doc_id").distinct(), "candidates")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         long_ = t.store(long_signatures(docs.join(ids, "doc_id"), width, count, rows), "long-signatures")
         mean_bytes = LONG_VALUES + 8 * count + 8 * (long_.agg(F.avg("n")).first()[0] or 0)
         first = _compared(_stars(members, percent, t), long_, mean_bytes, percent, t)
