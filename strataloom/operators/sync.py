@@ -81,10 +81,6 @@ def barrier(tasks: DataFrame) -> DataFrame:
     return a.withColumn("released", F.col("completed") >= F.col("total"))
 
 
-def version_hash(md5: Column, version: Column, modified: Column) -> Column:
-    return F.coalesce(F.nullif(md5, F.lit("")), version.cast("string"), F.unix_timestamp(modified).cast("string"))
-
-
 def source_status(events: DataFrame) -> DataFrame:
     """(source_id, status): IDLE, SYNCING, FAILED or DISABLED, from the last event that says so.
 

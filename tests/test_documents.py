@@ -166,6 +166,8 @@ def test_ocr_quality(spark):
     assert got[2] == (20, 100, 100, 100, 20) and got[3] == (100, 100, 100, 100, 100)
     assert got[4] == (100, 0, 100, 0, 0) and got[5][3:] == (50, 50)
     assert spark.range(1).select(quality.cost_of_thousand(F.lit(1000), F.lit(500), F.lit(0.2), F.lit(0.4))).first()[0] == pytest.approx(0.4)
+    runs = spark.createDataFrame([("m", 50.0, 10.0, 1.0), ("m", 100.0, 30.0, 3.0), ("n", 80.0, 5.0, 1.0)], "model string, quality double, latency_ms double, cost_of_thousand double")
+    assert [tuple(r) for r in quality.model_means(runs).collect()] == [("n", 1, 80.0, 5.0, 1.0), ("m", 2, 75.0, 20.0, 2.0)]
 
 
 def test_files_that_need_no_model(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.operators import events as E
 from strataloom.operators import discovery, lifecycle, sync
 from strataloom.operators import read_model as R
+from strataloom.sources import files
 from strataloom.sources.change_feed import LocalFolder, listing_of
 from strataloom.streaming import native, projector
 
@@ -311,6 +312,10 @@ def test_bases_and_sources(spark):
     log = spark.createDataFrame([("k9", "KnowledgeBaseDeleted")], "aggregate_id string, event_type string")
     bases, docs = lifecycle.archive(old, spark.createDataFrame([("k3", "d1"), ("k9", "d2")], "kb_id string, document_id string"), log)
     assert {r.kb_id: r.status for r in bases.collect()} == {"k3": "ACTIVE", "k9": "ARCHIVED"} and [r.document_id for r in docs.collect()] == ["d1"]
+    detail = spark.createDataFrame([("k", "b", 2), ("k", "a", 1), ("l", "c", 0)], "kb_id string, document_id string, created_at int")
+    assert [r.document_id for r in lifecycle.base_detail(detail, "k").collect()] == ["a", "b"]
+    log = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "aggregate_id string, event_version int")
+    assert [r.event_version for r in files.events_of(log, "a").collect()] == [1, 2]
     runs = spark.createDataFrame([("s", f"r{i}", i) for i in range(5)] + [("t", "x", 9)], "source_id string, run_id string, started_at int")
     assert [r.run_id for r in lifecycle.list_runs(runs, "s", 2).collect()] == ["r4", "r3"]
     with pytest.raises(ValueError):

@@ -100,6 +100,7 @@ def test_vectors(spark):
     got = [r[0] for r in df.select(vectors.cosine(F.col("v"), vectors.literal([3.0, 4.0]))).collect()]
     assert abs(got[0] - 1) < 1e-12 and got[1:] == [None] * 4
     e = spark.createDataFrame([("text",), ("text",), ("other",)], "t string").select(vectors.hash_embedding(F.col("t"), 768).alias("e")).collect()
+    assert spark.range(1).select(vectors.query_prompt(F.lit("q"))).first()[0] == "task: search result | query: q"
     assert e[0].e == e[1].e != e[2].e and len(e[0].e) == 768 and abs(sum(x * x for x in e[0].e) - 1) < 1e-9
 
 
@@ -118,6 +119,7 @@ def test_graph_merge(spark):
     assert {(r.source_id, r.target_id): r.properties for r in out} == {("a", "b"): {"k": "2", "j": "x", "since": "1"}, ("q", "z"): {}}
     nodes, ties = graph.consolidate(new.withColumnRenamed("x", "x"), edges)
     assert nodes.count() == 2 and ties.count() == 2
+    assert graph.concat_graphs(edges, edges).count() == 2 * edges.count()
     nodes, ties = graph.consolidate_inline(new, edges)
     assert nodes.count() == 2 and ties.count() == edges.count()
 
