@@ -7,6 +7,8 @@ compiles to Spark columns here and to SQL text for the oracle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,9 @@ class Rule:
 BASE_WORDS = 50
 BASE_REPEAT = 50
 WINDOW = 3
+#: Bits of a window's place beside its hash.
+PLACE_BITS = 24
+PLACE = 1 << PLACE_BITS
 
 RULES = (
     Rule("word_length", "word_chars", "n_words", 250, 1000),
@@ -58,6 +63,22 @@ STOP_WORDS = (
 ).split()
 
 
+def _sorted_windows(w: Column) -> Column:
+    """Places, in order, of the windows that are found twice or more, by sorting the windows themselves."""
+    grams = F.transform(
+        F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))),
+        lambda x, i: F.struct(F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, WINDOW)]).alias("gram"), i.alias("at")),
+    )
+    # the sorted array is bound once, as the one item of an array
+    return F.flatten(F.transform(F.array(F.sort_array(grams)), _neighbours))
+
+
+def _neighbours(g: Column) -> Column:
+    same = lambda x, y: F.coalesce(x["gram"] == y["gram"], F.lit(False))
+    twice = F.filter(g, lambda x, i: same(x, F.get(g, i + 1)) | same(x, F.when(i > 0, F.get(g, i - 1))))
+    return F.sort_array(F.transform(twice, lambda x: x["at"].cast("long")))
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """The counts that rules name. Expressions build on columns of an inner projection, so each is computed once."""
     words = F.array_remove(F.split("text", f"{SPACE_CLASS}+"), "")
@@ -65,15 +86,18 @@ def _counts(docs: DataFrame) -> DataFrame:
     a = docs.withColumns({"words": words, "lines": lines})
     a = a.withColumn("n_words", F.size("words").cast("long"))
     w = F.col("words")
-    grams = F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))),
-        lambda x, i: F.struct(F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, WINDOW)]).alias("gram"), i.alias("at")),
-    )
-    a = a.withColumn("grams", F.sort_array(grams))
-    g = F.col("grams")
-    # neighbours in the sorted array with equal words are the windows found twice or more
-    twice = F.filter(g, lambda x, i: F.coalesce(F.get(g, i + 1)["gram"] == x["gram"], F.lit(False)) | F.coalesce(F.when(i > 0, F.get(g, i - 1)["gram"]) == x["gram"], F.lit(False)))
-    a = a.withColumn("twice", F.sort_array(F.transform(twice, lambda x: x["at"])))
+    windows = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
+    own = F.lit(PLACE - 1).cast("long")
+    # a window's hash and place in one number, so that the array to sort is one of plain numbers
+    a = a.withColumn("keys", F.sort_array(F.transform(F.slice(w, 1, windows), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)]).bitwiseAND(F.bitwise_not(own)).bitwiseOR(i.cast("long")))))
+    g = F.col("keys")
+    same = lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0
+    a = a.withColumn("found", F.filter(g, lambda x, i: same(x, F.get(g, i + 1)) | same(x, F.get(g, i - 1))))
+    f, place = F.col("found"), lambda x: x.bitwiseAND(own).cast("int")
+    # hashes that agree where words don't, or more places than fit: then the windows themselves are sorted
+    differ = lambda x, y: same(x, y) & reduce(or_, [F.get(w, place(x) + k) != F.get(w, place(y) + k) for k in range(WINDOW)])
+    mixed = F.exists(F.transform(f, lambda x, i: F.coalesce(differ(x, F.get(f, i + 1)), F.lit(False))), lambda x: x)
+    a = a.withColumn("twice", F.when((F.size(w) >= PLACE) | mixed, _sorted_windows(w)).otherwise(F.sort_array(F.transform(f, lambda x: x.bitwiseAND(own)))))
     t = F.col("twice")
     covered = F.aggregate(F.transform(t, lambda x, i: F.coalesce(F.least(F.get(t, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     bare = lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?")))
