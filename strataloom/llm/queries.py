@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, fingerprints, near_dedup, packing, quality_fm, quality_rules, token_counts, token_files, toxicity, url_filter
+from strataloom.llm import best_fit, byte_bpe, conversations, fingerprints, near_dedup, packing, quality_fm, quality_rules, spelling, token_counts, token_files, toxicity, url_filter
 from strataloom.llm.shared import table
 
 
@@ -54,6 +54,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.listed_of(pages), url_filter.QUERY_RULES)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage_every=spelling.DAMAGE_EVERY)
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.digests(best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, width=1024))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -66,8 +78,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_best_fit": op13_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op7_near_dedup": near_dedup.oracle_sql(percent=85, width=5), "op10_url_filter": url_filter.oracle_sql()}
+    return {
+        "op2_quality_rules": quality_rules.oracle_sql(),
+        "op7_near_dedup": near_dedup.oracle_sql(percent=85, width=5),
+        "op10_url_filter": url_filter.oracle_sql(),
+        "op11_conversation_repair": conversations.oracle_sql(),
+        "op12_spelling_variants": spelling.oracle_sql(),
+    }
