@@ -34,6 +34,9 @@ GRAMMAR: dict[int, dict[str, int]] = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a":
 FINAL = frozenset({0, 3})
 #: Insertions in a row, at most: one more would come back to a state of the grammar at a higher cost.
 MOST_INSERTS = 2
+#: From any state, what another one could still accept is reached by two insertions and the deletion of a first system
+#: turn at most. A path that costs more than this above the least one is never the best.
+BRIDGE = 2 * COSTS[INSERT] + COSTS[DELETE]
 #: Undecided turns before the paths are asked again what they agree on.
 UNDECIDED = 64
 
@@ -93,7 +96,8 @@ class Composition:
                 if to is not None:
                     w = (cost + arc.cost, labels + arc.label)
                     after[to] = min(after.get(to, w), w)
-        self.best = after
+        most = min(after.values())[0] + BRIDGE
+        self.best = {state: w for state, w in after.items() if w[0] <= most}
 
     def settled(self) -> str:
         """The labels that all paths begin with; they are cut off the paths."""
