@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
+from strataloom.operators import vector_index
 
 EXPANSION = 0.7
 SHARED_BONUS = 0.05
@@ -72,12 +73,13 @@ def pinned(few: DataFrame, most: int) -> DataFrame:
     return few.sparkSession.createDataFrame(rows, few.schema)
 
 
-def seeds(found: DataFrame, parents: DataFrame, filters: Filters = Filters()) -> DataFrame:
+def seeds(found: DataFrame, parents: DataFrame, filters: Filters = Filters(), by: list[str] | None = None) -> DataFrame:
     """Parents of the found children that pass the filters, with their best child's score.
 
     Filters come after the nearest neighbours were cut, so a narrow one may leave fewer than asked for.
+    ``by``: columns of separate queries.
     """
-    return found.join(parents, "parent_id").filter(filters.condition()).groupBy("parent_id").agg(F.max("score").alias("seed_score"))
+    return found.join(parents, "parent_id").filter(filters.condition()).groupBy(*(by or []), "parent_id").agg(F.max("score").alias("seed_score"))
 
 
 def neighbours(seeds_: DataFrame, mentions: DataFrame, most: int = MOST_NEIGHBOURS, few: bool = False) -> DataFrame:
@@ -95,11 +97,12 @@ def neighbours(seeds_: DataFrame, mentions: DataFrame, most: int = MOST_NEIGHBOU
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).drop("rank")
 
 
-def fuse(seeds_: DataFrame, neighbours_: DataFrame) -> DataFrame:
-    """(parent_id, base_score, shared, is_seed, fused_score); the maxima are taken independently."""
-    a = seeds_.select("parent_id", F.col("seed_score").alias("base_score"), F.lit(0).cast("long").alias("shared"), F.lit(True).alias("is_seed"))
-    b = neighbours_.select(F.col("neighbour_id").alias("parent_id"), (F.col("seed_score") * EXPANSION).alias("base_score"), "shared", F.lit(False).alias("is_seed"))
-    c = a.unionByName(b).groupBy("parent_id").agg(F.max("base_score").alias("base_score"), F.max("shared").alias("shared"), F.bool_or("is_seed").alias("is_seed"))
+def fuse(seeds_: DataFrame, neighbours_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(parent_id, base_score, shared, is_seed, fused_score); the maxima are taken independently. ``by``: as for seeds."""
+    keys = by or []
+    a = seeds_.select(*keys, "parent_id", F.col("seed_score").alias("base_score"), F.lit(0).cast("long").alias("shared"), F.lit(True).alias("is_seed"))
+    b = neighbours_.select(*keys, F.col("neighbour_id").alias("parent_id"), (F.col("seed_score") * EXPANSION).alias("base_score"), "shared", F.lit(False).alias("is_seed"))
+    c = a.unionByName(b).groupBy(*keys, "parent_id").agg(F.max("base_score").alias("base_score"), F.max("shared").alias("shared"), F.bool_or("is_seed").alias("is_seed"))
     bonus = 1.0 + F.least(F.col("shared"), F.lit(MOST_SHARED)) * SHARED_BONUS
     return c.withColumn("fused_score", F.when(F.col("is_seed"), F.col("base_score")).otherwise(F.col("base_score") * bonus))
 
@@ -135,27 +138,58 @@ def hybrid(children: DataFrame, parents: DataFrame, mentions: DataFrame, vector:
     return fuse(s, n).orderBy(F.desc("fused_score"), "parent_id").limit(top_k)
 
 
-def enriched(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentions: DataFrame, relations: DataFrame, entities: DataFrame, with_triples: bool = True) -> DataFrame:
-    """The ranked parents, at most the 20 that a query may ask for, with document, neighbouring chunks, triples and entities.
+def hybrid_many(children: DataFrame, parents: DataFrame, mentions: DataFrame, queries: DataFrame, top_k: int = 20, candidate_k: int | None = None, filters: Filters = Filters(), strict_filters: bool = False, index: vector_index.Index | None = None) -> DataFrame:
+    """``hybrid`` for a table of queries (query_id, vector): its columns, query_id, and rank from 1 to top_k.
 
-    Only the ranked parents' documents are put in order.
+    Seeds come from blocks in which all queries meet all children, or from an index. A parent's neighbours don't depend
+    on the query, so each parent that is a seed of any query is expanded once.
     """
-    ranked = F.broadcast(pinned(ranked, 20))  # all joins below are with these rows
-    ids = ranked.select("parent_id")
-    of = parents.join(F.broadcast(ids), "parent_id", "left_semi").select("document_id").distinct()
-    p = with_neighbour_chunks(parents.join(F.broadcast(of), "document_id", "left_semi"))
-    p = p.join(F.broadcast(ids), "parent_id", "left_semi")
-    names = documents.select("document_id", F.col("name").alias("document_name")).join(F.broadcast(of), "document_id", "left_semi")
-    out = ranked.join(F.broadcast(p), "parent_id", "left").join(F.broadcast(names), "document_id", "left")
+    k = candidate_k or candidate_count(top_k)
+    found = vector_index.nearest_many_indexed(queries.sparkSession, index, queries, k) if index else vector_index.nearest_many(children, queries, k)
+    s = seeds(found, parents, filters, by=["query_id"])
+    n = neighbours(s.select("parent_id").distinct().withColumn("seed_score", F.lit(1.0)), mentions).drop("seed_score")
+    n = s.join(n, "parent_id")
+    if strict_filters:
+        n = n.join(parents.filter(filters.condition()).select(F.col("parent_id").alias("neighbour_id")), "neighbour_id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "parent_id")
+    return fuse(s, n, by=["query_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+
+
+def details(ids: DataFrame, parents: DataFrame, documents: DataFrame, mentions: DataFrame, relations: DataFrame, entities: DataFrame, with_triples: bool = True, few: bool = False) -> DataFrame:
+    """Of each parent (parent_id, unique): its row, document, neighbouring chunks, triples and entities.
+
+    Only these parents' documents are put in order. ``few``: the ids are bounded, so all joins with them are broadcasts."""
+    hint = F.broadcast if few else lambda df: df
+    of = parents.join(hint(ids), "parent_id", "left_semi").select("document_id").distinct()
+    p = with_neighbour_chunks(parents.join(hint(of), "document_id", "left_semi"))
+    out = p.join(hint(ids), "parent_id", "left_semi")
+    names = documents.select("document_id", F.col("name").alias("document_name")).join(hint(of), "document_id", "left_semi")
+    out = out.join(hint(names), "document_id", "left")
     if with_triples:
-        out = out.join(F.broadcast(triples(ranked, mentions, relations, entities)), "parent_id", "left")
-    mine = mentions.select("parent_id", "entity_id").join(F.broadcast(ids), "parent_id", "left_semi").distinct()
+        out = out.join(hint(triples(ids, mentions, relations, entities)), "parent_id", "left")
+    mine = mentions.select("parent_id", "entity_id").join(hint(ids), "parent_id", "left_semi").distinct()
     shown = F.concat(F.col("label"), F.lit(":"), F.coalesce(F.col("name"), F.col("entity_id").cast("string")))
     properties = F.col("properties") if "properties" in entities.columns else F.map_filter(F.create_map(F.lit("id"), F.col("entity_id").cast("string"), F.lit("name"), F.col("name")), lambda k, v: v.isNotNull())
     # a map can't be compared; its entries in order, as JSON, can
     entity = F.struct(F.col("label").alias("type"), F.to_json(F.map_from_entries(F.array_sort(F.filter(F.map_entries(properties), lambda e: e["value"].isNotNull())))).alias("properties"))
     named = mine.join(entities, "entity_id").groupBy("parent_id").agg(F.sort_array(F.collect_set(shown)).alias("related_entities"), F.sort_array(F.collect_set(entity)).alias("entities"))
-    return out.join(F.broadcast(named), "parent_id", "left").withColumn("retrieval_source", F.when(F.col("is_seed"), "vector_match").otherwise("graph_expansion"))
+    return out.join(hint(named), "parent_id", "left")
+
+
+def _source(df: DataFrame) -> DataFrame:
+    return df.withColumn("retrieval_source", F.when(F.col("is_seed"), "vector_match").otherwise("graph_expansion"))
+
+
+def enriched(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentions: DataFrame, relations: DataFrame, entities: DataFrame, with_triples: bool = True) -> DataFrame:
+    """The ranked parents, at most the 20 that a query may ask for, with their ``details``."""
+    ranked = F.broadcast(pinned(ranked, 20))  # all joins below are with these rows
+    ids = F.broadcast(ranked.select("parent_id"))
+    return _source(ranked.join(F.broadcast(details(ids, parents, documents, mentions, relations, entities, with_triples, few=True)), "parent_id", "left"))
+
+
+def enriched_many(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentions: DataFrame, relations: DataFrame, entities: DataFrame, with_triples: bool = True) -> DataFrame:
+    """The rows of ``hybrid_many`` with their parents' ``details``, found once for each parent that any query ranks."""
+    return _source(ranked.join(details(ranked.select("parent_id").distinct(), parents, documents, mentions, relations, entities, with_triples), "parent_id", "left"))
 
 
 def budget_cut(ranked: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:

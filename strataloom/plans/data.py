@@ -41,6 +41,11 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[floa
     return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"])
 
 
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of queries: the vectors whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 #: The events' kinds in the roles of document events.
 KINDS = {"signup": "DocumentAttached", "view": "DocumentStored", "click": "DocumentParsedToMarkdown", "purchase": "DocumentKnowledgeIndexed", "error": "DocumentProcessingFailed"}
 
@@ -87,3 +92,5 @@ SQL_RELATIONS = """relations AS (SELECT a.entity_id AS source_id, b.entity_id AS
     FROM entities a, entities b WHERE (b.entity_id - a.entity_id + 10) % 10 IN (1, 3))"""
 SQL_QUERY = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7)"
 SQL_KNN = "knn AS (SELECT child_id, parent_id, list_dot_product(embedding, v) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(v, v))) AS score FROM children, q ORDER BY score DESC, child_id LIMIT 50)"
+SQL_QUERIES = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)"
+SQL_KNN_MANY = "knn AS (SELECT query_id, child_id, parent_id, list_dot_product(embedding, v) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(v, v))) AS score FROM children, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) <= 50)"

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataloom.operators import graph, retrieval
+from strataloom.operators import graph, retrieval, vector_index
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
+from strataloom.storage import shared_folder
 
 K, TOP = 50, 20
 _BASE = f"{D.SQL_CHILDREN}, {D.SQL_PARENTS}, {D.SQL_MENTIONS}, {D.SQL_QUERY}, {D.SQL_KNN}, seeds AS (SELECT parent_id, max(score) AS seed_score FROM knn JOIN parents USING (parent_id) GROUP BY parent_id)"
@@ -56,6 +57,64 @@ def knn_topk(spark, d):
     return retrieval.nearest(D.children(spark, d), D.query_vector(spark, d), K).select("child_id", "parent_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {D.SQL_CHILDREN}, {D.SQL_QUERY}, {D.SQL_KNN} SELECT child_id, parent_id, round(score, 6) AS score FROM knn")
+def knn_indexed(spark, d):
+    """The same through an inverted file; lists that could hold more are read too, so nothing is missed."""
+    index = vector_index.build(D.children(spark, d), shared_folder(spark, "index"), k=K)
+    found, _ = vector_index.nearest(spark, index, D.query_vector(spark, d), K, exact=True)
+    return found.select("child_id", "parent_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {D.SQL_CHILDREN}, {D.SQL_QUERIES}, {D.SQL_KNN_MANY} SELECT query_id, child_id, parent_id, round(score, 6) AS score FROM knn")
+def knn_many(spark, d):
+    """The nearest chunks of all query vectors at once."""
+    return vector_index.nearest_many(D.children(spark, d), D.query_vectors(spark, d), K).select("query_id", "child_id", "parent_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def knn_many_indexed(spark, d):
+    """The same through the inverted file's nearest lists only; a test measures what share of ``knn_many`` it finds."""
+    index = vector_index.build(D.children(spark, d), shared_folder(spark, "index"), k=K)
+    return vector_index.nearest_many_indexed(spark, index, D.query_vectors(spark, d), K).select("query_id", "child_id", "parent_id", F.round("score", 6).alias("score"))
+
+
+_MANY = f"""WITH {D.SQL_CHILDREN}, {D.SQL_PARENTS}, {D.SQL_MENTIONS}, {D.SQL_QUERIES}, {D.SQL_KNN_MANY},
+seeds AS (SELECT query_id, parent_id, max(score) AS seed_score FROM knn JOIN parents USING (parent_id) GROUP BY ALL),
+pairs AS (SELECT s.query_id, s.parent_id, s.seed_score, b.parent_id AS neighbour_id, count(DISTINCT a.entity_id) AS shared FROM seeds s JOIN mentions a ON a.parent_id = s.parent_id JOIN mentions b ON b.entity_id = a.entity_id AND b.parent_id <> a.parent_id GROUP BY ALL),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY shared DESC, neighbour_id) <= 5),
+candidates AS (SELECT query_id, parent_id, seed_score AS base_score, 0 AS shared, true AS is_seed FROM seeds UNION ALL SELECT query_id, neighbour_id, seed_score * 0.7::DOUBLE, shared, false FROM near),
+fused AS (SELECT query_id, parent_id, max(base_score) AS base_score, max(shared) AS shared, bool_or(is_seed) AS is_seed FROM candidates GROUP BY ALL),
+scored AS (SELECT *, CASE WHEN is_seed THEN base_score ELSE base_score * (1 + least(shared, 5) * 0.05::DOUBLE) END AS fused_score FROM fused),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, parent_id) AS rank FROM scored QUALIFY rank <= {TOP})"""
+
+
+def _many(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid_many(D.children(spark, d), D.parents(spark, d), D.mentions(spark, d), D.query_vectors(spark, d), top_k=TOP, candidate_k=K)
+
+
+@query(f"{_MANY} SELECT query_id, rank, parent_id, round(base_score, 6) AS base_score, shared::BIGINT AS shared, is_seed, round(fused_score, 6) AS fused_score FROM ranked")
+def hybrid_many(spark, d):
+    """Hybrid retrieval for all query vectors at once."""
+    return _many(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "parent_id", F.round("base_score", 6).alias("base_score"), "shared", "is_seed", F.round("fused_score", 6).alias("fused_score"))
+
+
+@query(f"""{_MANY}, {D.SQL_ENTITIES}, {D.SQL_RELATIONS}, ids AS (SELECT DISTINCT parent_id FROM ranked),
+sentences AS (SELECT r.source_id, a.name || ' ' || r.rel_type || ' ' || b.name AS triple FROM relations r JOIN entities a ON a.entity_id = r.source_id JOIN entities b ON b.entity_id = r.target_id),
+hits AS (SELECT DISTINCT parent_id, triple FROM ids JOIN mentions USING (parent_id) JOIN sentences ON source_id = entity_id),
+five AS (SELECT parent_id, string_agg(triple, '; ' ORDER BY triple) AS triples FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY triple) AS n FROM hits) WHERE n <= 5 GROUP BY parent_id),
+named AS (SELECT parent_id, string_agg(DISTINCT entity_id || ' Nation ' || name, '; ' ORDER BY entity_id || ' Nation ' || name) AS entities FROM ids JOIN mentions USING (parent_id) JOIN entities USING (entity_id) GROUP BY parent_id),
+ordered AS (SELECT parent_id, document_id, lag(parent_id) OVER w AS prev_chunk_id, lead(parent_id) OVER w AS next_chunk_id FROM parents WINDOW w AS (PARTITION BY document_id ORDER BY parent_index, parent_id))
+SELECT query_id, rank, parent_id, 'customer ' || document_id AS document_name, coalesce(prev_chunk_id, -1) AS prev_chunk_id, coalesce(next_chunk_id, -1) AS next_chunk_id, CASE WHEN is_seed THEN 'vector_match' ELSE 'graph_expansion' END AS retrieval_source,
+ coalesce(triples, '') AS triples, coalesce(entities, '') AS entities FROM ranked LEFT JOIN ordered USING (parent_id) LEFT JOIN five USING (parent_id) LEFT JOIN named USING (parent_id)""")
+def hybrid_many_enriched(spark, d):
+    p = D.parents(spark, d)
+    docs = p.select("document_id").distinct().withColumn("name", F.concat(F.lit("customer "), F.col("document_id").cast("string")))
+    r = retrieval.enriched_many(_many(spark, d), p, docs, D.mentions(spark, d), D.relations(spark, d), D.entities(spark, d))
+    field = lambda e, f: F.get_json_object(e["properties"], f"$.{f}")
+    entities = F.array_join(F.array_sort(F.transform("entities", lambda e: F.concat_ws(" ", field(e, "id"), e["type"], field(e, "name")))), "; ")
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "parent_id", "document_name", F.coalesce("prev_chunk_id", F.lit(-1)).alias("prev_chunk_id"), F.coalesce("next_chunk_id", F.lit(-1)).alias("next_chunk_id"), "retrieval_source", F.coalesce(F.array_join("related_triples", "; "), F.lit("")).alias("triples"), F.coalesce(entities, F.lit("")).alias("entities"))
+
+
 @query(f"WITH {D.SQL_CHILDREN}, {D.SQL_PARENTS}, {D.SQL_QUERY}, {D.SQL_KNN} SELECT parent_id, round(max(score), 6) AS seed_score FROM knn JOIN parents USING (parent_id) WHERE source_type IN ('image', 'audio') AND ingested_at >= 1700005000 AND ingested_at <= 1700090000 GROUP BY parent_id")
 def knn_postfilter(spark, d):
     f = retrieval.Filters(source_types=("image", "audio"), time_from=1700005000.0, time_to=1700090000.0)

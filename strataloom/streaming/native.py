@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators.read_model import COLUMNS, with_payload
+from strataloom.storage import shared_folder
 from strataloom.streaming import projector
 
 
@@ -17,20 +15,6 @@ def windowed(events: DataFrame, time: str, width: str, keys: list[str]) -> DataF
     return events.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; only a local session may use the driver's temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not at and known.isDefined():
-        at = known.get().rsplit("/", 1)[0]
-    if not at:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="strataloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _drained(stream: DataFrame, mode: str, folder: str, collect) -> None:
     spark = stream.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
