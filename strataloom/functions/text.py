@@ -159,8 +159,10 @@ def field_or(variant: Column, path: str, kind: str, default: object = None) -> C
 
 
 def json_part(reply: Column) -> Column:
-    """The outermost JSON array of a reply that may be fenced or surrounded by words; null without one."""
-    return F.nullif(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), F.lit(""))
+    """The JSON array of a reply: the one that a fence holds, whatever words follow it, else the outermost one; null
+    without any."""
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
+    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), F.lit("")))
 
 
 def fold_text(text: str) -> str:
@@ -202,8 +204,16 @@ def headings(text: Column) -> Column:
     return F.filter(marked, lambda h: h["level"] > 0)
 
 
+# Marks of pages and of recognition errors, as patterns that Python and Java read alike.
+PAGE_MARK = r"<!--\s*PAGE\s*\d+\s*-->"
+ERROR_MARK = r"(?s)<!--\s*\[Erro no OCR.*?\]\s*-->"
+
+
+def without_marks(text: Column) -> Column:
+    """Page marks and recognition errors removed, runs of blank lines made one."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PAGE_MARK, ""), ERROR_MARK, ""), r"\n{3,}", "\n\n")
+
+
 def clean_markdown(text: Column) -> Column:
-    """Page marks and recognition errors removed, runs of blank lines made one, outer white space trimmed."""
-    a = F.regexp_replace(text, r"<!-- PAGE \d+ -->", "")
-    a = F.regexp_replace(a, r"(?s)<!-- \[Erro no OCR.*?\] -->", "")
-    return F.regexp_replace(F.regexp_replace(a, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """The same, outer white space trimmed. ``operators.markdown.normalized`` drops repeated headings too."""
+    return F.regexp_replace(without_marks(text), r"^\s+|\s+$", "")

@@ -78,7 +78,7 @@ def folder_links(files: DataFrame) -> DataFrame:
 
 def baseline(files: DataFrame, root: object, folder: str, mimes: list[str], days: int, now: Column, recursive: bool = True) -> DataFrame:
     """Every item below the root that is not older than ``days`` (0: no bound), each external_id once: that of the folder
-    met first, of one folder the first by file_id."""
+    met first, of one folder the first by name."""
     reached = walk(folder_links(files), root, folder, recursive)
     live = listing(files).filter(~F.coalesce("trashed", F.lit(False)))
     a = items(live, mimes, now).join(reached.withColumnRenamed("folder_id", "parent_id"), "parent_id")
@@ -90,10 +90,13 @@ def baseline(files: DataFrame, root: object, folder: str, mimes: list[str], days
 def delta(changes: DataFrame, folders: DataFrame, mimes: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
     """(items, deleted ids) of a change feed: listing columns, removed and seq; each file's last change holds.
 
+    Without ``removed`` nothing was removed; without ``seq`` each file has one change, and of several a removal holds.
     Kept are files in any of ``folders`` (folder_id), so that a feed follows the same tree as a baseline does."""
     names = list(_COLUMNS)
-    all_ = listing(changes).withColumns({"removed": F.lit(False), "seq": F.lit(0)}) if "seq" not in changes.columns else None
-    rows = all_ if all_ is not None else changes.select(*[(F.col(c).cast(t) if c in changes.columns else F.lit(None).cast(t)).alias(c) for c, t in _COLUMNS.items()], F.coalesce("removed", F.lit(False)).alias("removed"), "seq")
+    removed = F.coalesce("removed", F.lit(False)) if "removed" in changes.columns else F.lit(False)
+    trashed = F.coalesce("trashed", F.lit(False)) if "trashed" in changes.columns else F.lit(False)
+    seq = F.col("seq") if "seq" in changes.columns else (removed | trashed).cast("int")
+    rows = changes.select(*[(F.col(c).cast(t) if c in changes.columns else F.lit(None).cast(t)).alias(c) for c, t in _COLUMNS.items()], removed.alias("removed"), seq.alias("seq"))
     last = rows.groupBy("file_id").agg(F.max_by(F.struct(*[c for c in names if c != "file_id"], "removed"), "seq").alias("c")).select("file_id", "c.*")
     gone = F.col("removed") | F.coalesce("trashed", F.lit(False))
     inside = last.filter(~gone).join(folders.select(F.col("folder_id").alias("parent_id")).distinct(), "parent_id", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
-from strataloom.operators import markdown, ontology
+from strataloom.operators import graph, markdown, ontology
 from strataloom.operators.graph import first_text
 
 Parser = Callable[[Column], Column]
@@ -60,7 +60,7 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
     text = known["document"](F.col("content"))
     for kind, f in known.items():
         text = F.when(F.col("source_type") == kind, f(F.col("content"))).otherwise(text)
-    return route(files).withColumn("text", T.clean_markdown(text))
+    return route(files).withColumn("text", markdown.normalized(text))
 
 
 def entity_rows(raw: DataFrame) -> DataFrame:
@@ -120,6 +120,14 @@ def answer(count: Column, mode: str, synthesis: Column | None = None) -> Column:
     return F.when(count == 0, NOTHING_FOUND).otherwise(found)
 
 
+def merged_graph(parents: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, mentions) of what was extracted from parents: nodes and edges merged property by property, the
+    last parent's value holding, and mentions whose both ends are there."""
+    entities = graph.merge_nodes(None, nodes.select("label", "entity_id", "properties", F.col("parent_id").alias("seq")))
+    relations = graph.merge_edges(None, edges.select("source_id", "target_id", "rel_type", "properties", F.col("parent_id").alias("seq")), entities)
+    return entities, relations, graph.known_mentions(nodes.select("parent_id", "entity_id").distinct(), parents, entities)
+
+
 def ingest(files: DataFrame, onto: ontology.Ontology, done: DataFrame | None = None, parsers: dict[str, Parser] | None = None, embed: Callable[[Column, Column], Column] | None = None, dimensions: int = 768, limits: markdown.Limits = markdown.Limits()) -> dict[str, DataFrame]:
     """All tables that a batch of files yields: documents, parents, children, entities, relations, mentions, failures.
 
@@ -135,7 +143,5 @@ def ingest(files: DataFrame, onto: ontology.Ontology, done: DataFrame | None = N
     vector = embed or (lambda title, text: vectors.hash_embedding(vectors.passage_prompt(title, text), dimensions))
     children = children.withColumn("embedding", vector(F.col("header_path"), F.col("content")))
     nodes, edges = ontology.extract(parents.select("parent_id", F.col("content").alias("text")), onto)
-    return {
-        "documents": docs.drop("text"), "parents": parents, "children": children, "failures": failures,
-        "entities": nodes.select("entity_id", "label", "properties").distinct(), "relations": edges.select("source_id", "target_id", "rel_type").distinct(), "mentions": nodes.select("parent_id", "entity_id").distinct(),
-    }
+    entities, relations, mentions = merged_graph(parents, nodes, edges)
+    return {"documents": docs.drop("text"), "parents": parents, "children": children, "failures": failures, "entities": entities, "relations": relations, "mentions": mentions}

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom import importable
+from strataloom.functions import text as T
 
 HEADING, CODE, TABLE, QUOTE, LIST, BREAK, PARAGRAPH = "heading", "code_block", "table", "blockquote", "list", "thematic_break", "paragraph"
 
@@ -237,24 +238,26 @@ def child_table(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return _folded(docs, _CHILD_SCHEMA, fold)
 
 
+_HEADING = re.compile(r"#{1,6}\s+(.+)$")
+_MARK = re.compile(f"{T.PAGE_MARK}|{T.ERROR_MARK.removeprefix('(?s)')}", re.DOTALL)
+
+
 def drop_repeated_headings(text: str) -> str:
-    """Without a heading that repeats the one before it, case aside; blank lines and comments between don't count."""
+    """Without a heading whose title is that of the one before it, level and case aside. Only blank lines and marks of
+    pages or recognition errors may stand between them, and those before a dropped heading go with it."""
     out: list[str] = []
     last, gap = None, []
-    for line in text.split("\n"):
-        bare = line.strip()
-        if re.match(r"#{1,6}\s+\S", bare):
-            if last is not None and bare.lower() == last:
-                gap = []
-                continue
-            last = bare.lower()
-        elif bare and not (bare.startswith("<!--") and bare.endswith("-->")):
-            last = None
-        else:
+    for line in text.splitlines():
+        found, bare = _HEADING.match(line), line.strip()
+        if not found and (not bare or _MARK.match(bare)):
             gap.append(line)
             continue
+        title = found and found[1].strip().lower()
+        if found and title == last:
+            gap = []
+            continue
         out += [*gap, line]
-        gap = []
+        last, gap = title, []
     return "\n".join(out + gap)
 
 
@@ -262,6 +265,12 @@ def without_repeated_headings(text: Column) -> Column:
     return F.udf(lambda t: t if t is None else drop_repeated_headings(t), "string", useArrow=True)(text)
 
 
+def normalized(text: Column) -> Column:
+    """Recognized Markdown as one continuous text, in five steps: marks of pages go, marks of errors go, runs of blank lines
+    become one, repeated headings go, outer white space goes. Null stays null."""
+    return F.udf(lambda t: t if t is None else drop_repeated_headings(t).strip(), "string", useArrow=True)(T.without_marks(text))
+
+
 def audio_blocks(segments: list[tuple[float, float, str]], most_seconds: float = 120.0, most_gap: float = 10.0) -> list[tuple[float, float, str]]:
     """Segments (start, end, text) in order as blocks: a new one when it would grow too long or a pause is too long."""
     out: list[list] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -79,12 +80,45 @@ def parse_graphs(replies: DataFrame, ontology: Ontology) -> DataFrame:
     return a.withColumn("graph", F.when(F.col("graph").isNotNull(), F.struct(*fields)))
 
 
+_NODE = "array<struct<entity_id:string,label:string,properties:map<string,string>>>"
+_EDGE = "array<struct<source_id:string,target_id:string,rel_type:string,properties:map<string,string>>>"
+
+
+def _texts(x, schema: S.StructType, without: tuple[str, ...]):
+    """A struct's filled fields as a map of strings; lists as JSON."""
+    kept = [f for f in schema.fields if f.name not in without]
+    text = lambda f: F.to_json(x[f.name]) if isinstance(f.dataType, S.ArrayType) else x[f.name].cast("string")
+    entries = F.array(*[F.struct(F.lit(f.name).alias("key"), text(f).alias("value")) for f in kept]) if kept else F.array().cast("array<struct<key:string,value:string>>")
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
 def graph_rows(graphs: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame]:
-    """(parent_id, entity_id, label) and (parent_id, source_id, target_id, rel_type) of parsed graphs."""
-    lists = lambda names, shape: F.flatten(F.array(*[F.coalesce(F.transform(F.col(f"graph.`{n}`"), shape(n)), F.array()) for n in names])) if names else F.array()
-    nodes = lists([n.name for n in ontology.nodes], lambda n: lambda x: F.struct(x["id"].alias("entity_id"), F.lit(n).alias("label")))
-    edges = lists([r.name for r in ontology.relations], lambda n: lambda x: F.struct(x["source_id"].alias("source_id"), x["target_id"].alias("target_id"), F.lit(n).alias("rel_type")))
-    return graphs.select("parent_id", F.inline(nodes)).filter("trim(entity_id) <> ''"), graphs.select("parent_id", F.inline(edges)).filter("source_id is not null and target_id is not null")
+    """(parent_id, entity_id, label, properties) and (parent_id, source_id, target_id, rel_type, properties) of parsed graphs.
+
+    Ids are trimmed and in lower case, blank ones go, and so do relations whose ends the same graph doesn't hold.
+    Properties are maps of strings of all filled fields; a node's ``name`` is its id where the graph gives none.
+    """
+    schema = {f.name: f.dataType.elementType for f in schema_of(ontology).fields}
+    clean = lambda c: F.lower(F.trim(c))
+
+    def lists(names: list[str], shape, kind: str):
+        own = [F.coalesce(F.transform(F.col(f"graph.`{n}`"), shape(n)).cast(kind), F.array().cast(kind)) for n in names]
+        return F.flatten(F.array(*own)) if own else F.array().cast(kind)
+
+    def node(n: str):
+        def one(x):
+            own = _texts(x, schema[n], ("id",))
+            named = F.when(F.map_contains_key(own, "name"), own).otherwise(F.map_concat(own, F.create_map(F.lit("name"), clean(x["id"]))))
+            return F.struct(clean(x["id"]).alias("entity_id"), F.lit(n).alias("label"), named.alias("properties"))
+
+        return one
+
+    edge = lambda n: lambda x: F.struct(clean(x["source_id"]).alias("source_id"), clean(x["target_id"]).alias("target_id"), F.lit(n).alias("rel_type"), _texts(x, schema[n], ("source_id", "target_id")).alias("properties"))
+    nodes = F.filter(lists([n.name for n in ontology.nodes], node, _NODE), lambda x: F.coalesce(x["entity_id"], F.lit("")) != "")
+    a = graphs.select("parent_id", nodes.alias("nodes"), lists([r.name for r in ontology.relations], edge, _EDGE).alias("edges"))
+    ids = F.transform("nodes", lambda x: x["entity_id"])
+    whole = F.filter("edges", lambda e: F.array_contains(ids, e["source_id"]) & F.array_contains(ids, e["target_id"]))
+    return a.select("parent_id", F.inline("nodes")), a.select("parent_id", F.inline(whole))
 
 
 def extract_with(passages: DataFrame, ontology: Ontology, model) -> tuple[DataFrame, DataFrame]:
@@ -93,24 +127,43 @@ def extract_with(passages: DataFrame, ontology: Ontology, model) -> tuple[DataFr
     graphs = parse_graphs(passages.withColumn("reply", model(F.col("text"))), ontology)
     n, e = graph_rows(graphs.filter("graph is not null"), ontology)
     n2, e2 = extract(graphs.filter("graph is null").select("parent_id", "text"), ontology)
-    return n.unionByName(n2.select("parent_id", "entity_id", "label")), e.unionByName(e2)
+    return n.unionByName(n2), e.unionByName(e2)
+
+
+# What a required property holds in a graph found by wording.
+SAMPLES = {"string": "Sample", "integer": "1", "float": "1.0", "boolean": "true", "list[string]": '["sample"]'}
+
+
+def _as_text(value: object) -> str:
+    return value if isinstance(value, str) else json.dumps(value)
 
 
-def _sample(p: Property):
-    if p.default is not None:
-        return p.default
-    return p.values[0] if p.values else {"string": "sample", "integer": 1, "float": 1.0, "boolean": True, "list[string]": ["sample"]}[p.kind]
+def _found(properties: tuple[Property, ...]):
+    """A map of strings: required properties hold their default, first allowed value or a sample, others their default."""
+    held = {}
+    for p in properties:
+        if p.default is not None:
+            held[p.name] = _as_text(p.default)
+        elif p.required:
+            held[p.name] = p.values[0] if p.values else SAMPLES[p.kind]
+    return F.create_map(*[F.lit(x) for kv in held.items() for x in kv]).cast("map<string,string>")
 
 
 def extract(passages: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges that the wording alone shows: a type whose name a text holds, a relation whose both types it holds.
 
-    Passages are (parent_id, text). The ontology's types become columns of the plan, so there is no join.
+    Passages are (parent_id, text). Columns are those of ``graph_rows``. A relation between types that the ontology
+    doesn't have is never found. The ontology's types become columns of the plan, so there is no join.
     """
     low = F.lower(F.col("text"))
-    node_rows = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n.name.lower())), F.struct(F.lit(f"{n.name.lower()}-1").alias("entity_id"), F.lit(n.name).alias("label"), F.lit(str({p.name: _sample(p) for p in n.properties if p.required})).alias("properties"))) for n in ontology.nodes]))
-    edge_rows = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(r.source.lower())) & F.contains(low, F.lit(r.target.lower())), F.struct(F.lit(f"{r.source.lower()}-1").alias("source_id"), F.lit(f"{r.target.lower()}-1").alias("target_id"), F.lit(r.name).alias("rel_type"))) for r in ontology.relations]))
-    return passages.select("parent_id", F.inline(node_rows)), passages.select("parent_id", F.inline(edge_rows))
+    has = lambda name: F.contains(low, F.lit(name.lower()))
+    first = lambda name: F.lit(f"{name.lower()}-1")
+    known = {n.name for n in ontology.nodes}
+    node = lambda n: F.when(has(n.name), F.struct(first(n.name).alias("entity_id"), F.lit(n.name).alias("label"), _found(n.properties).alias("properties")))
+    edge = lambda r: F.when(has(r.source) & has(r.target), F.struct(first(r.source).alias("source_id"), first(r.target).alias("target_id"), F.lit(r.name).alias("rel_type"), _found(r.properties).alias("properties")))
+    nodes = F.array_compact(F.array(*[node(n) for n in ontology.nodes]).cast(_NODE))
+    edges = F.array_compact(F.array(*[edge(r) for r in ontology.relations if {r.source, r.target} <= known]).cast(_EDGE))
+    return passages.select("parent_id", F.inline(nodes)), passages.select("parent_id", F.inline(edges))
 
 
 def quality(nodes: DataFrame, edges: DataFrame, node_types: list[str]) -> DataFrame:

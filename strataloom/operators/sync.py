@@ -14,6 +14,7 @@ MOST_BYTES = 50 * 1024 * 1024
 
 # Why a request is refused.
 NOT_FOUND, DISABLED, SYNCING = "DATA_SOURCE_NOT_FOUND", "DATA_SOURCE_DISABLED", "DATA_SOURCE_ALREADY_SYNCING"
+DISABLED_STATE = "DISABLED"
 #: Statuses of documents that a discovered item of the same version doesn't load again.
 PRESENT = ("INDEXED", "INGESTING", "UPLOADED", "CHUNKED", "PARSED")
 
@@ -81,25 +82,38 @@ def barrier(tasks: DataFrame) -> DataFrame:
     return a.withColumn("released", F.col("completed") >= F.col("total"))
 
 
+#: What a source's events make of it, whatever it was; a start counts only where none is going on and nothing forbids it.
+SOURCE_STATES = {"completed": "IDLE", "failed": "FAILED", "disabled": DISABLED_STATE, "enabled": "IDLE"}
+
+
+def _settled(kind: Column) -> Column:
+    """The state after an event other than a start."""
+    return F.coalesce(*[F.when(kind == k, v) for k, v in SOURCE_STATES.items()])
+
+
 def source_status(events: DataFrame) -> DataFrame:
-    """(source_id, status): IDLE, SYNCING, FAILED or DISABLED, from the last event that says so.
+    """(source_id, status): IDLE, SYNCING, FAILED or DISABLED after events (source_id, seq, kind).
 
-    ``started`` is heeded only when the source isn't disabled; disabling lasts until it is enabled. Starts that came
-    while a sync was going on are told by ``rejected_starts``; they leave the status as it is.
+    Every event but ``started`` tells the state by itself: an enabled source is idle, whatever went on before. So the
+    last of these and whether a start came after it decide; a start while disabled, or while a sync goes on, is refused
+    and told by ``rejected_starts``. Both are found by aggregations that combine before the shuffle.
     """
-    switch = F.col("kind").isin("disabled", "enabled")
-    a = events.groupBy("source_id").agg(F.max_by("kind", F.when(switch, F.col("seq"))).alias("switch"), F.max_by("kind", F.when(~switch, F.col("seq"))).alias("kind"))
-    status = F.when(F.col("switch") == "disabled", "DISABLED").when(F.col("kind") == "started", "SYNCING").when(F.col("kind") == "failed", "FAILED").otherwise("IDLE")
-    return a.select("source_id", status.alias("status"))
+    other = F.col("kind") != "started"
+    a = events.groupBy("source_id").agg(F.max_by("kind", F.when(other, F.col("seq"))).alias("kind"), F.max(F.when(other, F.col("seq"))).alias("at"), F.max(F.when(~other, F.col("seq"))).alias("started_at"))
+    state = F.coalesce(_settled(F.col("kind")), F.lit("IDLE"))
+    going = F.coalesce(F.col("started_at") > F.col("at"), F.col("started_at").isNotNull() & F.col("at").isNull()) & (state != DISABLED_STATE)
+    return a.select("source_id", F.when(going, "SYNCING").otherwise(state).alias("status"))
 
 
 def rejected_starts(events: DataFrame) -> DataFrame:
-    """(source_id, seq, error) of the starts that a source refuses: it is disabled, or a sync is going on already."""
-    order = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    switch = F.last(F.when(F.col("kind").isin("disabled", "enabled"), F.col("kind")), ignorenulls=True).over(order)
-    # a start that was refused was preceded by one that goes on, so the last of these events tells the state
-    state = F.last(F.when(F.col("kind").isin("started", "completed", "failed", "enabled", "disabled"), F.col("kind")), ignorenulls=True).over(order)
-    error = F.when(F.coalesce(switch == "disabled", F.lit(False)), DISABLED).when(F.coalesce(state == "started", F.lit(False)), SYNCING)
+    """(source_id, seq, error) of the starts that a source refuses: it is disabled, or a sync is going on already.
+
+    The same states as ``source_status``, before each event; a source's events meet in order."""
+    order = Window.partitionBy("source_id").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    state = _settled(F.last(F.when(F.col("kind") != "started", F.col("kind")), ignorenulls=True).over(before))
+    # after an event that isn't a start nothing goes on; after a start something does, unless the source is disabled
+    error = F.when(F.coalesce(state == DISABLED_STATE, F.lit(False)), DISABLED).when(F.coalesce(F.lag("kind").over(order) == "started", F.lit(False)), SYNCING)
     return events.withColumn("error", error).filter((F.col("kind") == "started") & F.col("error").isNotNull()).select("source_id", "seq", "error")
 
 
@@ -113,11 +127,12 @@ def guarded(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """Requests (source_id, kb_id, run_id) with their source's columns and ``error``, why it is refused, or null.
 
     A request without kb_id fits a source of any knowledge base."""
-    s = sources.select("source_id", F.col("kb_id").alias("own_kb"), "status", "cursor", "pending_cursor", F.lit(True).alias("found"))
+    pending_run = F.col("pending_run_id") if "pending_run_id" in sources.columns else F.lit(None).cast("string")
+    s = sources.select("source_id", F.col("kb_id").alias("own_kb"), "status", "cursor", "pending_cursor", pending_run.alias("pending_run_id"), F.lit(True).alias("found"))
     a = requests.join(s, "source_id", "left")
     lost = F.col("found").isNull() | F.coalesce(F.col("kb_id") != F.col("own_kb"), F.lit(False))
     error = F.when(lost, NOT_FOUND).when(F.col("status") == "DISABLED", DISABLED).when(F.col("status") == "SYNCING", SYNCING)
-    return a.select("source_id", F.coalesce("kb_id", "own_kb").alias("kb_id"), "run_id", "status", "cursor", "pending_cursor", error.alias("error"))
+    return a.select("source_id", F.coalesce("kb_id", "own_kb").alias("kb_id"), "run_id", "status", "cursor", "pending_cursor", "pending_run_id", error.alias("error"))
 
 
 _DLQ = ("run_id", "source_id", "doc_id", "file_name", "error", "external_id", "mime_type", "version_hash", "size_bytes")
@@ -142,14 +157,16 @@ def sync_sources(
 ) -> dict[str, DataFrame]:
     """One sync of every requested source, of any number of sources and items at once.
 
-    requests: source_id, kb_id (may be null), run_id. sources: source_id, kb_id, status, cursor, pending_cursor.
+    requests: source_id, kb_id (may be null), run_id. sources: source_id, kb_id, status, cursor, pending_cursor and
+    pending_run_id, the run that left it pending.
     discovered: source_id, external_id, name, mime_type, version_hash, size_bytes; an item once. cursors: source_id,
     next_cursor. documents: kb_id, doc_id, file_name, external_id, version_hash, status, ord (age). ``load`` adds content,
     loaded_mime, loaded_hash and error to items, content null where it failed. deleted: source_id, external_id.
 
     Returns tables: rejected (requests with error), attached (documents made, with what they replace), events, failures
     (for a later retry), runs, sources (the new rows), removed (doc_ids of what the source deleted). An item whose
-    document is there in the same version counts as indexed and isn't loaded. A run that failed in part keeps its
+    document is there in the same version counts as indexed and isn't loaded: ``version_hash``, which the listing tells,
+    is stored as it is, and ``content_hash``, that of what was loaded, beside it. A run that failed in part keeps its
     source's cursor and leaves the new one pending.
     """
     a = guarded(requests, sources)
@@ -169,7 +186,7 @@ def sync_sources(
     good = loaded.filter("error is null").join(by_name, ["kb_id", "file_name"], "left")
     attached = lifecycle.attach(good.select(
         lifecycle.uuid_of("run_id", "external_id").alias("document_id"), "kb_id", "file_name", F.coalesce("loaded_mime", "mime_type").alias("content_type"), "content",
-        "source_id", "run_id", "external_id", F.coalesce("loaded_hash", "version_hash").alias("version_hash"), F.col("replaces_doc_id").cast("string").alias("replaces_doc_id"),
+        "source_id", "run_id", "external_id", "version_hash", F.col("loaded_hash").alias("content_hash"), F.col("replaces_doc_id").cast("string").alias("replaces_doc_id"),
     ))
     totals = items.groupBy("run_id").agg(F.count("*").alias("total_files"))
     runs = _counted(accepted.select("run_id", "source_id", "kb_id").join(totals, "run_id", "left"), skipped, failures)
@@ -177,7 +194,8 @@ def sync_sources(
     clean = F.col("failed_files") == 0
     after = after.select(
         "source_id", "kb_id", F.lit("IDLE").alias("status"), F.when(clean, F.coalesce("next_cursor", "cursor")).otherwise(F.col("cursor")).alias("cursor"),
-        F.when(~clean, F.coalesce("next_cursor", "pending_cursor")).alias("pending_cursor"), "run_id", "total_files",
+        F.when(~clean, F.coalesce("next_cursor", "pending_cursor")).alias("pending_cursor"),
+        F.when(~clean, F.when(F.col("next_cursor").isNotNull(), F.col("run_id")).otherwise(F.col("pending_run_id"))).alias("pending_run_id"), "run_id", "total_files",
     )
     started = accepted.select(F.col("source_id").alias("aggregate_id"), F.lit("DataSourceSyncStarted").alias("event_type"), "run_id", F.lit(None).cast("long").alias("synced_files"), F.lit(None).cast("string").alias("new_cursor"))
     ended = after.select(F.col("source_id").alias("aggregate_id"), F.lit("DataSourceSyncCompleted").alias("event_type"), "run_id", F.col("total_files").alias("synced_files"), "cursor")
@@ -197,7 +215,9 @@ def retry_failed(requests: DataFrame, sources: DataFrame, runs: DataFrame, failu
 
     A failure with a doc_id is done when ``reprocessed`` (document_id, accepted) accepts it; one with an external_id is
     loaded and attached anew; one with neither stays. A run whose failures are all gone promotes its source's pending
-    cursor. Returns rejected, attached, failures (those left), runs, sources.
+    cursor if it is the run that left it pending (``pending_run_id``): another run's failures lie behind that cursor. A run
+    without failures changes nothing, its source's status included. Returns rejected, attached, failures (those left),
+    runs, sources.
     """
     a = guarded(requests, sources)
     own = runs.select("run_id", F.col("source_id").alias("run_source"), "total_files", "indexed_files")
@@ -212,7 +232,7 @@ def retry_failed(requests: DataFrame, sources: DataFrame, runs: DataFrame, failu
     good = loaded.filter("content is not null")
     attached = lifecycle.attach(good.select(
         lifecycle.uuid_of("run_id", "external_id", F.lit("retry")).alias("document_id"), "kb_id", "file_name", F.coalesce("loaded_mime", "mime_type").alias("content_type"), "content",
-        "source_id", "run_id", "external_id", F.coalesce("loaded_hash", "version_hash").alias("version_hash"), F.lit(None).cast("string").alias("replaces_doc_id"),
+        "source_id", "run_id", "external_id", "version_hash", F.col("loaded_hash").alias("content_hash"), F.lit(None).cast("string").alias("replaces_doc_id"),
     ))
     keys = ["run_id", "doc_id", "external_id"]
     safe = lambda df: df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys])
@@ -222,7 +242,12 @@ def retry_failed(requests: DataFrame, sources: DataFrame, runs: DataFrame, failu
     n = marked.groupBy("run_id").agg(F.count_if(F.col("solved")).alias("reprocessed_count"), F.count_if(F.col("solved").isNull()).alias("failed_files"))
     done = accepted.join(n, "run_id", "left").na.fill(0, ["reprocessed_count", "failed_files"]).withColumn("indexed_files", F.col("indexed_files") + F.col("reprocessed_count"))
     done = done.withColumn("run_status", run_status(F.col("total_files"), F.col("indexed_files"), F.col("failed_files")))
-    whole = F.col("failed_files") == 0
-    sources_ = done.select("source_id", "kb_id", F.lit("IDLE").alias("status"), F.when(whole, F.coalesce("pending_cursor", "cursor")).otherwise(F.col("cursor")).alias("cursor"), F.when(~whole, F.col("pending_cursor")).alias("pending_cursor"))
+    promoted = (F.col("failed_files") == 0) & (F.col("reprocessed_count") > 0) & F.coalesce(F.col("pending_run_id") == F.col("run_id"), F.lit(False))
+    retried = F.col("reprocessed_count") + F.col("failed_files") > 0
+    # a source may be asked for by several runs at once; it has one row, and one of them at most promotes
+    sources_ = done.groupBy("source_id", "kb_id").agg(
+        F.when(F.bool_or(retried), "IDLE").otherwise(F.first("status")).alias("status"), F.coalesce(F.max(F.when(promoted, F.coalesce("pending_cursor", "cursor"))), F.first("cursor")).alias("cursor"),
+        F.when(~F.bool_or(promoted), F.first("pending_cursor")).alias("pending_cursor"), F.when(~F.bool_or(promoted), F.first("pending_run_id")).alias("pending_run_id"),
+    )
     runs_ = done.select("run_id", "source_id", "kb_id", "total_files", "indexed_files", "failed_files", "reprocessed_count", F.col("run_status").alias("status"))
     return {"rejected": a.filter("error is not null").select("source_id", "run_id", "error"), "attached": attached, "failures": left, "runs": runs_, "sources": sources_}

@@ -167,7 +167,7 @@ def build(children: DataFrame, path: str, k: int = 50, target: float = TARGET, l
     d, n = dimensions_of(children, "embedding")
     fit = _fit(children, "embedding", d).select(F.col("child_id").cast("long"), F.col("parent_id").cast("long"), F.col("embedding").cast("array<double>"))
     sample = fit.orderBy(F.xxhash64("child_id"), "child_id").select("embedding").limit(SAMPLE_ROWS).toPandas()["embedding"]
-    rows = np.array([np.asarray(x) for x in sample]).reshape(len(sample), -1)
+    rows = np.array([np.asarray(x) for x in sample]).reshape(len(sample), d)
     rows = rows / np.maximum(_norms(rows), 1e-300)[:, None] if len(rows) else rows
     lists = max(1, min(lists or int(n**0.5), MOST_LISTS, max(1, len(rows) // LIST_ROWS)))
     centres = _means(rows, lists) if len(rows) else np.zeros((0, d))
@@ -234,8 +234,8 @@ def nearest_many_indexed(spark: SparkSession, index: Index, queries: DataFrame,
     A list's children are dealt out in pieces by their number, so no task holds a whole popular list."""
     importable(spark)
     rows = index.centres(spark).orderBy("list").collect()  # MOST_LISTS at most
-    per_piece = max(1, CHUNK_BYTES // (4 * index.dimensions))
-    sent = spark.sparkContext.broadcast((np.array([r.centre for r in rows]).reshape(len(rows), -1), np.array([r.list for r in rows], dtype=np.int32), np.array([-(-r.rows // per_piece) for r in rows])))
+    per_piece = max(1, CHUNK_BYTES // (4 * max(1, index.dimensions)))
+    sent = spark.sparkContext.broadcast((np.array([r.centre for r in rows]).reshape(len(rows), index.dimensions), np.array([r.list for r in rows], dtype=np.int32), np.array([-(-r.rows // per_piece) for r in rows])))
     want = probes or index.probes
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,10 +63,19 @@ def document_headings(spark, d):
     return _notes(spark, d).select("document_id", F.inline(T.headings(F.col("text")))).select("document_id", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "title")
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace('<!-- PAGE 1 -->' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || '<!-- PAGE 22 -->' || lang, '<!-- PAGE \d+ -->', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ' || chr(9))) AS digest FROM documents""")
+@query(r"""WITH raw AS (SELECT doc_id, '<!-- PAGE 1 -->' || chr(10) || '# ' || lang || chr(10) || chr(10) || '<!--PAGE 22-->' || chr(10) || '### ' || upper(lang) || ' ' || chr(10) || '<!-- note -->' || chr(10) || '## ' || lang || chr(10) || text || chr(10) || chr(10) || chr(10) || '<!--  [Erro no OCR da Página 3:' || chr(10) || 'timeout]  -->' || chr(10) || chr(10) || '# End' || chr(10) || '  ' || chr(10) || '<!-- PAGE' || chr(9) || '4-->' || chr(10) || '#### end' || chr(10) AS text FROM documents),
+bare AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '<!--\s*PAGE\s*\d+\s*-->', '', 'g'), '(?s)<!--\s*\[Erro no OCR.*?\]\s*-->', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM raw),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM bare)),
+kinds AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\s+.+$') THEN 'h' || lower(trim(regexp_extract(line, '^#{1,6}\s+(.+)$', 1))) WHEN trim(line, ' ' || chr(9)) <> '' THEN 'text' END AS kind FROM lines),
+seen AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM kinds),
+twice AS (SELECT *, coalesce(kind LIKE 'h%' AND kind = before, false) AS again FROM seen),
+gone AS (SELECT *, again OR (kind IS NULL AND coalesce(first_value(CASE WHEN kind IS NOT NULL THEN again END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false)) AS dropped FROM twice)
+SELECT doc_id, md5(trim(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), chr(10) || ' ' || chr(9))) AS digest FROM gone GROUP BY doc_id""")
 def markdown_normalize(spark, d):
-    raw = F.concat(F.lit("<!-- PAGE 1 -->\n"), "text", F.lit("\n\n\n\n<!-- PAGE 22 -->"), "lang")
-    return D.table(spark, d, "documents").select("doc_id", F.md5(T.clean_markdown(raw)).alias("digest"))
+    """Documents as recognition would give them: marks in several spellings, headings repeated over page ends."""
+    head = F.concat(F.lit("<!-- PAGE 1 -->\n# "), "lang", F.lit("\n\n<!--PAGE 22-->\n### "), F.upper("lang"), F.lit(" \n<!-- note -->\n## "), "lang", F.lit("\n"))
+    tail = F.lit("\n\n\n<!--  [Erro no OCR da Página 3:\ntimeout]  -->\n\n# End\n  \n<!-- PAGE\t4-->\n#### end\n")
+    return D.table(spark, d, "documents").select("doc_id", F.md5(markdown.normalized(F.concat(head, "text", tail))).alias("digest"))
 
 
 @query()
@@ -124,20 +133,54 @@ def hash_embedding(spark, d):
     return D.table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.hash_embedding(vectors.passage_prompt(F.lit(None).cast("string"), F.col("text")), 16)).alias("pos", "value")).select("item_id", "pos", F.round("value", 6).alias("value"))
 
 
+_P = ontology.Property
 ONTOLOGY = ontology.Ontology(
     "languages",
     1,
-    (ontology.NodeType("The", (ontology.Property("code", required=True, values=("en", "de")),)), ontology.NodeType("Der"), ontology.NodeType("La"), ontology.NodeType("Que")),
-    (ontology.Relation("NEXT_TO", "The", "Der"), ontology.Relation("LIKE", "La", "Que")),
-)
-
-
-@query("""WITH t AS (SELECT * FROM (VALUES ('The'), ('Der'), ('La'), ('Que')) t(name)), r AS (SELECT * FROM (VALUES ('NEXT_TO', 'The', 'Der'), ('LIKE', 'La', 'Que')) r(rel_type, s, o))
-SELECT doc_id AS parent_id, lower(name) || '-1' AS a, '' AS b, name AS kind FROM documents, t WHERE contains(lower(text), lower(name)) UNION ALL
-SELECT doc_id, lower(s) || '-1', lower(o) || '-1', rel_type FROM documents, r WHERE contains(lower(text), lower(s)) AND contains(lower(text), lower(o))""")
+    (
+        ontology.NodeType("The", (_P("code", required=True, values=("en", "de")),)),
+        ontology.NodeType("Der", (_P("count", "integer", True), _P("note", default="d"), _P("free"))),
+        ontology.NodeType("La", (_P("tags", "list[string]", True), _P("name", required=True))), ontology.NodeType("Que"),
+    ),
+    (ontology.Relation("NEXT_TO", "The", "Der"), ontology.Relation("LIKE", "La", "Que", (_P("weight", "float", default=0.5),)), ontology.Relation("LOST", "The", "Nobody")),
+)
+
+
+@query("""WITH t AS (SELECT * FROM (VALUES ('The', 'code=en'), ('Der', 'count=1,note=d'), ('La', 'name=Sample,tags=["sample"]'), ('Que', '')) t(name, properties)), r AS (SELECT * FROM (VALUES ('NEXT_TO', 'The', 'Der', ''), ('LIKE', 'La', 'Que', 'weight=0.5')) r(rel_type, s, o, properties))
+SELECT doc_id AS parent_id, lower(name) || '-1' AS a, '' AS b, name AS kind, properties FROM documents, t WHERE contains(lower(text), lower(name)) UNION ALL
+SELECT doc_id, lower(s) || '-1', lower(o) || '-1', rel_type, properties FROM documents, r WHERE contains(lower(text), lower(s)) AND contains(lower(text), lower(o))""")
 def heuristic_extract(spark, d):
     n, e = ontology.extract(D.table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), "text"), ONTOLOGY)
-    return n.select("parent_id", F.col("entity_id").alias("a"), F.lit("").alias("b"), F.col("label").alias("kind")).unionByName(e.select("parent_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("rel_type").alias("kind")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",").alias("properties")
+    return n.select("parent_id", F.col("entity_id").alias("a"), F.lit("").alias("b"), F.col("label").alias("kind"), shown).unionByName(e.select("parent_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("rel_type").alias("kind"), shown))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS parent_id, o_custkey % 7 AS a, o_custkey % 5 AS b, o_orderkey % 4 AS k FROM orders),
+nodes AS (SELECT parent_id, 'law' || a AS entity_id, 'Law' AS label, 'kind=' || CASE WHEN k < 2 THEN 'old' ELSE 'new' END || ',name=Law ' || a || CASE WHEN k = 1 THEN ',tags=["x","y"]' ELSE '' END AS properties FROM r WHERE k < 3
+  UNION ALL SELECT parent_id, 'court' || b, 'Court', 'name=court' || b FROM r WHERE k < 3)
+SELECT parent_id, entity_id AS a, '' AS b, label AS kind, replace(properties, 'kind=new,', '') AS properties FROM nodes
+UNION ALL SELECT parent_id, 'court' || b, 'law' || a, 'RULES', 'year=' || (1900 + k) FROM r WHERE k < 3""")
+def model_extract(spark, d):
+    """Graphs out of a model's replies: ids cleaned, values outside an enumeration dropped, loose ends dropped."""
+    onto = ontology.Ontology("law", 1, (ontology.NodeType("Law", (_P("kind", values=("old",)), _P("name"), _P("tags", "list[string]"))), ontology.NodeType("Court")), (ontology.Relation("RULES", "Court", "Law", (_P("year", "integer"),)),))
+    o = D.table(spark, d, "orders")
+    a, b, k = (F.col("o_custkey") % 7).cast("string"), (F.col("o_custkey") % 5).cast("string"), F.col("o_orderkey") % 4
+    reply = F.concat(
+        F.lit('Here: {"Law": [{"id": " LAW'), a, F.lit(' ", "kind": "'), F.when(k < 2, "old").otherwise("new"), F.lit('", "name": "Law '), a, F.lit('"'), F.when(k == 1, ', "tags": ["x", "y"]').otherwise(""), F.lit('}, {"id": "  "}], "Court": [{"id": "court'), b,
+        F.lit('"}], "RULES": [{"source_id": "Court'), b, F.lit('", "target_id": "law'), a, F.lit('", "year": '), (1900 + k).cast("string"), F.lit('}, {"source_id": "nobody", "target_id": "law'), a, F.lit('"}]}'),
+    )
+    replies = o.select(F.col("o_orderkey").alias("parent_id"), F.when(k < 3, reply).otherwise("no graph").alias("reply"))
+    n, e = ontology.graph_rows(ontology.parse_graphs(replies, onto).filter("graph is not null"), onto)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",").alias("properties")
+    return n.select("parent_id", F.col("entity_id").alias("a"), F.lit("").alias("b"), F.col("label").alias("kind"), shown).unionByName(e.select("parent_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("rel_type").alias("kind"), shown))
+
+
+@query(r"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '[{"n": 1}, {"n": [2]}]' WHEN 1 THEN '[{"n": 3}]' WHEN 2 THEN '[{"n": ' || o_custkey || '}]' END AS part FROM orders""")
+def json_salvage(spark, d):
+    """The array in replies that are fenced, fenced with words and marks of references after, bare among words, or none."""
+    k = F.col("o_orderkey") % 4
+    reply = F.when(k == 0, '```json\n[{"n": 1}, {"n": [2]}]\n```\nSee [1] and [2].').when(k == 1, 'As asked:\n```\n[{"n": 3}]```').when(k == 2, F.concat(F.lit('Entries [{"n": '), F.col("o_custkey").cast("string"), F.lit("}] follow."))).otherwise("no entries")
+    return D.table(spark, d, "orders").select("o_orderkey", T.json_part(reply).alias("part"))
 
 
 @query("""WITH nodes AS (SELECT o_custkey AS graph_id, o_orderkey AS entity_id, o_orderstatus AS label FROM orders), edges AS (SELECT o_custkey AS graph_id, o_orderkey AS source_id, o_orderkey + (o_orderkey % 3) AS target_id FROM orders),

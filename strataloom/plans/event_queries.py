@@ -161,9 +161,14 @@ def json_props_extract(spark, d):
     return D.table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"))
 
 
-@query("""WITH k AS (SELECT user_id AS source_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'enabled' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'disabled' ELSE 'completed' END AS kind FROM events),
-a AS (SELECT source_id, arg_max(kind, seq) FILTER (WHERE kind IN ('enabled', 'disabled')) AS switch, arg_max(kind, seq) FILTER (WHERE kind NOT IN ('enabled', 'disabled')) AS kind FROM k GROUP BY 1)
-SELECT source_id, CASE WHEN switch = 'disabled' THEN 'DISABLED' WHEN kind = 'started' THEN 'SYNCING' WHEN kind = 'failed' THEN 'FAILED' ELSE 'IDLE' END AS status FROM a""")
+#: A walk over each source's events, state by state; ``error`` tells a start that the state before forbids.
+SQL_SOURCES = """k AS (SELECT user_id AS source_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'enabled' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'disabled' ELSE 'completed' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT DISTINCT source_id, 0::BIGINT AS n, NULL::BIGINT AS seq, 'IDLE' AS status, NULL::VARCHAR AS error FROM k
+ UNION ALL SELECT k.source_id, k.n, k.seq, CASE WHEN kind = 'started' AND w.status IN ('DISABLED', 'SYNCING') THEN w.status WHEN kind = 'started' THEN 'SYNCING' WHEN kind = 'failed' THEN 'FAILED' WHEN kind = 'disabled' THEN 'DISABLED' ELSE 'IDLE' END,
+  CASE WHEN kind = 'started' AND w.status = 'DISABLED' THEN 'DATA_SOURCE_DISABLED' WHEN kind = 'started' AND w.status = 'SYNCING' THEN 'DATA_SOURCE_ALREADY_SYNCING' END FROM w JOIN k ON k.source_id = w.source_id AND k.n = w.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {SQL_SOURCES} SELECT source_id, arg_max(status, n) AS status FROM w GROUP BY 1")
 def data_source_status(spark, d):
     kind = F.when(F.col("event_type") == "signup", "enabled").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "disabled").otherwise("completed")
     return sync.source_status(D.table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), kind.alias("kind")))

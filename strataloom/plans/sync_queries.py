@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import discovery, lifecycle, read_model, sync
 from strataloom.plans import data as D
+from strataloom.plans.event_queries import SQL_SOURCES
 from strataloom.plans.registry import query
 from strataloom.streaming import native
 
@@ -72,7 +73,8 @@ def _requests(spark, d) -> DataFrame:
     return s.unionByName(spark.createDataFrame([(99, None)], "source_id int, kb_id int")).withColumn("run_id", F.concat(F.lit("r"), F.col("source_id").cast("string")))
 
 
-def _sync(spark, d) -> dict[str, DataFrame]:
+def _sync(spark, d, again: bool = False) -> dict[str, DataFrame]:
+    """A sync of customers; ``again``: of the same listing, once what the first one attached is there."""
     c = D.table(spark, d, "customer")
     regions = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("kb_id"))
     balance, segment = F.col("c_acctbal"), F.col("c_mktsegment")
@@ -81,7 +83,14 @@ def _sync(spark, d) -> dict[str, DataFrame]:
     contents = c.filter(balance >= -500).select(F.col("c_custkey").cast("string").alias("external_id"), F.encode("c_name", "utf-8").alias("content"))
     cursors = _sources(spark, d).select("source_id", F.concat(F.lit("n"), F.col("source_id").cast("string")).alias("next_cursor"))
     gone = D.table(spark, d, "supplier").select(F.col("s_nationkey").alias("source_id"), F.col("s_suppkey").alias("external_id"))
-    return sync.sync_sources(_requests(spark, d), _sources(spark, d), found, cursors, documents, lambda items: discovery.loaded(items, contents), deleted=gone)
+    run = lambda sources, docs: sync.sync_sources(_requests(spark, d), sources, found, cursors, docs, lambda items: discovery.loaded(items, contents), deleted=gone)
+    first = run(_sources(spark, d), documents)
+    if not again:
+        return first
+    made = first["attached"].select("kb_id", F.col("document_id").alias("doc_id"), "file_name", "external_id", "version_hash", "status", F.lit(1 << 40).alias("ord"))
+    kept = documents.withColumns({"doc_id": F.col("doc_id").cast("string"), "external_id": F.col("external_id").cast("string"), "ord": F.col("ord").cast("long")})
+    idle = _sources(spark, d).join(first["sources"].select("source_id"), "source_id", "left_anti").withColumn("pending_run_id", F.lit(None).cast("string"))
+    return run(first["sources"].unionByName(idle), kept.unionByName(made))
 
 
 @query(f"""WITH {_SQL_SYNC} SELECT run_id, total_files, indexed_files, failed_files, {_SQL_STATUS} AS status, CASE WHEN failed_files = 0 THEN 'n' || source_id ELSE cursor END AS cursor, CASE WHEN failed_files > 0 THEN 'n' || source_id END AS pending_cursor, NULL AS error FROM counts
@@ -106,26 +115,35 @@ def sync_items(spark, d):
     return a.unionByName(t["removed"].select(F.col("doc_id").alias("external_id"), F.lit("removed").alias("error")), allowMissingColumns=True)
 
 
-@query(f"""WITH sources AS (SELECT n_nationkey AS source_id, CASE n_nationkey WHEN 7 THEN 'SYNCING' ELSE 'IDLE' END AS status FROM nation), accepted AS (SELECT * FROM sources WHERE status <> 'SYNCING' AND source_id <> 5),
-f AS (SELECT c_nationkey AS source_id, CASE WHEN c_acctbal < -500 THEN CASE WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END WHEN c_acctbal < -200 THEN CASE WHEN c_mktsegment <> 'MACHINERY' THEN 1 ELSE 0 END ELSE 0 END AS ok FROM customer WHERE c_acctbal < 0 AND (c_nationkey < 20 OR c_acctbal < -200 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY'))),
+@query(f"""WITH {_SQL_SYNC} SELECT run_id, total_files, total_files - failed_files AS indexed_files, failed_files, 0 AS attached, CASE WHEN total_files = 0 OR failed_files = 0 THEN 'COMPLETED' WHEN failed_files < total_files THEN 'PARTIALLY_FAILED' ELSE 'FAILED' END AS status FROM counts""")
+def sync_twice(spark, d):
+    """The same listing a second time: nothing is loaded but what failed, which fails again."""
+    t = _sync(spark, d, again=True)
+    n = t["attached"].groupBy("run_id").agg(F.count("*").alias("attached"))
+    return t["runs"].join(n, "run_id", "left").select("run_id", "total_files", "indexed_files", "failed_files", F.coalesce("attached", F.lit(0)).alias("attached"), "status")
+
+
+@query(f"""WITH sources AS (SELECT n_nationkey AS source_id, CASE WHEN n_nationkey = 7 THEN 'SYNCING' WHEN n_nationkey % 4 = 0 THEN 'FAILED' ELSE 'IDLE' END AS status FROM nation), accepted AS (SELECT * FROM sources WHERE status <> 'SYNCING' AND source_id <> 5),
+f AS (SELECT c_nationkey AS source_id, CASE WHEN c_acctbal < -500 THEN CASE WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END WHEN c_acctbal < -200 THEN CASE WHEN c_mktsegment <> 'MACHINERY' THEN 1 ELSE 0 END ELSE 0 END AS ok FROM customer WHERE c_nationkey % 5 <> 1 AND c_acctbal < 0 AND (c_nationkey < 20 OR c_acctbal < -200 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY'))),
 t AS (SELECT c_nationkey AS source_id, count(*) AS total_files, count(*) FILTER (WHERE c_acctbal >= 0) AS good FROM customer GROUP BY 1),
 g AS (SELECT source_id, count(*) AS bad, sum(ok)::BIGINT AS fixed FROM f GROUP BY 1),
-n AS (SELECT a.source_id, coalesce(total_files, 0) AS total_files, coalesce(fixed, 0) AS reprocessed_count, coalesce(good, 0) + coalesce(fixed, 0) AS indexed_files, coalesce(bad - fixed, 0) AS failed_files FROM accepted a LEFT JOIN t USING (source_id) LEFT JOIN g USING (source_id))
-SELECT 'r' || source_id AS run_id, total_files, indexed_files, failed_files, reprocessed_count, {_SQL_STATUS} AS status, CASE WHEN failed_files = 0 THEN 'n' || source_id ELSE 'c' || source_id END AS cursor, CASE WHEN failed_files > 0 THEN 'n' || source_id END AS pending_cursor FROM n""")
+n AS (SELECT a.source_id, coalesce(total_files, 0) AS total_files, coalesce(fixed, 0) AS reprocessed_count, coalesce(good, 0) + coalesce(fixed, 0) AS indexed_files, coalesce(bad - fixed, 0) AS failed_files, coalesce(bad, 0) AS bad, coalesce(bad > 0 AND bad = fixed AND source_id % 3 <> 0, false) AS promoted, a.status AS before FROM accepted a LEFT JOIN t USING (source_id) LEFT JOIN g USING (source_id))
+SELECT 'r' || source_id AS run_id, total_files, indexed_files, failed_files, reprocessed_count, {_SQL_STATUS} AS status, CASE WHEN promoted THEN 'n' || source_id ELSE 'c' || source_id END AS cursor, CASE WHEN NOT promoted THEN 'n' || source_id END AS pending_cursor, CASE WHEN bad > 0 THEN 'IDLE' ELSE before END AS source_status FROM n""")
 def retry_run(spark, d):
-    """A retry of every run's failures: what was stored is processed anew, what wasn't is loaded anew, the rest stays."""
+    """A retry of every run's failures: what was stored is processed anew, what wasn't is loaded anew, the rest stays. Some
+    runs have no failures, and some cursors were left pending by another run: those stay as they are."""
     c = D.table(spark, d, "customer")
     balance, segment, key = F.col("c_acctbal"), F.col("c_mktsegment"), F.col("c_custkey").cast("string")
     run = F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("run_id")
-    bad = c.filter((balance < 0) & ((F.col("c_nationkey") < 20) | ((balance < -200) & ~segment.isin("BUILDING", "MACHINERY"))))
+    bad = c.filter((F.col("c_nationkey") % 5 != 1) & (balance < 0) & ((F.col("c_nationkey") < 20) | ((balance < -200) & ~segment.isin("BUILDING", "MACHINERY"))))
     failures = bad.select(run, F.col("c_nationkey").alias("source_id"), F.when(balance < -500, key).alias("doc_id"), F.col("c_name").alias("file_name"), F.lit("e").alias("error"), F.when(balance < -200, key).alias("external_id"), F.lit("text/plain").alias("mime_type"), segment.alias("version_hash"), F.lit(1).cast("long").alias("size_bytes"))
     n = c.groupBy("c_nationkey").agg(F.count("*").alias("total_files"), F.count_if(balance >= 0).alias("indexed_files"))
-    sources = _sources(spark, d).withColumns({"pending_cursor": F.concat(F.lit("n"), F.col("source_id").cast("string")), "status": F.when(F.col("status") == "SYNCING", "SYNCING").otherwise("IDLE")})
+    sources = _sources(spark, d).withColumns({"pending_cursor": F.concat(F.lit("n"), F.col("source_id").cast("string")), "status": F.when(F.col("status") == "SYNCING", "SYNCING").when(F.col("source_id") % 4 == 0, "FAILED").otherwise("IDLE"), "pending_run_id": F.when(F.col("source_id") % 3 == 0, "older").otherwise(F.concat(F.lit("r"), F.col("source_id").cast("string")))})
     runs = sources.join(n, F.col("source_id") == F.col("c_nationkey"), "left").na.fill(0, ["total_files", "indexed_files"]).select(F.concat(F.lit("r"), F.col("source_id").cast("string")).alias("run_id"), "source_id", "total_files", "indexed_files")
     contents = c.filter(segment != "MACHINERY").select(key.alias("external_id"), F.encode("c_name", "utf-8").alias("content"))
     reprocessed = c.select(key.alias("document_id"), (segment != "BUILDING").alias("accepted"))
     t = sync.retry_failed(_requests(spark, d), sources, runs, failures, reprocessed, lambda items: discovery.loaded(items.withColumn("name", F.col("file_name")), contents))
-    return t["runs"].join(t["sources"].select("source_id", "cursor", "pending_cursor"), "source_id").select("run_id", "total_files", "indexed_files", "failed_files", "reprocessed_count", "status", "cursor", "pending_cursor")
+    return t["runs"].join(t["sources"].select("source_id", "cursor", "pending_cursor", F.col("status").alias("source_status")), "source_id").select("run_id", "total_files", "indexed_files", "failed_files", "reprocessed_count", "status", "cursor", "pending_cursor", "source_status")
 
 
 @query(f"""WITH l AS (SELECT user_id AS id, count(*) AS last, bool_or({_KIND} = 'DocumentDeleted') AS deleted FROM events GROUP BY 1), a AS (SELECT n_nationkey AS kb_id, c_custkey AS document_id, l.last, l.deleted, CASE WHEN n_regionkey = 1 OR (l.last IS NULL AND c_acctbal <= 0) THEN 'NOT_FOUND' WHEN l.deleted THEN 'INVALID_STATE' END AS error FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN l ON l.id = c_custkey)
@@ -140,9 +158,7 @@ def reprocess(spark, d):
     return answers.select("document_id", "error").unionByName(e, allowMissingColumns=True)
 
 
-@query("""WITH k AS (SELECT user_id AS source_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'enabled' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'disabled' ELSE 'completed' END AS kind FROM events),
-w AS (SELECT *, last_value(CASE WHEN kind IN ('enabled', 'disabled') THEN kind END IGNORE NULLS) OVER p AS switch, lag(kind) OVER (PARTITION BY source_id ORDER BY seq) AS state FROM k WINDOW p AS (PARTITION BY source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT source_id, seq, CASE WHEN switch = 'disabled' THEN 'DATA_SOURCE_DISABLED' ELSE 'DATA_SOURCE_ALREADY_SYNCING' END AS error FROM w WHERE kind = 'started' AND (switch = 'disabled' OR state = 'started')""")
+@query(f"WITH RECURSIVE {SQL_SOURCES} SELECT source_id, seq, error FROM w WHERE error IS NOT NULL")
 def rejected_starts(spark, d):
     kind = F.when(F.col("event_type") == "signup", "enabled").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "disabled").otherwise("completed")
     return sync.rejected_starts(D.table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), kind.alias("kind")))

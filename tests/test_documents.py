@@ -76,7 +76,7 @@ def test_chunk_tables(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("## Intro\n\n## Intro\n\nSome content", "## Intro\n\nSome content"), ("## Intro\n\n## Methods\n\nC", "## Intro\n\n## Methods\n\nC"), ("## I\n\nText.\n\n## I\n\nMore", "## I\n\nText.\n\n## I\n\nMore"), ("## INTRO\n\n## Intro\n\nC", "## INTRO\n\nC"), ("", "")],
+    [("## Intro\n\n## Intro\n\nSome content", "## Intro\n\nSome content"), ("## Intro\n\n## Methods\n\nC", "## Intro\n\n## Methods\n\nC"), ("## I\n\nText.\n\n## I\n\nMore", "## I\n\nText.\n\n## I\n\nMore"), ("## INTRO\n\n## Intro\n\nC", "## INTRO\n\nC"), ("# Intro\n<!--PAGE 3-->\n\n### intro \nC", "# Intro\nC"), ("# A\n<!-- note -->\n# A", "# A\n<!-- note -->\n# A"), ("# A\n\n# A\n# a\n\n", "# A\n"), ("", "")],
 )
 def test_repeated_headings(text, want):
     assert M.drop_repeated_headings(text) == want
@@ -86,6 +86,9 @@ def test_clean_markdown(spark):
     t = "<!-- PAGE 1 -->\n\nOne.\n\n\n\n\n<!-- [Erro no OCR da Página 3:\ntimeout] -->\n\nTwo | x |\n\n<!-- PAGE 12 -->"
     got = spark.createDataFrame([(t,)], "t string").select(T.clean_markdown(F.col("t"))).first()[0]
     assert got == "One.\n\nTwo | x |"
+    t = "<!--PAGE 1-->\n# T\n\n<!--  PAGE  2 -->\n## t\n<!--  [Erro no OCR x] -->\nBody\n\n\n\n# U\n# u\n"
+    got = spark.createDataFrame([(t,), (None,), ("",)], "t string").select(M.normalized(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["# T\n\nBody\n\n# U", None, ""]
 
 
 def test_audio():

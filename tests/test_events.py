@@ -257,7 +257,7 @@ def test_sync_of_sources(spark):
     assert {r.file_name: (r.error, r.external_id) for r in t["failures"].collect()} == {"big.md": ("File 'big.md' exceeds maximum allowed size (62914560 > 52428800 bytes)", "e3"), "gone.md": ("no content of 'gone.md'", "e4")}
     made = {r.file_name: r for r in t["attached"].collect()}
     assert {k: (r.replaces_doc_id, r.byte_size, r.status) for k, r in made.items()} == {"new.md": ("d6", 2, "UPLOADED"), "changed.md": ("d5", 2, "UPLOADED")}
-    assert made["new.md"].storage_path == f"kb/kb/raw/{made['new.md'].document_id}-new.md" and made["new.md"].version_hash == hashlib.sha256(b"e2").hexdigest()
+    assert made["new.md"].storage_path == f"kb/kb/raw/{made['new.md'].document_id}-new.md" and (made["new.md"].version_hash, made["new.md"].content_hash) == ("h2", hashlib.sha256(b"e2").hexdigest())
     assert {r.document_id for r in t["attached"].collect()} == {r.document_id for r in made.values()}
     assert [r.doc_id for r in t["removed"].collect()] == ["d7"]
     assert sorted((r.aggregate_id, r.event_type, r.synced_files, r.new_cursor) for r in t["events"].filter("aggregate_id = 's'").collect()) == [("s", "DataSourceSyncCompleted", 5, "c0"), ("s", "DataSourceSyncStarted", None, None)]
@@ -267,7 +267,7 @@ def test_sync_of_sources(spark):
 
 def test_retry_promotes_the_pending_cursor(spark):
     req = spark.createDataFrame([("s", "kb", "r"), ("u", "kb", "q"), ("busy", "kb", "rb"), ("s", "kb", "none")], "source_id string, kb_id string, run_id string")
-    src = sources(spark, s="IDLE", u="IDLE", busy="SYNCING").withColumn("pending_cursor", F.lit("c1"))
+    src = sources(spark, s="IDLE", u="IDLE", busy="SYNCING").withColumns({"pending_cursor": F.lit("c1"), "pending_run_id": F.lit("r")})
     runs = spark.createDataFrame([("r", "s", 3, 1), ("q", "u", 3, 0), ("rb", "busy", 1, 0)], "run_id string, source_id string, total_files int, indexed_files int")
     dead = spark.createDataFrame([("r", "s", "d1", "a", None), ("r", "s", None, "b", "e2"), ("q", "u", "d9", "a", None), ("q", "u", None, "b", "e3"), ("q", "u", None, "c", None)], "run_id string, source_id string, doc_id string, file_name string, external_id string")
     dead = dead.withColumns({"error": F.lit("x"), "mime_type": F.lit("text/plain"), "version_hash": F.lit("h"), "size_bytes": F.lit(1).cast("long")})

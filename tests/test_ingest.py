@@ -47,7 +47,7 @@ def test_answers(spark):
     assert [r[0] for r in df.select(ingest.answer(F.col("n"), "none")).collect()] == [ingest.NOTHING_FOUND, ingest.NO_SYNTHESIS % 3]
     assert df.select(ingest.answer(F.col("n"), "synthesis", F.lit("model"))).collect()[1][0] == "model"
     one = spark.range(1)
-    assert one.select(T.json_part(F.lit("text ```json\n[1, [2]]\n``` end"))).first()[0] == "[1, [2]]"
+    assert one.select(T.json_part(F.lit("text ```json\n[1, [2]]\n``` end, see [3]."))).first()[0] == "[1, [2]]"
     assert one.select(T.utc_time(F.lit(None).cast("double"))).first()[0] == "N/A"
     toc = ingest.content_with_headings(spark.createDataFrame([("d", "# A\n\n## B")], "document_id string, text string")).first().toc
     assert [(h.level, h.title) for h in toc] == [(1, "A"), (2, "B")]
@@ -67,8 +67,12 @@ def test_extraction_with_a_model(spark):
     graphs = {r.parent_id: r.graph for r in ontology.parse_graphs(p.withColumn("reply", model("text")), onto).collect()}
     assert graphs["1"].Law[0].level == "state" and graphs["2"].Law[0].level is None and graphs["3"] is None
     nodes, edges = ontology.extract_with(p, onto, model)
-    assert sorted(tuple(r) for r in nodes.collect()) == [("1", "l1", "Law"), ("2", "l2", "Law"), ("3", "court-1", "Court"), ("3", "law-1", "Law")]
-    assert sorted(tuple(r) for r in edges.collect()) == [("1", "c", "l1", "RULES"), ("3", "court-1", "law-1", "RULES")]
+    assert sorted(tuple(r) for r in nodes.collect()) == [("1", "l1", "Law", {"level": "state", "name": "l1"}), ("2", "l2", "Law", {"name": "l2"}), ("3", "court-1", "Court", {}), ("3", "law-1", "Law", {})]
+    assert [tuple(r) for r in edges.collect()] == [("3", "court-1", "law-1", "RULES", {})]  # the other one's court is no node
+    bare = ontology.Ontology("bare", 1, (ontology.NodeType("Law"),))
+    assert ontology.extract_with(p, bare, model)[1].count() == 0 and ontology.extract(p, ontology.Ontology("none"))[0].count() == 0
+    made = ingest.merged_graph(p, *ontology.extract_with(p, onto, model))
+    assert [t.count() for t in made] == [4, 1, 4]
     have = spark.createDataFrame([("a", 1)], "name string, version int")
     assert [tuple(r) for r in ontology.new_versions(have, spark.createDataFrame([("a", 1), ("a", 2), ("A", 1)], have.schema)).orderBy("name").collect()] == [("A", 1), ("a", 2)]
 
