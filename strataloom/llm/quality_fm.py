@@ -173,5 +173,8 @@ def score(docs: DataFrame, machine: Machine, modulus: int = 4, remainder: int =
 
 
 def keep(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The documents that score THRESHOLD or more, with all their columns."""
+    """The documents that score THRESHOLD or more, with all their columns.
+
+    Null and empty texts get the score of a text without words. Repeated rows share their fate, rows without doc_id are
+    scored like others, an empty table stays empty."""
     return shared.keep_scored(docs, lambda texts, m: score_texts(m, texts), machine, lambda s: s >= THRESHOLD)

@@ -25,8 +25,9 @@ THRESHOLD = 0.7
 #: A word enters the lexicon if so many toxic texts have it, so many times as often as others.
 LEAST_TEXTS = 3
 LEAST_LOG_ODDS = 2.5
-#: Entries of the lexicon, words and beginnings together: the most telling ones.
-LEXICON_WORDS = 40_000
+#: What toxic texts of the sample may hold of words and beginnings, each counted once a text, for so few texts to do;
+#: with more, a word needs more texts. A third of this is then the most that the lexicon, hence the driver, can get.
+LEXICON_COUNTS = 1_200_000
 #: Bytes of the beginnings of words.
 BEGINNINGS = (4, 5)
 NEAR = 5
@@ -137,12 +138,12 @@ def features(words: Words, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def learn_lexicon(counts: list, toxic: int, other: int, folds: list[int]) -> Lexicon:
+def learn_lexicon(counts: list, toxic: int, other: int, folds: list[int], least: int = LEAST_TEXTS) -> Lexicon:
     """From rows (kind, hash, a, b): in how many toxic and other texts a word stands, by folds; only ``folds`` count."""
     kind, hashes = (np.array([r[k] for r in counts], dtype=np.int64) for k in range(2))
     a, b = (np.array([[r[k][f] for f in folds] for r in counts], dtype=np.float64).reshape(len(counts), len(folds)).sum(axis=1) for k in (2, 3))
     odds = np.log((a + 0.5) / (max(toxic, 1) + 1)) - np.log((b + 0.5) / (max(other, 1) + 1))
-    keep = (a >= LEAST_TEXTS) & (odds >= LEAST_LOG_ODDS)
+    keep = (a >= least) & (odds >= LEAST_LOG_ODDS)
 
     def of(k: int) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(keep & (kind == k))
@@ -261,6 +262,12 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Mod
     return Model(lexicon, boost(x, y), *isotonic(margin, y))
 
 
+def least_texts(held: int) -> int:
+    """How many toxic texts a word needs: of words that have so many, there are at most ``held`` / that number, so the
+    lexicon has LEXICON_COUNTS / LEAST_TEXTS entries at most, however long the texts are."""
+    return max(LEAST_TEXTS, -(-held * LEAST_TEXTS // LEXICON_COUNTS))
+
+
 def _group(order: np.ndarray) -> int:
     """A number that texts which are mostly alike mostly share: the least hash of neighbouring words."""
     if len(order) < 2:
@@ -279,18 +286,21 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
         for batch in batches:
             for piece in shared.slices(batch):
                 w = read(piece.column("text").to_pylist())
-                own = np.array([_group(w.hashes[a:b]) for a, b in zip(w.at[:-1], w.at[1:], strict=True)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(own.view(np.int64))], ["doc_id", "y", "group"])
+                spans = list(zip(w.at[:-1], w.at[1:], strict=True))
+                own = np.array([_group(w.hashes[a:b]) for a, b in spans], dtype=np.uint64)
+                held = [len(np.unique(w.hashes[a:b])) + len(np.unique(np.concatenate([x[a:b] for x in w.beginnings]))) for a, b in spans]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(own.view(np.int64)), pa.array(held, pa.int64())], ["doc_id", "y", "group", "held"])
 
     with shared.Tables() as t:
         sample = t.store(labelled.sample(docs, labels, "toxic", modulus, remainder, most).select("doc_id", "text", "y"), "toxicity-sample")
-        rows = sorted(sample.mapInArrow(groups, "doc_id long, y int, group long").collect())  # three numbers a row of the sample
-        ids, y, group = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        rows = sorted(sample.mapInArrow(groups, "doc_id long, y int, group long, held long").collect())  # four numbers a row of the sample
+        ids, y, group, held = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         if not len(y) or y.min() == y.max():
             return fit(np.zeros((len(y), FEATURES)), y.astype(np.float64), np.zeros(len(y)), Lexicon())
         fold = (shared.mix(group.view(np.uint64) + np.uint64(11)) % np.uint64(FOLDS)).astype(int)
         first = np.zeros(len(rows), dtype=bool)
         first[np.unique(group.view(np.uint64), return_index=True)[1]] = True
+        least = least_texts(int(held[first & (y == 1)].sum()))
         place = spark.sparkContext.broadcast({int(i): (int(f), bool(o)) for i, f, o in zip(ids, fold, first, strict=True)})
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +323,12 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
         def strength(folds: list[int]):
             a, b = (sum((F.col(c)[f] for f in folds), F.lit(0)) for c in "ab")
             toxic, other = (max(int(totals[v, folds].sum()), 1) + 1 for v in (0, 1))
-            return F.when(a >= LEAST_TEXTS, F.log((a + 0.5) / toxic) - F.log((b + 0.5) / other))
+            return F.when(a >= least, F.log((a + 0.5) / toxic) - F.log((b + 0.5) / other))
 
         best = F.greatest(*[strength(v) for v in variants])
-        strong = counted.withColumn("best", best).filter(F.col("best") > LEAST_LOG_ODDS - 1e-6).orderBy(F.desc("best"), "hash", "kind").limit(LEXICON_WORDS)
-        strong = [(r.kind, r.hash, r.a, r.b) for r in strong.collect()]
-        lexica = [learn_lexicon(strong, int(totals[0, v].sum()), int(totals[1, v].sum()), v) for v in variants]
+        strong = counted.withColumn("best", best).filter(F.col("best") > LEAST_LOG_ODDS - 1e-6).orderBy(F.desc("best"), "hash", "kind").drop("best").toArrow()
+        strong = list(zip(*[strong.column(c).to_pylist() for c in ("kind", "hash", "a", "b")], strict=True))
+        lexica = [learn_lexicon(strong, int(totals[0, v].sum()), int(totals[1, v].sum()), v, least) for v in variants]
         sent = spark.sparkContext.broadcast(lexica)
 
         def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,5 +363,8 @@ def score(docs: DataFrame, model: Model, modulus: int = 3, remainder: int = 1) -
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that score below THRESHOLD, with all their columns."""
+    """The documents that score below THRESHOLD, with all their columns.
+
+    Null and empty texts get the score of a text without words. Repeated rows share their fate, rows without doc_id are
+    scored like others, an empty table stays empty."""
     return shared.keep_scored(docs, lambda texts, m: m.score(texts), model, lambda s: s < THRESHOLD)

@@ -285,6 +285,21 @@ def test_trees_learn_a_step():
     assert (((toxicity.boost(x, y).margin(x) > 0) == y).mean()) > 0.95
 
 
+def test_a_large_lexicon_loses_nothing(spark):
+    """More telling words than any fixed number of entries: all that enough toxic texts have are learned."""
+    rnd, strong = random.Random(2), [f"q{chr(97 + k % 26)}{k}zx" for k in range(45_000)]
+    telling = lambda i: " ".join(rnd.sample(strong[i // 12 * 1500 : (i // 12 + 1) * 1500], 1500))
+    rows = [(i, telling(i) if i < 360 else f"plain words of text {i} and no more", int(i < 360)) for i in range(720)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    model = toxicity.train(docs, labels, modulus=10**6, remainder=0)
+    assert toxicity.least_texts(toxicity.LEXICON_COUNTS) == toxicity.LEAST_TEXTS and toxicity.least_texts(10 * toxicity.LEXICON_COUNTS) == 10 * toxicity.LEAST_TEXTS
+    known = set(np.asarray(model.lexicon.words).tolist())
+    assert set(toxicity._hash_words(strong).tolist()) <= known
+    scores = model.score([t for _, t, _ in rows])
+    assert min(scores[:360]) > max(scores[360:])
+
+
 # 5
 
 
@@ -318,6 +333,23 @@ def test_fingerprints(spark, odd, none, middle):
     assert fingerprints.fingerprint_table(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: None if i % 3 == 0 else 5 if i % 3 == 1 else i, lambda i: 2**53 + i % 2, lambda i: i // 40])
+def test_fingerprints_where_rows_share_a_doc_id(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 3000)
+    rnd = random.Random(9)
+    table = [(ids(i), None if i == 5 else " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(1, 40)))) for i in range(400)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    placed = fingerprints.in_ranges(spark, shared.text_of(docs, "doc_id"))
+    sizes = [r["count"] for r in placed.groupBy("range").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 400 / 3  # no range has a third of all rows
+    rows = rows_of(docs)
+    want = Counter()
+    for i, (d, t) in enumerate(rows):
+        n = rows[(i + 1) % len(rows)][1]
+        want[d, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.with_edits(docs).collect()) == want
+
+
 def test_likeness_is_near_the_similarity():
     rnd, errors = random.Random(4), []
     for _ in range(60):
