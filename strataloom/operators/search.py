@@ -11,12 +11,42 @@ from strataloom.functions import text as T
 # What a hit shows of where it was found.
 PREVIEW_CHARS = 180
 NO_PREVIEW, IN_PATH, IN_TEXT = "Nota cadastrada na base", "Seção em ", "Seção: "
+TITLE, PATH, LINE = 1, 2, 3
 
 
-def _has(text: Column, wanted: str) -> Column:
-    """Whether a text holds the folded query. Only texts beyond ASCII need folding outside the JVM, and are sent there."""
+def folded(text: Column) -> Column:
+    """The form that is compared. Only texts beyond ASCII need folding outside the JVM, and are sent there."""
     ascii_ = text.rlike(r"^[\x00-\x7F]*$")
-    return F.when(ascii_, F.contains(F.lower(text), F.lit(wanted))).otherwise(F.contains(T.fold(F.when(~ascii_, text)), F.lit(wanted)))
+    return F.when(ascii_, F.lower(text)).otherwise(T.fold(F.when(~ascii_, text)))
+
+
+def entries(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every string that a search looks at: (doc_id, doc_pos, file_name, stage, pos, text, own_preview).
+
+    Of a stored text only lines that begin with a number sign are taken out of the array of lines."""
+    preview = F.col("preview") if "preview" in documents.columns else F.lit(None).cast("string")
+    d = documents.select("doc_id", "doc_pos", "file_name", "markdown", preview.alias("own_preview"))
+    none = F.lit(None).cast("string").alias("own_preview")
+    titles = d.select("doc_id", "doc_pos", "file_name", F.lit(TITLE).alias("stage"), F.lit(0).cast("long").alias("pos"), F.col("file_name").alias("text"), "own_preview")
+    paths = chunks.join(d.select("doc_id", "doc_pos", "file_name"), "doc_id").select("doc_id", "doc_pos", "file_name", F.lit(PATH).alias("stage"), F.col("pos").cast("long").alias("pos"), F.col("header_path").alias("text"), none)
+    marked = F.transform(F.split("markdown", r"\r\n|\r|\n"), lambda x, i: F.struct(i.cast("long").alias("pos"), F.trim(x).alias("text")))
+    lines = d.select("doc_id", "doc_pos", "file_name", F.inline(F.filter(marked, lambda x: x["text"].startswith("#")))).select("doc_id", "doc_pos", "file_name", F.lit(LINE).alias("stage"), "pos", "text", none)
+    return titles.unionByName(paths).unionByName(lines)
+
+
+def hits(found: DataFrame, by: list[str]) -> DataFrame:
+    """Entries that hold a query as hits, the first of each document and anchor (and of each query, ``by``)."""
+    text, stage = F.col("text"), F.col("stage")
+    title = F.when(stage == TITLE, text).when(stage == PATH, T.header_title(text)).otherwise(F.regexp_replace(text, r"^#+\s*", ""))
+    preview = F.when(stage == TITLE, F.coalesce(F.nullif(F.substring("own_preview", 1, PREVIEW_CHARS), F.lit("")), F.lit(NO_PREVIEW))).when(stage == PATH, F.concat(F.lit(IN_PATH), text)).otherwise(F.concat(F.lit(IN_TEXT), F.col("title")))
+    a = found.withColumn("title", title)
+    a = a.withColumns({"anchor": F.when(stage == TITLE, "").otherwise(T.anchor(F.when(stage != TITLE, F.col("title")))), "match_type": F.when(stage == TITLE, "title").otherwise("header"), "preview": preview})
+    first = Window.partitionBy(*by, "doc_id", F.when(stage == TITLE, "title").otherwise(F.col("anchor"))).orderBy("stage", "pos")
+    return a.withColumn("n", F.row_number().over(first)).filter("n = 1")
+
+
+def shown(hits_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return hits_.select(*(by or []), "doc_id", "file_name", "match_type", "title", "anchor", "preview")
 
 
 def quick_search(documents: DataFrame, chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -24,22 +54,11 @@ def quick_search(documents: DataFrame, chunks: DataFrame, query: str, limit: int
 
     documents: doc_id, doc_pos, file_name, markdown, and preview, where there is one; chunks: doc_id, pos, header_path. One hit for each document and
     anchor, the first found; ``limit`` hits in all, from 1 to 50. A query without ASCII letters after folding finds nothing.
+    ``search_index`` answers the same without a scan of texts.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must be from 1 to 50")
     wanted = T.fold_text(query.strip())
-    preview = F.col("preview") if "preview" in documents.columns else F.lit(None).cast("string")
-    d = documents.select("doc_id", "doc_pos", "file_name", "markdown", preview.alias("own_preview"))
-    if not wanted:
-        return d.limit(0).select("doc_id", "file_name", F.lit("").alias("match_type"), F.lit("").alias("title"), F.lit("").alias("anchor"), F.lit("").alias("preview"))
-    has = lambda c: _has(c, wanted)
-    titles = d.filter(has(F.col("file_name"))).select("doc_id", "doc_pos", "file_name", F.lit(1).alias("stage"), F.lit(0).alias("pos"), F.lit("title").alias("match_type"), F.col("file_name").alias("title"), F.lit("").alias("anchor"), F.coalesce(F.nullif(F.substring("own_preview", 1, PREVIEW_CHARS), F.lit("")), F.lit(NO_PREVIEW)).alias("preview"))
-    c = chunks.filter(has(F.col("header_path"))).join(d.drop("markdown", "own_preview"), "doc_id")
-    c = c.withColumn("title", T.header_title(F.col("header_path"))).select("doc_id", "doc_pos", "file_name", F.lit(2).alias("stage"), "pos", F.lit("header").alias("match_type"), "title", T.anchor(F.col("title")).alias("anchor"), F.concat(F.lit(IN_PATH), "header_path").alias("preview"))
-    lines = d.select("doc_id", "doc_pos", "file_name", F.posexplode(F.split("markdown", r"\r\n|\r|\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter(F.col("line").startswith("#"))
-    h = lines.filter(has(F.col("line"))).withColumn("title", F.regexp_replace("line", r"^#+\s*", ""))
-    h = h.select("doc_id", "doc_pos", "file_name", F.lit(3).alias("stage"), "pos", F.lit("header").alias("match_type"), "title", T.anchor(F.col("title")).alias("anchor"), F.concat(F.lit(IN_TEXT), "title").alias("preview"))
-    key = F.when(F.col("match_type") == "title", "title").otherwise(F.col("anchor"))
-    first = Window.partitionBy("doc_id", "key").orderBy("stage", "pos")
-    hits = titles.unionByName(c).unionByName(h).withColumn("key", key).withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return hits.orderBy("doc_pos", "stage", "pos").limit(limit).select("doc_id", "file_name", "match_type", "title", "anchor", "preview")
+    all_ = entries(documents, chunks)
+    found = all_.filter(F.contains(folded(F.col("text")), F.lit(wanted))) if wanted else all_.filter("false")
+    return shown(hits(found, []).orderBy("doc_pos", "stage", "pos").limit(limit))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
-from strataloom.operators import ingest, markdown, ontology, search, toc
+from strataloom.operators import ingest, markdown, ontology, search, search_index, toc
 from strataloom.operators import quality as Q
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
+from strataloom.storage import shared_folder
 from strataloom.sources import files, html
 from strataloom.streaming import native
 
@@ -113,6 +114,13 @@ def audio_blocks(spark, d):
 _ASCII = "'[^a-z0-9_\\s-]'".replace("\\\\", "\\")
 
 
+def _searched(spark, d):
+    notes = _notes(spark, d)
+    docs = notes.select(F.col("document_id").alias("doc_id"), F.col("document_id").alias("doc_pos"), F.col("document_name").alias("file_name"), F.col("text").alias("markdown"))
+    chunks = D.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.concat(F.lit("Notes > ## "), F.col("turn").cast("string"), F.lit(". "), "role").alias("header_path"))
+    return docs, chunks
+
+
 @query(f"""WITH {_SQL_NOTES}, q AS (SELECT 'system' AS w),
 l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM notes),
 hits AS (SELECT document_id, document_name, 2 AS stage, page AS pos, page || '. ' || role AS title, 'Seção em Notes > ## ' || page || '. ' || role AS preview FROM notes JOIN (SELECT conv_id, turn AS page, role FROM conversations) ON conv_id = document_id, q WHERE role LIKE '%' || w || '%'
@@ -121,10 +129,38 @@ keyed AS (SELECT *, regexp_replace(trim(regexp_replace(lower(title), {_ASCII}, '
 first AS (SELECT *, row_number() OVER (PARTITION BY document_id, anchor ORDER BY stage, pos) AS n FROM keyed)
 SELECT document_id AS doc_id, document_name AS file_name, 'header' AS match_type, title, anchor, preview FROM first WHERE n = 1 ORDER BY document_id, stage, pos LIMIT 20""".replace("\\\\", "\\"))
 def quick_search(spark, d):
-    notes = _notes(spark, d)
-    docs = notes.select(F.col("document_id").alias("doc_id"), F.col("document_id").alias("doc_pos"), F.col("document_name").alias("file_name"), F.col("text").alias("markdown"))
-    chunks = D.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.concat(F.lit("Notes > ## "), F.col("turn").cast("string"), F.lit(". "), "role").alias("header_path"))
-    return search.quick_search(docs, chunks, "Sýstem", 20)
+    return search.quick_search(*_searched(spark, d), "Sýstem", 20)
+
+
+@query(f"""WITH {_SQL_NOTES}, q AS (SELECT 'system' AS w),
+l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM notes),
+hits AS (SELECT document_id, document_name, 2 AS stage, page AS pos, page || '. ' || role AS title, 'Seção em Notes > ## ' || page || '. ' || role AS preview FROM notes JOIN (SELECT conv_id, turn AS page, role FROM conversations) ON conv_id = document_id, q WHERE role LIKE '%' || w || '%'
+  UNION ALL SELECT document_id, document_name, 3, pos, regexp_replace(trim(line), '^#+\\s*', ''), 'Seção: ' || regexp_replace(trim(line), '^#+\\s*', '') FROM l JOIN notes USING (document_id), q WHERE trim(line) LIKE '#%' AND lower(line) LIKE '%' || w || '%'),
+keyed AS (SELECT *, regexp_replace(trim(regexp_replace(lower(title), {_ASCII}, '', 'g')), '[-\\s]+', '-', 'g') AS anchor FROM hits),
+first AS (SELECT *, row_number() OVER (PARTITION BY document_id, anchor ORDER BY stage, pos) AS n FROM keyed)
+SELECT document_id AS doc_id, document_name AS file_name, 'header' AS match_type, title, anchor, preview FROM first WHERE n = 1 ORDER BY document_id, stage, pos LIMIT 20""".replace("\\\\", "\\"))
+def quick_search_indexed(spark, d):
+    """The same through the index of trigrams."""
+    index = search_index.build(*_searched(spark, d), shared_folder(spark, "search"))
+    return search_index.quick_search(spark, index, "Sýstem", 20)
+
+
+@query(f"""WITH {_SQL_NOTES}, q AS (SELECT DISTINCT role AS query_id, substr(role, 2, 4) AS w FROM conversations UNION ALL SELECT 'all-' || left(role, 1), left(role, 1) FROM (SELECT DISTINCT role FROM conversations) UNION ALL SELECT 'note', 'note-' || 1 UNION ALL SELECT 'none', 'no such heading'),
+l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM notes),
+hits AS (SELECT query_id, document_id, document_name, 1 AS stage, 0 AS pos, document_name AS title, '' AS anchor, 'Nota cadastrada na base' AS preview FROM notes, q WHERE contains(lower(document_name), w)
+  UNION ALL SELECT query_id, document_id, document_name, 2, page, page || '. ' || role, NULL, 'Seção em Notes > ## ' || page || '. ' || role FROM notes JOIN (SELECT conv_id, turn AS page, role FROM conversations) ON conv_id = document_id, q WHERE contains('notes > ## ' || page || '. ' || role, w)
+  UNION ALL SELECT query_id, document_id, document_name, 3, pos, regexp_replace(trim(line), '^#+\\s*', ''), NULL, 'Seção: ' || regexp_replace(trim(line), '^#+\\s*', '') FROM l JOIN notes USING (document_id), q WHERE trim(line) LIKE '#%' AND contains(lower(trim(line)), w)),
+keyed AS (SELECT * REPLACE (coalesce(anchor, regexp_replace(trim(regexp_replace(lower(title), {_ASCII}, '', 'g')), '[-\\s]+', '-', 'g')) AS anchor) FROM hits),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, CASE stage WHEN 1 THEN 'title' ELSE anchor END ORDER BY stage, pos) AS n FROM keyed)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY document_id, stage, pos) AS rank, document_id AS doc_id, document_name AS file_name, CASE stage WHEN 1 THEN 'title' ELSE 'header' END AS match_type, title, anchor, preview FROM firsts WHERE n = 1 QUALIFY rank <= 10""".replace("\\\\", "\\"))
+def search_many(spark, d):
+    """Many searches at once through the index, some too short for it, accents in some."""
+    roles = D.table(spark, d, "conversations").select("role").distinct()
+    asked = roles.select(F.col("role").alias("query_id"), F.translate(F.substring("role", 2, 4), "ys", "ýS").alias("query"))
+    asked = asked.unionByName(roles.select(F.concat(F.lit("all-"), F.substring("role", 1, 1)).alias("query_id"), F.upper(F.substring("role", 1, 1)).alias("query")))
+    asked = asked.unionByName(spark.createDataFrame([("note", " Nóte-1"), ("none", "no such heading")], "query_id string, query string"))
+    index = search_index.build(*_searched(spark, d), shared_folder(spark, "search"))
+    return search_index.search_many(spark, index, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""WITH h AS (SELECT item_id, sha256('title: none | text: ' || text) AS h FROM benchmark), r AS (SELECT item_id, unnest(range(16)) AS pos, ('0x' || substr(h, unnest(range(16)) * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1 AS raw FROM h)
