@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import discovery, lifecycle, read_model, sync
+from strataloom.operators import discovery, lifecycle, read_model, snapshots, sync
 from strataloom.plans import data as D
 from strataloom.plans.event_queries import SQL_SOURCES
 from strataloom.plans.registry import query
+from strataloom.storage import shared_folder
 from strataloom.streaming import native
 
 # The whole read model: a walk over each document's events in SQL, folds and a stream here.
@@ -50,6 +51,16 @@ def stream_projection(spark, d):
     return _shown(native.stream_documents(spark, D.whole_log(spark, d)))
 
 
+@query(READ_MODEL)
+def read_model_incremental(spark, d):
+    """The same rows from a snapshot that was taken twice, the second time from the first one, and the events after it."""
+    at = shared_folder(spark, "log")
+    snapshots.store_slices(D.whole_log(spark, d).withColumn("slice", F.floor(F.col("event_version") / 17).cast("int")), f"{at}/log")
+    first = snapshots.take(spark, f"{at}/log", 0, f"{at}/first")
+    second = snapshots.take(spark, f"{at}/log", 2, f"{at}/second", first)
+    return _shown(snapshots.current(spark, f"{at}/log", second))
+
+
 # Syncs: nations are sources in the knowledge bases of their regions, customers what they hold.
 _SQL_SYNC = """sources AS (SELECT n_nationkey AS source_id, n_regionkey AS kb_id, CASE n_nationkey WHEN 3 THEN 'DISABLED' WHEN 7 THEN 'SYNCING' ELSE 'IDLE' END AS status, 'c' || n_nationkey AS cursor FROM nation),
 accepted AS (SELECT *, 'r' || source_id AS run_id FROM sources WHERE status = 'IDLE' AND source_id <> 5),
@@ -186,5 +197,5 @@ def folder_baseline(spark, d):
     )
     folders = c.select(F.col("c_custkey").cast("string").alias("file_id"), F.floor(F.col("c_custkey") / 4).cast("string").alias("parent_id"), F.lit(discovery.FOLDER).alias("mime_type"))
     now = F.lit("1998-08-02").cast("timestamp")
-    found = discovery.baseline(files.unionByName(folders, allowMissingColumns=True), "1", native.shared_folder(spark, "walks"), ["text/plain"], 900, now)
+    found = discovery.baseline(files.unionByName(folders, allowMissingColumns=True), "1", shared_folder(spark, "walks"), ["text/plain"], 900, now)
     return found.select(F.col("external_id").cast("long").alias("external_id"), "version_hash")
