@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
@@ -144,6 +144,32 @@ def list_runs(runs: DataFrame, source_id: object, limit: int = 50) -> DataFrame:
     return runs.filter(F.col("source_id") == source_id).orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
 
 
+def newest_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest runs of every source; each task cuts its rows to ``limit`` a source before they are shuffled."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be from 1 to 200")
+    order = Window.partitionBy("source_id").orderBy(F.desc("started_at"), F.desc("run_id"))
+    return runs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("place")
+
+
+def list_sources(sources: DataFrame, kb_id: object) -> DataFrame:
+    """A knowledge base's sources, the oldest first."""
+    return sources.filter(F.col("kb_id") == kb_id).orderBy("created_at", "source_id")
+
+
+def list_templates(templates: DataFrame) -> DataFrame:
+    """Ontology templates by name, the newest version of each first."""
+    return templates.orderBy("name", F.desc("version"))
+
+
+def with_documents(bases: DataFrame, documents: DataFrame, columns: list[str]) -> DataFrame:
+    """Bases with ``documents``, the rows of theirs as an ordered array, empty where there are none. A base's documents meet in
+    one row: for bases of a page of results; ``base_detail`` lists those of a large one."""
+    nested = documents.groupBy("kb_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("documents"))
+    kind = nested.schema["documents"].dataType
+    return bases.join(nested, "kb_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast(kind)))
+
+
 def base_summaries(bases: DataFrame, ontologies: DataFrame, documents: DataFrame) -> DataFrame:
     """Knowledge bases, the newest first, with their ontology's name and how many documents are there, indexed, failed and
     on their way; the documents' counts combine before the shuffle."""

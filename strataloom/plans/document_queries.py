@@ -11,15 +11,15 @@ from strataloom.operators import ingest, markdown, ontology, search, search_inde
 from strataloom.operators import quality as Q
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
-from strataloom.storage import shared_folder
 from strataloom.sources import files, html
+from strataloom.storage import shared_folder
 from strataloom.streaming import native
 
 
-@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END::BIGINT AS chunk_tokens, CASE WHEN text = '' THEN 0 ELSE greatest(1, ceil(length(text) / 3.3::DOUBLE)) END::BIGINT AS budget_tokens, len(string_split(text, ' ')) + 500 AS word_tokens FROM documents")
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END::BIGINT AS chunk_tokens, CASE WHEN text = '' THEN 0 ELSE greatest(1, ceil(length(text) / 3.3::DOUBLE)) END::BIGINT AS budget_tokens, (len(regexp_extract_all(text, '[^ \\t-\\r]+')) + 500)::BIGINT AS word_tokens, CASE WHEN strlen(text) = 0 THEN 100 ELSE greatest(1, strlen(text) // 4) END::BIGINT AS payload_tokens FROM documents")
 def token_estimates(spark, d):
     t = F.col("text")
-    return D.table(spark, d, "documents").select("doc_id", T.chunk_tokens(t).cast("long").alias("chunk_tokens"), T.budget_tokens(t).cast("long").alias("budget_tokens"), (F.size(F.split(t, " ")) + 500).cast("long").alias("word_tokens"))
+    return D.table(spark, d, "documents").select("doc_id", T.chunk_tokens(t).cast("long").alias("chunk_tokens"), T.budget_tokens(t).cast("long").alias("budget_tokens"), T.words_and_margin(t).cast("long").alias("word_tokens"), T.payload_tokens(F.encode(t, "utf-8")).cast("long").alias("payload_tokens"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[^a-zA-Z0-9_]', '_', 'g') AS label, upper(regexp_replace(p_type, '[^a-zA-Z0-9_]', '_', 'g')) AS rel_type, 'Field_' || regexp_replace(p_size || ' ' || p_brand, '[^a-zA-Z0-9_]', '_', 'g') AS field, 'kb_' || replace(p_name || '-' || p_partkey, '-', '_') AS graph FROM part")
@@ -249,9 +249,12 @@ def ocr_quality(spark, d):
     return Q.ocr_scores(p).select("document_id", *[F.round(c, 6).alias(c) for c in scores])
 
 
-@query("SELECT source, quality, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+@query("SELECT source AS model, count(*) AS n, round(avg(quality * 100), 6) AS quality, round(avg(n_chars / 7.0::DOUBLE), 6) AS latency_ms, round(avg((doc_id % 5000 / 1e6::DOUBLE * 2 + n_chars / 1e6::DOUBLE * 3) * 1000), 6) AS cost_of_thousand FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def model_means(spark, d):
-    return D.table(spark, d, "documents").join(D.table(spark, d, "labels"), "doc_id").groupBy("source", "quality").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    x = D.table(spark, d, "documents").join(D.table(spark, d, "labels"), "doc_id")
+    cost = Q.cost_of_thousand(F.col("doc_id") % 5000, F.col("n_chars"), F.lit(2.0), F.lit(3.0))
+    m = Q.model_means(x.select(F.col("source").alias("model"), (F.col("quality") * 100).alias("quality"), (F.col("n_chars") / 7.0).alias("latency_ms"), cost.alias("cost_of_thousand")))
+    return m.select("model", "n", *[F.round(c, 6).alias(c) for c in ("quality", "latency_ms", "cost_of_thousand")])
 
 
 _SQL_TOC = "toc AS (SELECT o_custkey AS doc_id, (o_orderkey % 4 + 1)::BIGINT AS level, 't' || o_orderkey AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS page FROM orders)"

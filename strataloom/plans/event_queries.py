@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataloom.operators import discovery, sync
+from strataloom.operators import discovery, lifecycle, sync
 from strataloom.operators import events as E
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
+from strataloom.sources import commits, event_store
+from strataloom.storage import shared_folder
 from strataloom.streaming import native
 
 
@@ -42,6 +46,39 @@ def event_fold_latest(spark, d):
     return E.fold_latest(log, ["big_value", "parsed_props"])
 
 
+@query(f"""WITH {D.SQL_LOG} SELECT aggregate_id, count(*) AS n_events, arg_max(value, event_version) FILTER (WHERE value > 50) AS big_value, arg_max(props, event_version) FILTER (WHERE event_type = 'DocumentParsedToMarkdown') AS parsed_props FROM log GROUP BY 1""")
+def event_fold_bucketed(spark, d):
+    """The same from a log that is bucketed by aggregate, written in two appends: folded without an exchange."""
+    log = D.log(spark, d).withColumns({"big_value": F.when(F.col("value") > 50, F.col("value")), "parsed_props": F.when(F.col("event_type") == "DocumentParsedToMarkdown", F.col("props"))})
+    log = log.select("aggregate_id", "event_version", "big_value", "parsed_props")
+    name = f"log_{uuid.uuid4().hex}"
+    event_store.create(log.filter("event_version <= 40"), name, shared_folder(spark, "log"), buckets=8)
+    event_store.append(log.filter("event_version > 40"), name)
+    return E.fold_latest(spark.table(name), ["big_value", "parsed_props"])
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_id % 3 AS part, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS n FROM events) SELECT event_id, user_id AS aggregate_id, n::BIGINT AS event_version FROM e""")
+def committed_log(spark, d):
+    """Three appends to a log that is written by commits; each numbers its events after those that are there."""
+    e = D.table(spark, d, "events").select("event_id", F.col("user_id").alias("aggregate_id"), F.col("event_id").alias("seq"))
+    at = shared_folder(spark, "commits")
+    for part in range(3):
+        commits.append_events(e.filter(F.col("event_id") % 3 == part), at)
+    log, _ = commits.read(spark, at, "event_id long, aggregate_id long, seq long, event_version int")
+    return log.select("event_id", "aggregate_id", F.col("event_version").cast("long").alias("event_version"))
+
+
+@query("""WITH u AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq FROM orders GROUP BY 1) SELECT id, status, seq FROM u WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def committed_upserts(spark, d):
+    """Two upserts that overlap, then a deletion, each one commit."""
+    o = D.table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("long").alias("seq"))
+    at = shared_folder(spark, "commits")
+    for half in (o.filter("seq % 2 = 0"), o.filter("seq % 2 = 1")):
+        commits.upsert(half, at, ["id"], "seq")
+    commits.delete(D.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id")), at, o.schema)
+    return commits.read(spark, at, o.schema)[0]
+
+
 @query(f"""WITH RECURSIVE {D.SQL_LOG}, w(aggregate_id, v, status) AS (
  SELECT DISTINCT aggregate_id, 0::BIGINT, 'PENDING_UPLOAD' FROM log
  UNION ALL
@@ -213,15 +250,15 @@ def kb_document_counts(spark, d):
 
 @query("SELECT n_nationkey AS kb_id, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FILTER (WHERE c_custkey IS NOT NULL), '') AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 8000 GROUP BY 1")
 def nested_documents(spark, d):
-    docs = D.table(spark, d, "customer").filter("c_acctbal > 8000").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_custkey")).alias("ids"))
-    kb = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("kb_id"))
-    return kb.join(docs, kb.kb_id == docs.c_nationkey, "left").select("kb_id", F.coalesce(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("documents"))
+    docs = D.table(spark, d, "customer").filter("c_acctbal > 8000").select(F.col("c_nationkey").alias("kb_id"), F.col("c_custkey").alias("document_id"))
+    nested = lifecycle.with_documents(D.table(spark, d, "nation").select(F.col("n_nationkey").alias("kb_id")), docs, ["document_id"])
+    return nested.select("kb_id", F.array_join(F.transform("documents", lambda x: x["document_id"].cast("string")), ",").alias("documents"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 3")
 def newest_runs(spark, d):
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return D.table(spark, d, "orders").withColumn("n", F.row_number().over(newest)).filter("n <= 3").select("o_custkey", "o_orderkey")
+    runs = D.table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"))
+    return lifecycle.newest_runs(runs, 3).select(F.col("source_id").alias("o_custkey"), F.col("run_id").alias("o_orderkey"))
 
 
 @query("""WITH o AS (SELECT r_regionkey AS ontology_id FROM region UNION ALL SELECT r_regionkey + 100 FROM region)
