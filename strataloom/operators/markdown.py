@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,16 +196,35 @@ _PARENT_SCHEMA = "document_id string, document_name string, parent_id string, pa
 _CHILD_SCHEMA = "document_id string, parent_id string, child_id string, chunk_index int, header_path string, content string, source_type string, ingested_at double"
 
 
+_KINDS = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+_CHILDREN = pa.list_(pa.struct([("child_id", pa.string()), ("chunk_index", pa.int32()), ("content", pa.string())]))
+#: Bytes of texts that are folded together, unless one text has more.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of an Arrow batch whose texts have about SLICE_BYTES at most, or one long text."""
+    total, first = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if total and total + n > SLICE_BYTES:
+            yield batch.slice(first, i - first)
+            total, first = 0, i
+        total += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _folded(docs: DataFrame, schema: str, fold) -> DataFrame:
     importable(docs.sparkSession)
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    kinds = [{"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.strip().split()[1]] for x in schema.split(",")]
+    names, kinds = zip(*[(x.strip().split()[0], x.strip().split()[1]) for x in re.split(r",\s+(?=\w+ )", schema)], strict=True)
+    types = [_KINDS.get(k, _CHILDREN) for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for d in batch.to_pylist() for r in fold(d)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for piece in sliced(batch, "text"):
+                rows = [r for d in piece.to_pylist() for r in fold(d)]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], list(names))
 
     own = docs.select(*[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("document_id", "string"), ("document_name", "string"), ("text", "string"), ("source_type", "string"), ("ingested_at", "double"))])
     return own.mapInArrow(run, schema)
@@ -225,6 +245,24 @@ def parent_table(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return _folded(docs, _PARENT_SCHEMA, fold)
 
 
+_FAMILY = f"{_PARENT_SCHEMA}, children array<struct<child_id:string,chunk_index:int,content:string>>"
+
+
+def family_table(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``parent_table``, each with its children, from one fold of each text."""
+
+    def fold(d: dict) -> list[tuple]:
+        out, n = [], 0
+        for p in parents(d["document_name"], blocks(d["text"] or "", limits), limits):
+            id_ = f"{d['document_id']}-p{p.index}"
+            own = [{"child_id": f"{id_}-c{k}", "chunk_index": n + k - 1, "content": c} for k, c in enumerate(children(p.content, limits), 1)]
+            n += len(own)
+            out.append((d["document_id"], d["document_name"], id_, p.index, p.header_path, p.content, p.tokens, d["source_type"], d["ingested_at"], p.part, p.total_parts, own))
+        return out
+
+    return _folded(docs, _FAMILY, fold)
+
+
 def child_table(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each child chunk; chunk_index counts through the document."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
-from strataloom.operators import ingest, markdown, ontology, search, search_index, toc
+from strataloom.operators import ingest, markdown, ontology, search, search_index, stages, toc
 from strataloom.operators import quality as Q
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
@@ -361,3 +361,24 @@ def ingest_documents(spark, d):
     """Child chunks with embeddings of all documents, taken in as files."""
     files_ = D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".md")).alias("file_name"), F.lit("text/markdown").alias("content_type"), F.encode("text", "utf-8").alias("content"), F.lit(1.7e9).alias("ingested_at"))
     return ingest.ingest(files_, ONTOLOGY, dimensions=8)["children"].select("document_id", "child_id", "chunk_index", "header_path", "content", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, doc_id % 11 = 5 AS p, doc_id % 7 = 3 AS e, doc_id % 13 = 2 AS x FROM documents WHERE regexp_matches(text, '[^ \t-\r]')), n AS (SELECT count(*) AS all_ FROM documents),
+r AS (SELECT *, p OR e OR x AS late FROM f), a AS (SELECT (SELECT all_ FROM n) AS all_, count(*) AS good, count(*) FILTER (p) AS p, count(*) FILTER (NOT p AND e) AS e, count(*) FILTER (NOT p AND NOT e AND x) AS x FROM r)
+SELECT run, step, done, failed FROM (SELECT unnest([
+ {'run': 1, 'step': 'PARSING', 'done': good - p, 'failed': all_ - good + p}, {'run': 1, 'step': 'CHUNKING', 'done': good - p, 'failed': 0}, {'run': 1, 'step': 'EMBEDDINGS', 'done': good - p - e, 'failed': e},
+ {'run': 1, 'step': 'EXTRACTION', 'done': good - p - e - x, 'failed': x}, {'run': 1, 'step': 'INDEXING', 'done': good - p - e - x, 'failed': 0},
+ {'run': 2, 'step': 'PARSING', 'done': p, 'failed': all_ - good}, {'run': 2, 'step': 'CHUNKING', 'done': p, 'failed': 0}, {'run': 2, 'step': 'EMBEDDINGS', 'done': p + e, 'failed': 0},
+ {'run': 2, 'step': 'EXTRACTION', 'done': p + e + x, 'failed': 0}, {'run': 2, 'step': 'INDEXING', 'done': p + e + x, 'failed': 0}], recursive := true) FROM a) WHERE done + failed > 0""")
+def staged_ingestion(spark, d):
+    """Two runs over all documents: in the first, some fail at parsing, embedding or extraction; the second takes only those."""
+    docs = D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.lit("text/markdown").alias("content_type"), F.encode("text", "utf-8").alias("content"), F.lit(1.7e9).alias("ingested_at"))
+    key = F.col("document_id").cast("long")
+    root = shared_folder(spark, "ingest")
+    fails = lambda modulus, rest: F.col("document_id").cast("long") % modulus == rest  # noqa: E731  the models' columns see their document
+    embed = lambda title, text: vectors.hash_embedding(vectors.passage_prompt(title, text), 4)
+    first = stages.Ingestion(root, ONTOLOGY, embed=lambda title, text: F.when(~fails(7, 3), embed(title, text)), extract=lambda text: F.when(~fails(13, 2), F.lit("{}")))
+    first.run(docs.withColumn("content", F.when(key % 11 != 5, F.col("content"))), 1)
+    stages.Ingestion(root, ONTOLOGY, embed=embed, extract=lambda text: F.lit("{}")).run(docs, 2)
+    s = first.statuses(spark).groupBy("run", "step").agg(F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return s.select(F.col("run").cast("long").alias("run"), "step", "done", "failed")
