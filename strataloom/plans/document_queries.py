@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions import sql, vectors
 from strataloom.functions import text as T
-from strataloom.functions import vectors
 from strataloom.operators import ingest, markdown, ontology, search, search_index, stages, toc
 from strataloom.operators import quality as Q
 from strataloom.plans import data as D
@@ -382,3 +382,12 @@ def staged_ingestion(spark, d):
     stages.Ingestion(root, ONTOLOGY, embed=embed, extract=lambda text: F.lit("{}")).run(docs, 2)
     s = first.statuses(spark).groupBy("run", "step").agg(F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     return s.select(F.col("run").cast("long").alias("run"), "step", "done", "failed")
+
+
+@query()
+def child_chunks_sql(spark, d):
+    """``child_chunks`` as one SQL text over a table function."""
+    sql.register(spark)
+    text = """SELECT d.document_id, c.parent_id, c.child_id, c.chunk_index, c.header_path, c.content, d.source_type, d.ingested_at
+              FROM {notes} d, LATERAL markdown_children(CAST(d.document_id AS STRING), d.document_name, d.text) c"""
+    return spark.sql(text, notes=_notes(spark, d))

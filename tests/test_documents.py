@@ -205,6 +205,9 @@ def test_lexer_and_chunk_queries(spark, small):
     children = document_queries.child_chunks(spark, small).collect()
     want = {(str(k), i): c for k, n in source.items() for i, c in enumerate(c for p in markdown.parents(n.document_name, markdown.blocks(n.text)) for c in markdown.children(p.content))}
     assert {(r.document_id, r.chunk_index): r.content for r in children} == want
+    by_sql = document_queries.child_chunks_sql(spark, small)
+    names = ["parent_id", "child_id", "chunk_index", "header_path", "content", "source_type", "ingested_at"]
+    assert sorted(map(str, by_sql.select(*names).collect())) == sorted(str(r) for r in document_queries.child_chunks(spark, small).select(*names).collect())
 
 
 def test_repeated_headings_query(spark, small):
