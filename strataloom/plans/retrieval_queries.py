@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataloom.operators import graph, retrieval, vector_index
+from strataloom.operators import comention, graph, retrieval, vector_index
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
 from strataloom.storage import shared_folder
@@ -140,6 +140,17 @@ def comention_orders(spark, d):
     return retrieval.neighbours(wanted, m).select("parent_id", "neighbour_id", "shared")
 
 
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS parent_id, l_partkey AS entity_id FROM lineitem UNION SELECT l_orderkey, -1 - ascii(l_returnflag) FROM lineitem WHERE l_orderkey % 10 = 0),
+p AS (SELECT a.parent_id, b.parent_id AS neighbour_id, count(*) AS shared FROM m a JOIN m b ON a.entity_id = b.entity_id AND a.parent_id <> b.parent_id GROUP BY ALL)
+SELECT parent_id, neighbour_id, shared FROM p QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY shared DESC, neighbour_id) <= 5""")
+def comention_all(spark, d):
+    """All orders as seeds; a tenth of them mention, besides their parts, marks that hundreds mention."""
+    li = D.table(spark, d, "lineitem")
+    marks = li.filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("parent_id"), (-1 - F.ascii("l_returnflag")).cast("long").alias("entity_id"))
+    m = li.select(F.col("l_orderkey").alias("parent_id"), F.col("l_partkey").cast("long").alias("entity_id")).unionByName(marks)
+    return comention.all_neighbours(m, heavy=200).select("parent_id", "neighbour_id", "shared")
+
+
 @query(f"WITH {_BASE}, {_PAIRS}, {_FUSED} SELECT parent_id, round(base_score, 6) AS base_score, shared::BIGINT AS shared, is_seed, round(fused_score, 6) AS fused_score FROM scored")
 def candidate_fusion(spark, d):
     s = _seeds(spark, d)
