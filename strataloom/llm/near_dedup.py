@@ -411,11 +411,14 @@ def groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """Exactly one row of each group, that of the least doc_id; all columns stay as they are.
 
-    Of rows that share a doc_id, those with texts of different groups each stay, and of equal rows one."""
+    Of rows that share a doc_id, those with texts of different groups each stay, and of equal rows one. Texts without
+    words, null ones among them, stay. A column may have any name. An empty table stays empty."""
     if not _has_own_ids(docs):
+        aside = next(n for k in range(len(docs.columns) + 1) if (n := f"{_ROW}{k}") not in docs.columns)  # a name that is free
         with shared.Tables() as t:
-            keyed = _numbered(docs, t)
-            return t.result(keyed.join(_judged(keyed, percent, width).filter("kept").select(_ROW), _ROW, "left_semi").drop(_ROW), "kept-rows")
+            keyed = _numbered(docs.withColumnRenamed(_ROW, aside), t)
+            kept = keyed.join(_judged(keyed, percent, width).filter("kept").select(_ROW), _ROW, "left_semi").drop(_ROW)
+            return t.result(kept.withColumnRenamed(aside, _ROW), "kept-rows")
     gone = groups(docs, percent, width).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

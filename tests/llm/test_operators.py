@@ -539,6 +539,14 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(root)}
 
 
+def test_keep_one_leaves_clashing_columns(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "one two three four five six", "b"), (2, "one two three four five six", "c"), (3, None, "d"), (None, "", "e")]
+    kept = near_dedup.keep_one(spark.createDataFrame([(i, t, x, x) for i, t, x in rows], "doc_id long, text string, __row string, __row0 string"), 80)
+    assert kept.columns == ["doc_id", "text", "__row", "__row0"]
+    got = kept.collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, "one two three four five six"), (3, None), (None, "")} and all(r["__row"] == r["__row0"] in "abcde" for r in got)
+
+
 # 8
 
 
