@@ -11,24 +11,30 @@ from strataloom.llm import near_dedup, packing, quality_fm, shared, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from all labelled documents of its training fold, doesn't reject."""
+    """Documents that the toxicity model, learned from labelled documents of its training fold, doesn't reject.
+
+    Null and empty texts are judged as texts without words; rows that repeat share their fate; columns stay as they are."""
     model = toxicity.train(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
     return toxicity.keep(docs, model)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, learned likewise, accepts."""
+    """Documents that the quality model, learned likewise, accepts. Odd rows as in the stage before."""
     machine = quality_fm.train(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
     return quality_fm.keep(docs, machine)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, five-word shingles at a similarity of 0.8, the document of the least doc_id."""
+    """Of each group of near duplicates, five-word shingles at a similarity of 0.8, the document of the least doc_id.
+
+    Texts without words stay. Rows that share or lack a doc_id are told apart by their texts, of equal rows one stays."""
     return near_dedup.keep_one(docs, percent=80, width=5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids, each with its ids; the padded sequences are ``sequences``."""
+    """The pieces of all documents in sequences of 2048 ids, each with its ids; the padded sequences are ``sequences``.
+
+    A null or empty text is its end id alone; rows that repeat are packed as documents of their own."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, width=2048)
 
 

@@ -132,9 +132,16 @@ def subgraph(nodes: DataFrame, k: int = 5) -> DataFrame:
 
 
 def ask(spark, text: str, views: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """A SQL statement over the named tables, cut to k rows; any other text gives the first k rows of ``entities``."""
+    """A SQL statement over the named tables, cut to k rows; any other text gives the first k rows of ``entities``.
+
+    The session's temporary views of these names are as before afterwards."""
     if text.strip().upper().startswith(("SELECT", "WITH", "FROM")):
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(text).limit(k)
+        before = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in views}
+        try:
+            for name, df in views.items():
+                df.createOrReplaceTempView(name)
+            return spark.sql(text).limit(k)  # names are resolved here, not when it runs
+        finally:
+            for name in views:
+                before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
     return subgraph(views["entities"], k)

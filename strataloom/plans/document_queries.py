@@ -79,9 +79,44 @@ def markdown_normalize(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.md5(markdown.normalized(F.concat(head, "text", tail))).alias("digest"))
 
 
-@query()
+#: Notes with every kind of block: a fence that holds what looks like others, breaks, lists.
+_MORE = "\n\n```py\n# no heading\n\n- no list\n```\n```\nagain\n```\n- a\n+ b\n1. c\nafter a list\n---\n * * *\n| t |\n|x\n###### Deep \n#none\n"
+_SQL_BLOCKS = f"""more AS (SELECT document_id, document_name, text || CASE WHEN document_id % 3 = 0 THEN '{_MORE}' ELSE '' END AS text FROM notes),
+lines AS (SELECT document_id, document_name, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT document_id, document_name, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM more)),
+bare AS (SELECT *, trim(line, ' ' || chr(9)) AS b, trim(line, ' ' || chr(9)) LIKE '```%' AS fence, count(*) FILTER (trim(line, ' ' || chr(9)) LIKE '```%') OVER (PARTITION BY document_id ORDER BY pos) AS fences FROM lines),
+kinds AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN 'code_block' WHEN b = '' THEN NULL WHEN regexp_matches(b, '^#{{1,6}}\\s+.+$') THEN 'heading' WHEN regexp_matches(b, '^([-*_]\\s*){{3,}}$') THEN 'thematic_break' WHEN left(b, 1) = '|' AND right(b, 1) = '|' THEN 'table' WHEN left(b, 1) = '>' THEN 'blockquote' WHEN regexp_matches(b, '^([*+-]|\\d+\\.)\\s+.+$') THEN 'list' ELSE 'paragraph' END AS kind FROM bare),
+begun AS (SELECT *, (kind IN ('heading', 'thematic_break') OR fence AND fences % 2 = 1 OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY document_id ORDER BY pos))::INT AS fresh FROM kinds),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY pos) AS run FROM begun WHERE kind IS NOT NULL),
+grouped AS (SELECT document_id, document_name, run, any_value(kind) AS kind, string_agg(line, chr(10) ORDER BY pos) AS raw FROM runs GROUP BY ALL),
+trimmed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10)) AS content FROM grouped),
+blocks AS (SELECT document_id, document_name, row_number() OVER (PARTITION BY document_id ORDER BY run) - 1 AS block, kind, content, greatest(1, length(CASE WHEN kind IN ('heading', 'thematic_break') THEN raw ELSE content END) // 4) AS tokens,
+  CASE WHEN kind = 'heading' THEN length(regexp_extract(content, '^#+')) END AS level, CASE WHEN kind = 'heading' THEN trim(regexp_replace(content, '^#+', '')) END AS title FROM trimmed WHERE content <> '')""".replace("\\\\", "\\")
+
+
+def _more_notes(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d).withColumn("text", F.concat("text", F.when(F.col("document_id") % 3 == 0, _MORE).otherwise("")))
+
+
+@query(f"WITH {_SQL_NOTES}, {_SQL_BLOCKS} SELECT document_id::VARCHAR AS document_id, block::INT AS pos, kind AS block_type, content, tokens::INT AS estimated_tokens, level::INT AS header_level, title AS header_title FROM blocks")
 def lexer_blocks(spark, d):
-    return markdown.block_table(_notes(spark, d))
+    return markdown.block_table(_more_notes(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_SQL_NOTES}, {_SQL_BLOCKS},
+walk AS (SELECT DISTINCT document_id, -1::BIGINT AS block, 1::BIGINT AS parent, 0::BIGINT AS held FROM blocks
+  UNION ALL SELECT b.document_id, b.block, CASE WHEN w.held > 0 AND w.held + b.tokens > 700 THEN w.parent + 1 ELSE w.parent END, CASE WHEN w.held + b.tokens > 700 THEN b.tokens ELSE w.held + b.tokens END FROM walk w JOIN blocks b ON b.document_id = w.document_id AND b.block = w.block + 1),
+placed AS (SELECT b.*, w.parent, max(w.parent) OVER (PARTITION BY b.document_id) AS parents FROM walk w JOIN blocks b ON b.document_id = w.document_id AND b.block = w.block),
+packed AS (SELECT document_id, document_name, parent, trim(string_agg(content, chr(10) || chr(10) ORDER BY block), ' ' || chr(9) || chr(10)) AS content, max(block) AS last FROM placed GROUP BY ALL),
+closed AS (SELECT p.*, coalesce((SELECT min(b.block) FROM blocks b WHERE b.document_id = p.document_id AND b.block > p.last), p.last) AS at FROM packed p),
+open_at AS (SELECT c.document_id, c.parent, h.level, h.content FROM closed c JOIN blocks h ON h.document_id = c.document_id AND h.kind = 'heading' AND h.block <= c.at
+  WHERE NOT EXISTS (SELECT 1 FROM blocks o WHERE o.document_id = c.document_id AND o.kind = 'heading' AND o.block > h.block AND o.block <= c.at AND o.level <= h.level)),
+paths AS (SELECT document_id, parent, string_agg(content, ' > ' ORDER BY level) AS path FROM open_at GROUP BY ALL)
+SELECT c.document_id::VARCHAR AS document_id, c.parent::INT AS parent_index, '[Doc: ' || document_name || '] > ' || coalesce(path, 'Part ' || c.parent) AS header_path, content, greatest(1, length(content) // 4)::INT AS token_count
+FROM closed c LEFT JOIN paths USING (document_id, parent)""")
+def parent_packing(spark, d):
+    """Parents under a limit that no block of the notes is beyond; in ``parent_chunks`` some are."""
+    p = markdown.parent_table(_more_notes(spark, d), markdown.Limits(parent_tokens=700))
+    return p.select("document_id", "parent_index", "header_path", "content", "token_count")
 
 
 @query()

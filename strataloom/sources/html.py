@@ -92,13 +92,14 @@ def file_text(content: bytes, ending: str) -> str:
 def fast_texts(files: DataFrame) -> DataFrame:
     """files (file_name, content_type, content, ...) with text; office files and PDF need a parser of the caller's."""
     importable(files.sparkSession)
-    with_ending = files.withColumn("__ending", T.ending_of(F.col("content_type"), F.col("file_name")))
+    ending = next(n for k in range(len(files.columns) + 1) if (n := f"__ending{k}") not in files.columns)  # a name that is free
+    with_ending = files.withColumn(ending, T.ending_of(F.col("content_type"), F.col("file_name")))
     schema = files.withColumn("text", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if c is None else file_text(c, e) for c, e in zip(batch.column("content").to_pylist(), batch.column("__ending").to_pylist(), strict=True)]
-            names = [n for n in batch.schema.names if n != "__ending"]
+            texts = [None if c is None else file_text(c, e) for c, e in zip(batch.column("content").to_pylist(), batch.column(ending).to_pylist(), strict=True)]
+            names = [n for n in batch.schema.names if n != ending]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], [*names, "text"])
 
     return with_ending.mapInArrow(run, schema)

@@ -189,16 +189,8 @@ def notes(spark, small):
     return {r.document_id: r for r in document_queries._notes(spark, small).collect()}
 
 
-def test_lexer_and_chunk_queries(spark, small):
+def test_chunk_queries(spark, small):
     source = notes(spark, small)
-    found: dict = {}
-    for r in document_queries.lexer_blocks(spark, small).collect():
-        found.setdefault(r.document_id, {})[r.pos] = (r.block_type, r.content, r.estimated_tokens, r.header_level, r.header_title)
-    for k, n in source.items():
-        want = markdown.blocks(n.text)
-        assert [found[str(k)][i] for i in range(len(want))] == [(b.kind, b.content, b.tokens, b.level or None, b.title if b.level else None) for b in want] and len(found[str(k)]) == len(want)
-        kinds = {b.kind for b in want}
-        assert markdown.HEADING in kinds and sum(b.kind == markdown.HEADING for b in want) == sum(line.startswith("#") for line in n.text.split("\n"))
     limits = markdown.Limits(parent_tokens=400)
     parents = sorted((r.document_id, r.parent_index, r.header_path, r.content, r.token_count) for r in document_queries.parent_chunks(spark, small).collect())
     assert parents == sorted((str(k), p.index, p.header_path, p.content, p.tokens) for k, n in source.items() for p in markdown.parents(n.document_name, markdown.blocks(n.text, limits), limits))

@@ -152,3 +152,9 @@ def test_ask(spark):
     e = spark.createDataFrame([(i, "L") for i in range(9)], "entity_id int, label string")
     assert graph.ask(spark, " select label, count(*) as n from entities group by label", {"entities": e}).first().n == 9
     assert graph.ask(spark, "which laws?", {"entities": e}, 3).count() == 3
+    spark.range(3).createOrReplaceTempView("entities")
+    asked = graph.ask(spark, "SELECT max(entity_id) AS m FROM entities", {"entities": e})
+    assert spark.table("entities").columns == ["id"] and asked.columns == ["m"] and asked.count() == 1
+    spark.catalog.dropTempView("entities")
+    graph.ask(spark, "SELECT 1 FROM entities", {"entities": e})
+    assert not [t for t in spark.catalog.listTables() if t.name == "entities"]
