@@ -20,6 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)))
 
 
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """``cosine`` with a vector that is known when the query is planned: its length is a constant."""
+    length = sum(float(x) * float(x) for x in vector) ** 0.5
+    if not length:
+        return F.lit(None).cast("double")
+    return F.when(F.size(a) == len(vector), dot(a, literal(vector)) / F.nullif(norm(a) * F.lit(length), F.lit(0.0)))
+
+
 def literal(vector: list[float]) -> Column:
     return F.lit([float(x) for x in vector]).cast("array<double>")
 

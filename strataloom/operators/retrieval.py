@@ -58,7 +58,7 @@ def nearest(children: DataFrame, vector: list[float], k: int) -> DataFrame:
 
     Each task keeps its own k best, so only those meet.
     """
-    scored = children.select("child_id", "parent_id", vectors.cosine(F.col("embedding"), vectors.literal(vector)).alias("score"))
+    scored = children.select("child_id", "parent_id", vectors.cosine_to(F.col("embedding"), vector).alias("score"))
     return scored.filter("score is not null").orderBy(F.desc("score"), "child_id").limit(k)
 
 
