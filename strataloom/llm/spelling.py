@@ -36,6 +36,8 @@ SHARD_BYTES = 1 << 20
 WAVE_BYTES = 32 << 20
 #: Different words that a counting task holds before it hands them on.
 HELD_WORDS = 200_000
+#: Letters of the words that a task looks up.
+TASK_LETTERS = 1 << 20
 #: Letters of a block of words, and states that are walked together.
 BLOCK_LETTERS = 1 << 18
 BLOCK_STATES = 1 << 18
@@ -207,9 +209,10 @@ def accepted(trie: Trie, block: Block) -> tuple[np.ndarray, np.ndarray]:
 # shards and waves
 
 
-def shards_of(words: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(bytes, trie): ranges of the ordered words, each a packed trie of at most ``shard_bytes`` letters or one word."""
-    total = words.agg(F.sum(F.length("word"))).first()[0] or 0
+def shards_of(words: DataFrame, letters: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(bytes, trie): ranges of the ordered words, each a packed trie of at most ``shard_bytes`` letters or one word.
+
+    ``letters``: of all words together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, size = [], [], 0
@@ -230,7 +233,7 @@ def shards_of(words: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if held:
             yield made()
 
-    return words.repartitionByRange(max(1, -(-total // shard_bytes)), "word").sortWithinPartitions("word").mapInArrow(run, "bytes long, trie binary")
+    return words.repartitionByRange(max(1, -(-letters // shard_bytes)), "word").sortWithinPartitions("word").mapInArrow(run, "bytes long, trie binary")
 
 
 def waves(shards: DataFrame, wave_bytes: int = WAVE_BYTES) -> Iterator[list[bytes]]:
@@ -311,11 +314,14 @@ def variants(docs: DataFrame, damage_every: int = 0, shard_bytes: int = SHARD_BY
     """
     with shared.Tables() as t:
         words = t.store(counted_words(docs, damage_every), "spelling-words")
-        shards = shards_of(words, shard_bytes).select("*", F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().alias("place"))
+        letters = words.agg(F.coalesce(F.sum(F.length("word")), F.lit(0))).first()[0]
+        shards = shards_of(words, letters, shard_bytes).select("*", F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().alias("place"))
         shards = t.store(shards, "spelling-shards")
+        # a task walks a bounded number of words, however many words a file holds
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // TASK_LETTERS)
         found = None
         for tries in waves(shards, wave_bytes):
-            part = t.store(search(words, tries), "spelling-near")
+            part = t.store(search(words.repartition(tasks), tries), "spelling-near")
             found = part if found is None else found.unionByName(part)
         if found is None:
             found = words.filter("false").select("word", "n", F.lit(0).cast("long").alias("near"), F.lit(0).cast("long").alias("best_n"), F.lit("").alias("best"))
