@@ -106,6 +106,14 @@ def without_document(documents: DataFrame, parents: DataFrame, children: DataFra
     return {"documents": keep(documents), "parents": keep(parents), "children": keep(children), "mentions": mentions.join(dropped, "parent_id", "left_anti")}
 
 
+def without_base(documents: DataFrame, parents: DataFrame, children: DataFrame, mentions: DataFrame, entities: DataFrame, relations: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """A knowledge base's whole graph removed, for each base of ``gone`` (kb_id): documents, entities and relations have
+    kb_id, what is derived from documents goes with them."""
+    keep = lambda df: df.join(gone.select("kb_id").distinct(), "kb_id", "left_anti")
+    dropped = documents.join(gone.select("kb_id").distinct(), "kb_id", "left_semi").select("document_id")
+    return without_document(documents, parents, children, mentions, dropped) | {"entities": keep(entities), "relations": keep(relations)}
+
+
 def consolidate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graphs of a document's parts as one: nodes by id and type, edges by ends and type, the last written wins."""
     return latest(nodes, ["entity_id", "label"], "seq", ["properties"]), latest(edges, ["source_id", "target_id", "rel_type"], "seq", ["properties"])

@@ -137,6 +137,12 @@ def create_sources(requests: DataFrame, bases: DataFrame) -> tuple[DataFrame, Da
     return made, a.filter("error is not null").select("source_id", "error")
 
 
+def without_sources(sources: DataFrame, runs: DataFrame, failures: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources, their runs and failures without those of ``gone`` (source_id); documents that they brought stay."""
+    keep = lambda df: df.join(gone.select("source_id").distinct(), "source_id", "left_anti")
+    return keep(sources), keep(runs), keep(failures)
+
+
 def list_runs(runs: DataFrame, source_id: object, limit: int = 50) -> DataFrame:
     """A source's runs, the newest first."""
     if not 1 <= limit <= 200:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,22 @@ def objects(spark: SparkSession, root: str, prefix: str = "", pattern: str = "*"
     return found.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time"))
 
 
+def delete_prefix(spark: SparkSession, root: str, prefix: str) -> int:
+    """Deletes everything whose path begins with the prefix, and tells how many files or folders that were at its level."""
+    at = safe_path(root, prefix)
+    if at == root.rstrip("/"):
+        raise ValueError("an empty prefix would delete the storage")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(path(re.sub(r"([\\*?\[\]{}])", r"\\\1", at) + "*")) or []
+    return sum(fs.delete(f.getPath(), True) for f in found)
+
+
+def document_prefixes(partition: Column, document_id: Column) -> Column:
+    """Where a document's raw file, processed texts and checkpoints lie in a knowledge base's storage."""
+    return F.array(*[F.concat(partition, F.lit(f"/{kind}/"), document_id.cast("string")) for kind in ("raw", "processed", "checkpoints")])
+
+
 def exist(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Wanted paths with ``there``, by a listing of ``objects``."""
     return wanted.join(found.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))

@@ -48,33 +48,52 @@ def project_documents(events: DataFrame) -> DataFrame:
 
 
 class RunProjector(StatefulProcessor):
-    """Counts a run's documents, each once, and tells its end once."""
+    """Counts a run's documents, each by its last word, and tells the run's end once; then it forgets the documents.
+
+    Counters make a row cost the same however many documents a run has."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.outcomes = handle.getMapState("outcomes", "document_id string", "outcome string")
+        self.outcomes = handle.getMapState("outcomes", "document_id string", "outcome string, seq long")
+        self.counts = handle.getValueState("counts", "total int, indexed int, failed int")
         self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total = 0
+        ended = self.ended.exists()
+        total, good, bad = self.counts.get() if self.counts.exists() else (0, 0, 0)
         for part in rows:
             total = max(total, int(part["total_files"].max()))
-            for r in part.itertuples():
-                self.outcomes.updateValue((r.document_id,), (r.outcome,))
-        values = [v[0] for v in self.outcomes.values()]
-        good, bad = values.count("indexed"), values.count("failed")
-        if good + bad >= total and not self.ended.exists():
-            self.ended.update((True,))
-            status = "COMPLETED" if not bad else "PARTIALLY_FAILED" if good else "FAILED"
-            yield pd.DataFrame({"run_id": [str(key[0])], "status": [status], "indexed_files": [good], "failed_files": [bad]})
+            for document, outcome, seq in zip(part["document_id"], part["outcome"], part["seq"], strict=True):
+                if ended or document is None:
+                    continue
+                before, at = self.outcomes.getValue((document,)) if self.outcomes.containsKey((document,)) else (None, -1)
+                seq = at if pd.isna(seq) else int(seq)  # without seq the last to arrive holds
+                if seq < at:
+                    continue
+                good += (outcome == "indexed") - (before == "indexed")
+                bad += (outcome == "failed") - (before == "failed")
+                self.outcomes.updateValue((document,), (outcome, seq))
+        if ended:
+            return
+        if good + bad < total:
+            self.counts.update((total, good, bad))
+            return
+        self.ended.update((True,))
+        self.outcomes.clear()
+        self.counts.clear()
+        status = "COMPLETED" if not bad else "PARTIALLY_FAILED" if good else "FAILED"
+        yield pd.DataFrame({"run_id": [str(key[0])], "status": [status], "indexed_files": [good], "failed_files": [bad]})
 
     def close(self) -> None:
         pass
 
 
 def project_runs(outcomes: DataFrame) -> DataFrame:
-    """A stream of ended runs from (run_id, document_id, outcome, total_files); rows without a run are ignored."""
+    """A stream of ended runs from (run_id, document_id, outcome, total_files), and seq, the order of a document's outcomes, where
+    there is one; rows without a run are ignored."""
     importable(outcomes.sparkSession)
-    return outcomes.filter("run_id is not null").groupBy("run_id").transformWithStateInPandas(RunProjector(), "run_id string, status string, indexed_files int, failed_files int", "Append", "None")
+    seq = F.col("seq").cast("long") if "seq" in outcomes.columns else F.lit(None).cast("long")
+    rows = outcomes.filter("run_id is not null").select("run_id", "document_id", "outcome", "total_files", seq.alias("seq"))
+    return rows.groupBy("run_id").transformWithStateInPandas(RunProjector(), "run_id string, status string, indexed_files int, failed_files int", "Append", "None")
 
 
 class Watchdog(StatefulProcessor):

@@ -114,6 +114,19 @@ def test_stream_of_runs_and_messages(spark, tmp_path):
     assert got == {"r1": ("PARTIALLY_FAILED", 1, 1), "r3": ("FAILED", 0, 1)}
 
 
+def test_runs_count_last_words(spark, tmp_path):
+    schema = "run_id string, document_id string, outcome string, total_files int, seq int"
+    batches = [[("r", "a", "indexed", 3, 5), ("r", "b", "failed", 3, 1), ("r", None, None, 3, 1), ("s", "a", "failed", 2, 1)], [("r", "a", "failed", 3, 4), ("r", "b", "indexed", 3, 2), ("s", "a", "indexed", 2, 2)], [("r", "c", "failed", 3, 1), ("s", "b", "indexed", 2, 1)], [("r", "c", "indexed", 3, 9)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.rename(next((tmp_path / f"p{k}").glob("*.parquet")), tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    native._drained(projector.project_runs(stream), "append", str(tmp_path), lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out")))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("r", "PARTIALLY_FAILED", 2, 1), ("s", "COMPLETED", 2, 0)]
+
+
 def test_stream_delivers_once(spark):
     t = datetime(2026, 1, 1)
     df = spark.createDataFrame([(i, t + timedelta(seconds=i)) for i in range(50)], "event_id int, occurred_at timestamp")

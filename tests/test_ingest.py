@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import models
 from strataloom.functions import text as T
-from strataloom.operators import ingest, ontology
+from strataloom.operators import graph, ingest, lifecycle, ontology
 from strataloom.sources import files as files_
 
 ONTO = ontology.Ontology("o", 1, (ontology.NodeType("Law"), ontology.NodeType("Court")), (ontology.Relation("RULES", "Court", "Law"),))
@@ -130,3 +130,25 @@ def test_small_text_functions(spark):
     assert one(T.field_or(v, "$.a.b", "int")) == 3 and one(T.field_or(v, "$.c", "int", 9)) == 9 and one(T.field_or(v, "$.c", "int")) is None
     assert one(T.snippets(F.array(F.lit("x" * 300), F.lit("y")))) == "- " + "x" * 200 + "\n- y"
     assert one(T.suffix(F.lit("a/b.c/d"))) == "" and one(T.suffix(F.lit("x.TAR.Gz"))) == ".gz"
+
+
+def test_deletions(spark, tmp_path):
+    for name in ("kb/raw/d1-a.md", "kb/raw/d12-b.md", "kb/raw/d2.md", "kb/processed/d1/x.md", "kb/odd[1].md", "kb/odd1.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    at = f"file://{tmp_path}"
+    prefixes = spark.range(1).select(files_.document_prefixes(F.lit("kb"), F.lit("d1-"))).first()[0]
+    assert prefixes == ["kb/raw/d1-", "kb/processed/d1-", "kb/checkpoints/d1-"]
+    assert [files_.delete_prefix(spark, at, p) for p in prefixes] == [1, 0, 0] and files_.delete_prefix(spark, at, "kb/processed/d1") == 1
+    assert files_.delete_prefix(spark, at, "kb/odd[1]") == 1 and (tmp_path / "kb/odd1.md").exists() and (tmp_path / "kb/raw/d12-b.md").exists()
+    for bad in ("", "../x", "kb/../../x"):
+        with pytest.raises(ValueError):
+            files_.delete_prefix(spark, at, bad)
+    docs = spark.createDataFrame([("k1", "a"), ("k2", "b")], "kb_id string, document_id string")
+    parents = spark.createDataFrame([("a", "a1"), ("b", "b1")], "document_id string, parent_id string")
+    mentions = spark.createDataFrame([("a1", "e"), ("b1", "e")], "parent_id string, entity_id string")
+    own = spark.createDataFrame([("k1", "e"), ("k2", "e")], "kb_id string, entity_id string")
+    left = graph.without_base(docs, parents, parents, mentions, own, own, spark.createDataFrame([("k1",)], "kb_id string"))
+    assert {k: v.count() for k, v in left.items()} == dict.fromkeys(("documents", "parents", "children", "mentions", "entities", "relations"), 1)
+    src = spark.createDataFrame([("s",), ("t",)], "source_id string")
+    assert [[r.source_id for r in x.collect()] for x in lifecycle.without_sources(src, src, src, src.filter("source_id = 's'"))] == [["t"]] * 3
