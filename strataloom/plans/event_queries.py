@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataloom.operators import discovery, lifecycle, sync
+from strataloom.operators import admission, discovery, lifecycle, sync
 from strataloom.operators import events as E
 from strataloom.plans import data as D
 from strataloom.plans.registry import query
@@ -279,3 +279,13 @@ def relation_ends_by_type(spark, d):
     nodes = D.table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("label"))
     r = spark.createDataFrame([("BUILDING", "MACHINERY", "LIKE"), ("BUILDING", "AUTOMOBILE", "LIKE"), ("BUILDING", "none", "LIKE")], "source_type string, target_type string, rel_type string")
     return ontology.ends_by_type(r, nodes)
+
+
+@query("""WITH c AS (SELECT event_id, greatest(least(greatest(floor(value)::BIGINT, 1), 120) * 8, 120) AS cost FROM events), m AS (SELECT max(cost) FILTER (cost * 2 <= 960) AS widest, sum(cost) FILTER (cost * 2 <= 960) AS whole FROM c),
+small AS (SELECT event_id, sum(cost) OVER (ORDER BY event_id) - cost AS b FROM c WHERE cost * 2 <= 960),
+large AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM c WHERE cost * 2 > 960)
+SELECT event_id, ((b * 60000 + 960 - widest - 1) // (960 - widest))::BIGINT AS start_ms FROM small, m UNION ALL SELECT event_id, (k * 60000 + (whole * 60000) // (960 - widest) + 60000)::BIGINT FROM large, m""")
+def admission_plan(spark, d):
+    """When each call of the log may start, under 8 requests and 120 tokens a minute for all callers together."""
+    e = D.table(spark, d, "events").select(F.col("event_id").alias("call_id"), F.col("event_id").alias("seq"), F.floor("value").alias("tokens"))
+    return admission.plan(e, 8, 120).select(F.col("call_id").alias("event_id"), "start_ms")
