@@ -54,7 +54,7 @@ def test_stages_on_an_empty_table(spark, small):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetchdf()
     got = queries.queries()[name](spark, small).toPandas()
@@ -65,7 +65,7 @@ def test_oracle(spark, small, name):
 
 def test_every_operator_has_a_query():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_packing_fills_windows(spark, small):
