@@ -34,6 +34,8 @@ CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 18
 #: Bytes of ids in a shard file.
 SHARD_BYTES = 64 << 20
+#: Bytes of text that are encoded at once: arrays of some hundred bytes for each go with it.
+SLICE_BYTES = 1 << 20
 #: Partitions of the ordered pass: one for so many bytes of text, and their most.
 PART_BYTES = 128 << 20
 MOST_PARTS = 100_000
@@ -148,7 +150,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, at: str) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, shard, f"{at}/{name}", rows, writer.ids)], ["part", "shard", "path", "docs", "ids"])
 
         for batch in batches:
-            for piece in shared.slices(batch):
+            for piece in shared.slices(batch, SLICE_BYTES):
                 ids, bounds = e.encode(piece.column("text").to_pylist())
                 for doc, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     if writer and 4 * writer.ids >= SHARD_BYTES:
