@@ -64,6 +64,18 @@ def test_oracle(spark, small, name):
     assert row(got) == row(want)
 
 
+def test_the_querys_rules_are_those_of_its_contract(spark, tmp_path):
+    # words written out here, not taken from QUERY_RULES; a page of few words is listed, so without its rule it would be blocked
+    want = [
+        ("http://a.com/en/1", "com/en/", "block"), ("http://example.com/en/6", "com/en/", "block"), ("http://m.example.com/en/71", "example.com/en/7", "allow"),
+        ("http://a.net/de/1", "net/de/", "allow"), ("http://m.example.net/de/7", "net/de/", "allow"), ("http://m.example.net/de/81", "example.net/de/8", "block"),
+        ("http://a.org/es/1", "org/es/", "block"), ("http://a.org/de/1", None, "block"),
+    ]
+    spark.createDataFrame([(i, url, "<p>few words</p>") for i, (url, _, _) in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.queries()["op10_url_filter"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(want[r.page_id][0], r.rule, r.verdict) for r in got] == want
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
