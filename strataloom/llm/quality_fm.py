@@ -23,6 +23,8 @@ RANK = 8
 MOST_ROWS = 10_000
 #: Most bytes of their features, so that the driver holds them whatever the texts' lengths.
 MOST_BYTES = 96 << 20
+#: They reach the driver in parts of so many bytes, about, of which its JVM holds one at a time.
+PART_BYTES = 4 << 20
 #: Passes over the rows at least, and steps of 64 rows at least.
 EPOCHS, STEPS = 12, 1500
 THRESHOLD = 0.7
@@ -145,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 
     with shared.Tables() as t:
         found = labelled.sample(docs, labels, "quality", modulus, remainder, most).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, i binary, x binary")
-        rows = labelled.within_bytes(t.store(found, "quality-features"), F.octet_length("i") + F.octet_length("x"), MOST_BYTES).collect()
+        rows = labelled.within_bytes(t.store(found, "quality-features"), F.octet_length("i") + F.octet_length("x"), MOST_BYTES)
+        rows = list(rows.repartition(MOST_BYTES // PART_BYTES).toLocalIterator())
     rows = {(r.i, r.x): r for r in sorted(rows, key=lambda r: -r.doc_id)}.values()
     rows = sorted(rows, key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.i, dtype=np.int32) for r in rows], [np.frombuffer(r.x, dtype=np.float32) for r in rows], np.array([r.y for r in rows], dtype=np.float64))

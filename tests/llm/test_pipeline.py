@@ -1,5 +1,7 @@
 """The pipeline's stages against the operators they call, and queries against their SQL."""
 
+import zlib
+
 import duckdb
 import numpy as np
 import public_tokenizers as P
@@ -32,6 +34,27 @@ def test_stages(spark, small):
     assert {r.doc_id for r in four.collect()} == {r.doc_id for r in three.collect()}
 
 
+def test_quality_features_reach_the_driver_in_parts(spark, monkeypatch):
+    # a job may send the driver less than all features have, so one collect of them fails
+    monkeypatch.setattr(quality_fm, "EPOCHS", 1)
+    monkeypatch.setattr(quality_fm, "STEPS", 1)
+    rng = np.random.Generator(np.random.PCG64(3))
+    rows = [(i, " ".join(map(str, rng.integers(0, 1 << 40, 3000))), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(8)
+    docs = shared.materialize(docs, "long-texts")
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    conf.set(key, "2m")
+    try:
+        got = quality_fm.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    finally:
+        conf.remove(key)
+    own = sorted((i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    i, x = quality_fm.features([t for _, t, _ in own])
+    assert sum(a.nbytes + b.nbytes for a, b in zip(i, x)) > 4 << 20
+    want = quality_fm.fit(i, x, np.array([y for _, _, y in own], dtype=np.float64))
+    assert got.bias == want.bias and np.array_equal(got.weights, want.weights) and np.array_equal(got.factors, want.factors)
+
+
 def test_run(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
