@@ -188,7 +188,8 @@ def cascade_delete(spark, d):
 @query("""WITH c AS (SELECT user_id AS caller, epoch(ts)::BIGINT AS at_seconds, event_id, 100 AS tokens FROM events)
 SELECT event_id, count(*) OVER w AS requests, (sum(tokens) OVER w)::BIGINT AS tokens_used FROM c WINDOW w AS (PARTITION BY caller ORDER BY at_seconds RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)""")
 def rate_window_usage(spark, d):
-    c = D.table(spark, d, "events").select("event_id", F.col("user_id").alias("caller"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_seconds"), F.lit(100).alias("tokens"))
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")  # the nearest second, of two the even one, as the SQL's cast
+    c = D.table(spark, d, "events").select("event_id", F.col("user_id").alias("caller"), at.alias("at_seconds"), F.lit(100).alias("tokens"))
     return sync.usage_in_window(c, 3600).select("event_id", "requests", "tokens_used")
 
 

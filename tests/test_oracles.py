@@ -41,3 +41,16 @@ def test_entry_points(spark):
 
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_calls_at_fractions_of_seconds(spark, con, tmp_path):
+    """SQL's cast takes the nearest second, of two as near the even one."""
+    at = [0.5, 0.6, 1.5, 2.5, 3599.4, 3599.5, 3600.4, 3600.5, 3601.5, 7199.5]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + to_microseconds({round(s * 1e6)}), {i % 2})" for i, s in enumerate(at * 2))
+    con.execute(f"COPY (SELECT i::BIGINT AS event_id, ts, u::BIGINT AS user_id FROM (VALUES {rows}) t(i, ts, u)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    sql = catalog.oracle_sql()["rate_window_usage"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")
+    assert rows_of_calls(catalog.queries()["rate_window_usage"](spark, str(tmp_path))) == sorted(con.execute(sql).fetchall())
+
+
+def rows_of_calls(df):
+    return sorted((r.event_id, r.requests, r.tokens_used) for r in df.collect())
