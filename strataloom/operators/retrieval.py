@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions import vectors
-from strataloom.operators import vector_index
+from strataloom.operators import comention, vector_index
 
 EXPANSION = 0.7
 SHARED_BONUS = 0.05
 MOST_SHARED = 5
-MOST_NEIGHBOURS = 5
+MOST_NEIGHBOURS = comention.MOST_NEIGHBOURS
 MOST_TRIPLES = 5
 #: What marks a trimmed passage, and the fewest tokens that make a trimmed passage worth keeping.
 SUFFIX = "... [truncado pelo orçamento]"
