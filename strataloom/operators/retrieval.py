@@ -10,7 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from strataloom import storage
 from strataloom.functions import text as T
 from strataloom.functions import vectors
 from strataloom.operators import comention, vector_index
@@ -138,17 +140,26 @@ def hybrid(children: DataFrame, parents: DataFrame, mentions: DataFrame, vector:
     return fuse(s, n).orderBy(F.desc("fused_score"), "parent_id").limit(top_k)
 
 
+def _with_numbers(mentions: DataFrame, at: str) -> DataFrame:
+    """mentions with whole numbers as entity_id: their own, or one for each entity."""
+    if isinstance(mentions.schema["entity_id"].dataType, IntegralType):
+        return mentions
+    numbers = storage.stored(mentions.select("entity_id").dropna().distinct().withColumn("number", F.monotonically_increasing_id()), f"{at}/entities")
+    return mentions.join(numbers, "entity_id").select("parent_id", F.col("number").alias("entity_id"))
+
+
 def hybrid_many(children: DataFrame, parents: DataFrame, mentions: DataFrame, queries: DataFrame, top_k: int = 20, candidate_k: int | None = None, filters: Filters = Filters(), strict_filters: bool = False, index: vector_index.Index | None = None) -> DataFrame:
     """``hybrid`` for a table of queries (query_id, vector): its columns, query_id, and rank from 1 to top_k.
 
     Seeds come from blocks in which all queries meet all children, or from an index. A parent's neighbours don't depend
-    on the query, so each parent that is a seed of any query is expanded once.
+    on the query, so each parent that is a seed of any query is expanded once, without a row for each pair of parents that
+    share an entity. The seeds are stored, since several steps read them.
     """
-    k = candidate_k or candidate_count(top_k)
-    found = vector_index.nearest_many_indexed(queries.sparkSession, index, queries, k) if index else vector_index.nearest_many(children, queries, k)
-    s = seeds(found, parents, filters, by=["query_id"])
-    n = neighbours(s.select("parent_id").distinct().withColumn("seed_score", F.lit(1.0)), mentions).drop("seed_score")
-    n = s.join(n, "parent_id")
+    spark, k = queries.sparkSession, candidate_k or candidate_count(top_k)
+    at = storage.shared_folder(spark, "hybrid")
+    found = vector_index.nearest_many_indexed(spark, index, queries, k) if index else vector_index.nearest_many(children, queries, k)
+    s = storage.stored(seeds(found, parents, filters, by=["query_id"]), f"{at}/seeds")
+    n = s.join(comention.all_neighbours(_with_numbers(mentions, at), seeds=s.select("parent_id")), "parent_id")
     if strict_filters:
         n = n.join(parents.filter(filters.condition()).select(F.col("parent_id").alias("neighbour_id")), "neighbour_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "parent_id")

@@ -158,3 +158,34 @@ def test_ask(spark):
     spark.catalog.dropTempView("entities")
     graph.ask(spark, "SELECT 1 FROM entities", {"entities": e})
     assert not [t for t in spark.catalog.listTables() if t.name == "entities"]
+
+
+def most_rows(spark, since):
+    """The most rows that an operator of a query made, of all queries from number ``since`` on; and the next number."""
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for run in (runs.apply(i) for i in range(runs.size())):
+        last = max(last, run.executionId() + 1)
+        if run.executionId() >= since:
+            names, values = run.metrics(), store.executionMetrics(run.executionId())
+            rows = [values.get(m.accumulatorId()) for m in (names.apply(i) for i in range(names.size())) if m.name() == "number of output rows"]
+            most = max([most, *(int(v.get().replace(",", "")) for v in rows if v.isDefined())])
+    return most, last
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_many_queries_make_no_row_for_each_pair_of_parents(spark, kind):
+    """All 400 parents are seeds and share an entity: 160,000 pairs. Each has an entity of its own, some two."""
+    children = spark.createDataFrame([(i, i, [1.0 if j == i // 40 else 0.001 * (i % 40) for j in range(10)]) for i in range(400)], "child_id long, parent_id long, embedding array<double>")
+    parents = children.selectExpr("parent_id", "0L AS document_id", "parent_id AS parent_index", "'document' AS source_type", "0.0D AS ingested_at")
+    mentions = parents.selectExpr("parent_id", "1L AS entity_id").union(parents.selectExpr("parent_id", "1000 + parent_id div 2")).union(parents.selectExpr("parent_id", "NULL"))
+    queries = spark.createDataFrame([(q, [1.0 if j == q else 0.0 for j in range(10)]) for q in range(10)], "query_id long, vector array<double>")
+    _, since = most_rows(spark, 0)
+    got = retrieval.hybrid_many(children, parents, mentions.withColumn("entity_id", F.col("entity_id").cast(kind)), queries, top_k=20, candidate_k=40).collect()
+    assert most_rows(spark, since)[0] < 20_000
+    assert len(got) == 200 and all(r.is_seed for r in got if r["rank"] <= 5)
+    n = retrieval.neighbours(parents.selectExpr("parent_id", "1.0D AS seed_score"), mentions)
+    want = retrieval.fuse(s := retrieval.seeds(retrieval.vector_index.nearest_many(children, queries, 40), parents, by=["query_id"]), s.join(n.drop("seed_score"), "parent_id"), by=["query_id"])
+    held = {(r.query_id, r.parent_id): (r.shared, r.is_seed, round(r.fused_score, 9)) for r in want.collect()}
+    assert all(held[r.query_id, r.parent_id] == (r.shared, r.is_seed, round(r.fused_score, 9)) for r in got)
