@@ -199,7 +199,10 @@ def enriched(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentio
 
 
 def enriched_many(ranked: DataFrame, parents: DataFrame, documents: DataFrame, mentions: DataFrame, relations: DataFrame, entities: DataFrame, with_triples: bool = True) -> DataFrame:
-    """The rows of ``hybrid_many`` with their parents' ``details``, found once for each parent that any query ranks."""
+    """The rows of ``hybrid_many`` with their parents' ``details``, found once for each parent that any query ranks.
+
+    The ranked rows are stored, since several steps read them."""
+    ranked = storage.stored(ranked, storage.shared_folder(ranked.sparkSession, "ranked"))
     return _source(ranked.join(details(ranked.select("parent_id").distinct(), parents, documents, mentions, relations, entities, with_triples), "parent_id", "left"))
 
 

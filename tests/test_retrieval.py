@@ -189,3 +189,19 @@ def test_many_queries_make_no_row_for_each_pair_of_parents(spark, kind):
     want = retrieval.fuse(s := retrieval.seeds(retrieval.vector_index.nearest_many(children, queries, 40), parents, by=["query_id"]), s.join(n.drop("seed_score"), "parent_id"), by=["query_id"])
     held = {(r.query_id, r.parent_id): (r.shared, r.is_seed, round(r.fused_score, 9)) for r in want.collect()}
     assert all(held[r.query_id, r.parent_id] == (r.shared, r.is_seed, round(r.fused_score, 9)) for r in got)
+
+
+def test_details_of_many_queries_find_the_ranked_rows_once(spark):
+    found = spark.sparkContext.accumulator(0)
+
+    def parent(i):
+        found.add(1)
+        return i
+
+    ranked = spark.range(5, numPartitions=1).select(F.lit(1).alias("query_id"), F.col("id").alias("rank"), F.udf(parent, "long")("id").alias("parent_id"), F.lit(True).alias("is_seed"))
+    parents = spark.range(5).selectExpr("id AS parent_id", "0 AS document_id", "id AS parent_index")
+    mentions, entities = parents.selectExpr("parent_id", "parent_id AS entity_id"), parents.selectExpr("parent_id AS entity_id", "'n' AS name", "'L' AS label")
+    relations = spark.createDataFrame([(0, 1, "R")], "source_id long, target_id long, rel_type string")
+    got = retrieval.enriched_many(ranked, parents, spark.createDataFrame([(0, "d")], "document_id int, name string"), mentions, relations, entities).collect()
+    assert sorted(r["rank"] for r in got) == list(range(5)) and {r.document_name for r in got} == {"d"}
+    assert found.value == 5
