@@ -41,8 +41,13 @@ def hits(found: DataFrame, by: list[str]) -> DataFrame:
     preview = F.when(stage == TITLE, F.coalesce(F.nullif(F.substring("own_preview", 1, PREVIEW_CHARS), F.lit("")), F.lit(NO_PREVIEW))).when(stage == PATH, F.concat(F.lit(IN_PATH), text)).otherwise(F.concat(F.lit(IN_TEXT), F.col("title")))
     a = found.withColumn("title", title)
     a = a.withColumns({"anchor": F.when(stage == TITLE, "").otherwise(T.anchor(F.when(stage != TITLE, F.col("title")))), "match_type": F.when(stage == TITLE, "title").otherwise("header"), "preview": preview})
-    first = Window.partitionBy(*by, "doc_id", F.when(stage == TITLE, "title").otherwise(F.col("anchor"))).orderBy("stage", "pos")
-    return a.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return once(a, by)
+
+
+def once(hits_: DataFrame, by: list[str]) -> DataFrame:
+    """The first hit of each document and anchor (and of each query, ``by``)."""
+    first = Window.partitionBy(*by, "doc_id", F.when(F.col("stage") == TITLE, "title").otherwise(F.col("anchor"))).orderBy("stage", "pos")
+    return hits_.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
 def shown(hits_: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataloom import storage
 from strataloom.functions import text as T
 from strataloom.operators import search
 
@@ -21,6 +22,8 @@ BUCKETS = 16
 #: Documents of a segment, at least, and the most segments.
 SEGMENT = 10_000
 MOST_SEGMENTS = 1_000
+#: Trigrams of a table of queries that are broadcast, at most.
+MOST_SENT = 10_000
 #: What tells an entry from others.
 KEYS = ["segment", "doc_pos", "doc_id", "stage", "pos"]
 
@@ -104,18 +107,28 @@ def quick_search(spark: SparkSession, index: Index, query: str, limit: int = 10)
 def search_many(spark: SparkSession, index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, rank, and the columns of a hit) for a table of queries (query_id, query): ``limit`` hits each.
 
-    Queries of three letters or more meet the postings of their trigrams; shorter ones the letters and pairs of letters of
-    all folded strings. Both are joins on equal keys. A query that is null, blank or without a letter after folding finds nothing."""
+    What is asked for is looked up once, however many queries ask for it. Strings of three letters or more meet the postings
+    of their trigrams; shorter ones, of which there are 128 + 128 * 128 at most, the letters and pairs of letters of all folded
+    strings. Both are joins on equal keys; trigrams are broadcast unless they are very many. Each document found has a hit,
+    so of each string only the first ``limit`` documents go on. A query that is null, blank or without a letter after folding finds nothing."""
     if not 1 <= limit <= 50:
         raise ValueError("limit must be from 1 to 50")
-    q = queries.filter("query is not null").select("query_id", search.folded(F.trim("query")).alias("wanted")).filter("wanted <> ''")
-    long_, short = q.filter(F.length("wanted") >= GRAM), q.filter(F.length("wanted") < GRAM)
-    asked = long_.select("query_id", "wanted", grams_of(F.col("wanted")).alias("grams")).select("query_id", "wanted", F.size("grams").alias("many"), F.explode("grams").alias("gram")).withColumn("bucket", bucket_of(F.col("gram")))
-    met = index.postings(spark).join(asked, ["bucket", "gram"]).groupBy("query_id", "wanted", "many", *KEYS).agg(F.count("*").alias("n")).filter(F.col("n") == F.col("many"))
+    q = queries.filter("query is not null").select("query_id", search.folded(F.trim("query")).alias("wanted")).filter("wanted <> ''").distinct()
+    q = storage.stored(q, storage.shared_folder(spark, "asked"))
+    strings = q.select("wanted").distinct()
+    long_, short = strings.filter(F.length("wanted") >= GRAM), strings.filter(F.length("wanted") < GRAM)
+    asked = long_.select("wanted", grams_of(F.col("wanted")).alias("grams")).select("wanted", F.size("grams").alias("many"), F.explode("grams").alias("gram")).withColumn("bucket", bucket_of(F.col("gram")))
+    asked = F.broadcast(asked) if len(asked.take(MOST_SENT + 1)) <= MOST_SENT else asked
+    met = index.postings(spark).join(asked, ["bucket", "gram"]).groupBy("wanted", "many", *KEYS).agg(F.count("*").alias("n")).filter(F.col("n") == F.col("many"))
     entries = index.entries(spark)
-    found = entries.join(met.select("query_id", "wanted", *KEYS), KEYS).filter(F.contains("folded", F.col("wanted")))
+    found = entries.join(met.select("wanted", *KEYS), KEYS).filter(F.contains("folded", F.col("wanted")))
     pairs = entries.withColumn("wanted", F.explode(F.concat(*[grams_of(F.col("folded"), n) for n in range(1, GRAM)])))
-    found = found.unionByName(pairs.join(short, "wanted").select(*found.columns))
-    order = Window.partitionBy("query_id").orderBy("doc_pos", "stage", "pos")
-    ranked = search.hits(found, ["query_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return search.shown(ranked, ["query_id", "rank"])
+    found = found.unionByName(pairs.join(F.broadcast(short), "wanted").select(*found.columns))
+    place = F.dense_rank().over(Window.partitionBy("wanted").orderBy("doc_pos"))
+    found = found.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+
+    def first(hits: DataFrame, by: str) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("doc_pos", "stage", "pos"))).filter(F.col("rank") <= limit)
+
+    of_strings = first(search.hits(found, ["wanted"]), "wanted").drop("rank")
+    return search.shown(first(search.once(q.join(of_strings, "wanted"), ["query_id"]), "query_id"), ["query_id", "rank"])

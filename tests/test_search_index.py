@@ -79,3 +79,26 @@ def test_nothing_to_search(spark, tables):
     assert search_index.quick_search(spark, index, "data").count() == 0
     assert search_index.search_many(spark, index, spark.createDataFrame([(1, "data"), (2, "d")], "query_id int, query string")).count() == 0
     assert spark.range(1).select(F.size(search_index.grams_of(F.lit("ab")))).first()[0] == 0
+
+
+def test_many_queries_for_the_same(spark, tables, index, monkeypatch):
+    """Queries that ask for the same, twice or with other accents, and several strings under one number, by either join."""
+    rows = [(i, q) for i, q in enumerate(["data", "DATA ", "dáta", "a", "Á", "data"])] + [(0, "data"), (50, "data"), (50, "storage"), (50, "u"), (51, "aaa"), (51, "a")]
+    asked = spark.createDataFrame(rows, "query_id int, query string")
+    for most in (10_000, 0):
+        monkeypatch.setattr(search_index, "MOST_SENT", most)
+        many = search_index.search_many(spark, index, asked, 6).collect()
+        got = {i: [tuple(r)[1:] for r in sorted((r for r in many if r.query_id == i), key=lambda r: r["rank"])] for i, _ in rows}
+        assert got[0] == got[1] == got[2] == got[5] and got[3] == got[4]
+        assert [r[1:] for r in got[0]] == [tuple(r) for r in search.quick_search(*tables, "data", 6).collect()]
+        assert [r[1:] for r in got[51]] == [r[1:] for r in got[3]]
+        assert [r[0] for r in got[50]] == [1, 2, 3, 4, 5, 6] and len({(r[1], r[4]) for r in got[50]}) == 6
+
+
+def test_only_first_documents_go_on(spark, tables, index):
+    """Postings and letters of all entries aren't shuffled for a few queries, nor are all entries that hold a letter."""
+    plan = search_index.search_many(spark, index, spark.createDataFrame([(1, "data"), (2, "a")], "query_id int, query string"), 3)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    assert any("WindowGroupLimit" in x and "dense_rank" in x and "Partial" in x for x in lines)
+    broadcast = [x for x in lines if "BroadcastHashJoin" in x]
+    assert any("gram" in x for x in broadcast) and any("wanted" in x for x in broadcast)
